@@ -5,8 +5,8 @@ if equal; consecutive windows that share one minimiser travel as one packed stri
 windows are sorted and counted exactly. Equal windows have equal minimisers, so they meet in one bucket.
 
 First, the occurrences of every minimiser are counted. Windows whose minimiser occurs once in the corpus are unique, so their super-k-mers stay
-at home; a bitmap of `2 ** BITMAP_BITS` bits, whatever the input, tells (collisions only let more travel). Minimisers that occur over `hot` times send
-each window on its own, to the bucket of that window, where windows are counted by a pre-aggregated group; so no bucket holds more
+at home; a bitmap of `2 ** BITMAP_BITS` bits, whatever the input, tells (collisions only let more travel). Super-k-mers of minimisers that occur over `hot` times
+are counted as whole strings first, by a pre-aggregated group; then only the windows of distinct strings go to a bucket each. So no bucket holds more
 than `hot` super-k-mers. A word is removed if a window that covers it occurs more than once.
 
 A null text has no words. Documents of fewer words than a window lose none. Repeated rows count as further occurrences and keep a row each. Very long texts
@@ -29,6 +29,7 @@ from orrery.llm._shared import groups, partitions, stage, utf8
 WIDTH, INNER, HOT, BITMAP_BITS = 35, 11, 8192, 27
 _STRETCH = 1 << 20
 _PLACE = np.uint64((1 << 24) - 1)
+_RUNS = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
 _PRIME, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -111,44 +112,62 @@ def repeated(docs: DataFrame, width: int = WIDTH, inner: int = INNER, hot: int =
 
     def send(batches):
         hashes, (twice, often) = _Hashes(), shared.value
-        names = ["key", "alone", "doc_id", "_row", "first", "packed"]
+        names = ["key", "alone", "doc_id", "_row", "firsts", "packed"]
         for batch in batches:
             rows: list[tuple] = []
             for doc, row, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                words = text.split()
+                words, own = text.split(), {}
                 for grams, first, end in super_kmers(words, hashes, width, inner):
                     keep = np.flatnonzero(_has(twice, grams))
                     for g, a, b, many in zip(grams[keep].tolist(), first[keep].tolist(), end[keep].tolist(), _has(often, grams[keep]).tolist(), strict=True):
-                        if many:
-                            for w in range(a, b):
-                                packed = b" ".join(words[w : w + width])
-                                rows.append((xxhash.xxh64_intdigest(packed), True, doc, row, w, packed))
-                        else:
-                            rows.append((g, False, doc, row, a, b" ".join(words[a : b + width - 1])))
+                        own.setdefault((g, many, b" ".join(words[a : b + width - 1])), []).append(a)
+                rows += [(g, many, doc, row, firsts, packed) for (g, many, packed), firsts in own.items()]  # equal ones of a document travel once
                 if len(rows) > 20_000:
                     yield _rows(rows, names)
                     rows = []
             yield _rows(rows, names)
 
-    sent = stage(texts.mapInArrow(send, "key long, alone boolean, doc_id long, _row long, first long, packed binary"), "super-k-mers")
+    sent = stage(texts.mapInArrow(send, "key long, alone boolean, doc_id long, _row long, firsts array<long>, packed binary"), "super-k-mers")
 
     def judge(batches):
         for group in groups(batches, "key"):
-            if group.num_rows > 1:
+            if group.num_rows > 1 or len(group.column("firsts")[0]) > 1:
                 yield _judged(group, width)
 
-    cold = sent.where("not alone").select("key", "doc_id", "_row", "first", "packed")
-    cold = cold.repartition(partitions(spark), "key").sortWithinPartitions("key").mapInArrow(judge, "doc_id long, _row long, first long, end long")
-    lone = sent.where("alone").select("key", "doc_id", "_row", "first", "packed")
-    again = lone.groupBy("key", "packed").agg(F.count("*").alias("n")).where("n > 1").select("key", "packed")
-    lone = lone.join(again, ["key", "packed"], "left_semi").select("doc_id", "_row", "first", (F.col("first") + 1).alias("end"))
+    cold = sent.where("not alone").select("key", "doc_id", "_row", "firsts", "packed")
+    cold = cold.repartition(partitions(spark), "key").sortWithinPartitions("key").mapInArrow(judge, "doc_id long, _row long, runs array<struct<first: long, end: long>>")
+    runs = cold.unionByName(_hot_runs(sent.where("alone"), width))
     # A document's runs are at most as many as its windows; rows that agree in doc_id and text share them.
-    return cold.unionByName(lone).distinct().groupBy("doc_id", "_row").agg(F.collect_list(F.struct("first", "end")).alias("runs"))
+    return runs.groupBy("doc_id", "_row").agg(F.flatten(F.collect_set("runs")).alias("runs"))
+
+
+def _hot_runs(sent: DataFrame, width: int) -> DataFrame:
+    """doc_id, _row and runs of super-k-mers with frequent minimisers: equal strings are counted as one, and only windows of distinct strings are dealt out."""
+    strings = stage(sent.groupBy("key", "packed").agg(F.sum(F.size("firsts")).alias("n")), "strings").withColumn("sid", F.monotonically_increasing_id())
+
+    def cut(batches):
+        for batch in batches:
+            rows = []
+            for packed, n, sid in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                words = packed.split(b" ")
+                rows += [(sid, w, n, b" ".join(words[w : w + width])) for w in range(len(words) - width + 1)]
+            cols = list(zip(*rows, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.binary())], ["sid", "w", "n", "words"])
+
+    windows = strings.select("packed", "n", "sid").mapInArrow(cut, "sid long, w long, n long, words binary")
+    again = windows.groupBy("words").agg(F.sum("n").alias("n")).where("n > 1").select("words")
+    # All windows of a string that occurs twice do; those of the others are looked up.
+    marks = windows.where("n = 1").join(again, "words", "left_semi").groupBy("sid").agg(F.collect_list("w").alias("ws"))
+    held = strings.join(marks.withColumnRenamed("sid", "marked"), F.col("sid") == F.col("marked"), "left").where("n > 1 or ws is not null").select("key", "packed", "ws")
+    many = F.size(F.split(F.col("packed").cast("string"), " ")) - width + 1
+    spread = F.flatten(F.transform("firsts", lambda f: F.transform("ws", lambda w: F.struct((f + w).alias("first"), (f + w + 1).alias("end")))))
+    all_ = F.transform("firsts", lambda f: F.struct(f.alias("first"), (f + many).cast("long").alias("end")))
+    return sent.join(held, ["key", "packed"]).select("doc_id", "_row", F.when(F.col("ws").isNull(), all_).otherwise(spread).alias("runs"))
 
 
 def _rows(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
     cols = list(zip(*rows, strict=True)) or [()] * 6
-    kinds = (None, pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+    kinds = (None, pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())
     return pa.RecordBatch.from_arrays([_signed(np.array(cols[0], np.uint64)), *(pa.array(c, k) for c, k in zip(cols[1:], kinds[1:], strict=True))], names)
 
 
@@ -165,7 +184,8 @@ def _judged(group: pa.Table, width: int) -> pa.RecordBatch:
         starts = (ends - lengths).tolist()
         entries += [(packed[a:b], s, w) for w, (a, b) in enumerate(zip(starts, ends[width - 1 :].tolist(), strict=False))]
     entries.sort()
-    weight = [len(x) for x in holders.values()]
+    docs, rows, firsts = (group.column(c).to_pylist() for c in ("doc_id", "_row", "firsts"))
+    weight = [sum(len(firsts[i]) for i in x) for x in holders.values()]
     twice: list[list[int]] = [[] for _ in weight]
     at = 0
     while at < len(entries):
@@ -176,16 +196,15 @@ def _judged(group: pa.Table, width: int) -> pa.RecordBatch:
             for _, s, w in entries[at:end]:
                 twice[s].append(w)
         at = end
-    docs, rows, firsts = (group.column(c).to_pylist() for c in ("doc_id", "_row", "first"))
     out: list[tuple] = []
     for windows, members in zip(twice, holders.values(), strict=True):
         if windows:
             windows.sort()
             cuts = [0, *(i for i in range(1, len(windows)) if windows[i] != windows[i - 1] + 1), len(windows)]
             runs = [(windows[a], windows[b - 1] + 1) for a, b in zip(cuts, cuts[1:], strict=False)]
-            out += [(docs[i], rows[i], firsts[i] + a, firsts[i] + b) for i in members for a, b in runs]
-    cols = list(zip(*out, strict=True)) or [()] * 4
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "_row", "first", "end"])
+            out += [(docs[i], rows[i], [{"first": f + a, "end": f + b} for f in firsts[i] for a, b in runs]) for i in members]
+    cols = list(zip(*out, strict=True)) or [()] * 3
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), _RUNS), strict=True)], ["doc_id", "_row", "runs"])
 
 
 def kept_words(words: list[bytes], runs: list[dict] | None, width: int) -> list[bytes]:
