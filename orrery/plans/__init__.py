@@ -1,0 +1,4 @@
+"""Named queries over the driver's tables."""
+
+from orrery.plans import ranking, sequence, text  # noqa: F401
+from orrery.plans.registry import REGISTRY  # noqa: F401
