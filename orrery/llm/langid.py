@@ -53,9 +53,11 @@ def train(docs: DataFrame, sample: int = SAMPLE, words: int = WORDS, grams: int
     def count(batches):
         for batch in batches:
             found: Counter = Counter()
+            seen: dict[str, Counter] = {}
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seen = Counter(words_of(text))
-                for word, k in seen.items():
+                seen.setdefault(lang, Counter()).update(words_of(text))
+            for lang, words_ in seen.items():  # a word's n-grams are cut once a batch
+                for word, k in words_.items():
                     found[lang, 0, word] += k
                     for n in GRAMS:
                         for g in grams_of(word, n):
