@@ -86,31 +86,43 @@ def fit(counts) -> dict:
 
 
 class Scorer:
-    """Scores texts; words seen before come from a bounded cache."""
+    """Scores texts; the log frequencies of words seen before come from a bounded cache."""
 
     def __init__(self, model: dict):
-        self.langs, self.logs = model["langs"], model["logs"]
+        self.langs = model["langs"]
         self.at: dict[str, int] = {}
         self.table = np.zeros((1024, max(1, len(self.langs))))
-
-    def vector(self, word: str) -> np.ndarray:
+        rows = [np.zeros((1, max(1, len(self.langs))))]  # row 0 is of what no table knows
+        self.order: list[tuple[int, dict[str, int]]] = []
+        begin = 1
+        for n in (0, *GRAMS):
+            known = model["logs"].get(n, {})
+            self.order.append((n, {g: begin + i for i, g in enumerate(known)}))
+            if known:
+                rows.append(np.array(list(known.values())))
+            begin += len(known)
+        self.rows = np.concatenate(rows)
+
+    def _found(self, word: str) -> list[int]:
+        """Rows of the word, or else of its longest known n-grams."""
         if not any(map(str.isalpha, word)):
-            return np.zeros(len(self.langs))
-        if (known := self.logs.get(0, {}).get(word)) is not None:
-            return known
-        for n in GRAMS:
-            table = self.logs.get(n, {})
-            if found := [table[g] for g in grams_of(word, n) if g in table]:
-                return np.mean(found, axis=0)
-        return np.zeros(len(self.langs))
-
-    def _learn(self, word: str) -> int:
-        at = len(self.at)
-        if at == len(self.table):
+            return [0]
+        for n, table in self.order:
+            found = [r for r in map(table.get, grams_of(word, n) if n else (word,)) if r is not None]
+            if found:
+                return found
+        return [0]
+
+    def learn(self, words: list[str]) -> None:
+        start, rows, begins = len(self.at), [], []
+        for w in words:
+            begins.append(len(rows))
+            rows += self._found(w)
+        while start + len(words) > len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        self.table[at] = self.vector(word)
-        self.at[word] = at
-        return at
+        sums = np.add.reduceat(self.rows[rows], begins, axis=0)
+        self.table[start : start + len(words)] = sums / np.diff([*begins, len(rows)])[:, None]
+        self.at.update(zip(words, range(start, start + len(words)), strict=True))
 
     def score(self, text: str | None) -> tuple[str, float]:
         if not text or not self.langs:
@@ -120,10 +132,9 @@ class Scorer:
             return UNDETERMINED, 0.0
         if len(self.at) > _CACHE:
             self.at.clear()
-        get, learn = self.at.get, self._learn
-        places = [learn(w) if i is None else i for w, i in zip(words, map(get, words), strict=True)]
-        # A word that occurs twice while unseen is learnt twice, to the same value.
-        total = self.table[places].sum(axis=0)
+        if unseen := list(dict.fromkeys(w for w in words if w not in self.at)):
+            self.learn(unseen)
+        total = self.table[list(map(self.at.__getitem__, words))].sum(axis=0)
         best = int(np.argmax(total))
         return self.langs[best], float(1 / np.exp(total - total[best]).sum())
 
