@@ -81,6 +81,24 @@ def products(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return out
 
 
+def best_of(held: list[tuple[np.ndarray, ...]], k: int) -> tuple[list[tuple[np.ndarray, ...]], int]:
+    """The k best of each query among (query, row, score) arrays, as one piece, and their number."""
+    if not held:
+        return [], 0
+    q, v, s = (np.concatenate(c) for c in zip(*held, strict=True))
+    order = np.lexsort((v, -s, q))
+    q, v, s = q[order], v[order], s[order]
+    first = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.zeros(0, np.int64)
+    place = np.arange(len(q)) - np.repeat(first, np.diff(np.r_[first, len(q)]))
+    keep = place < k
+    return [(q[keep], v[keep], s[keep])], int(keep.sum())
+
+
+def _ranked(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    q, v, s = held[0] if held else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    return pa.RecordBatch.from_arrays([pa.array(q), pa.array(v), pa.array(s)], ["query_id", "vec_id", "score"])
+
+
 def search(table: DataFrame, is_query: Column, k: int = 20, sample: int = SAMPLE, probe: float = PROBE, least: int = LEAST, block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score. is_query: a condition on table's rows."""
     spark = table.sparkSession
@@ -132,6 +150,7 @@ def search(table: DataFrame, is_query: Column, k: int = 20, sample: int = SAMPLE
     data = data.select(place.alias("place"), F.lit(False).alias("asks"), "vec_id", "embedding")
 
     def rank(batches):
+        held, rows = [], 0
         for group in groups(batches, "place"):
             asks = np.array(group.column("asks").to_pylist(), bool)
             ids = np.array(group.column("vec_id").to_pylist(), np.int64)
@@ -141,17 +160,19 @@ def search(table: DataFrame, is_query: Column, k: int = 20, sample: int = SAMPLE
             own, qs, qx, xs = ids[~asks], ids[asks], x[asks], x[~asks]
             for lo in range(0, len(qs), 256):
                 scores = products(qx[lo : lo + 256], xs)
-                out = []
                 for q, s in zip(qs[lo : lo + 256].tolist(), scores, strict=True):
                     s = np.where(own == q, -np.inf, s)
-                    if len(s) > k:
-                        at = np.flatnonzero(s >= np.partition(s, -k)[-k])
-                    else:
-                        at = np.arange(len(s))
+                    at = np.flatnonzero(s >= np.partition(s, -k)[-k]) if len(s) > k else np.arange(len(s))
                     at = at[np.isfinite(s[at])]
                     at = at[np.lexsort((own[at], -s[at]))][:k]
-                    out.append((np.full(len(at), q), own[at], s[at]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["query_id", "vec_id", "score"])
+                    held.append((np.full(len(at), q, np.int64), own[at], s[at]))
+                    rows += len(at)
+            if rows > 200_000:
+                held, rows = best_of(held, k)
+                if rows > 100_000:  # many queries: pass on what there is
+                    yield _ranked(held)
+                    held, rows = [], 0
+        yield _ranked(best_of(held, k)[0])
 
     met = asked.unionByName(data).repartition(partitions(spark), "place").sortWithinPartitions("place")
     found = met.mapInArrow(rank, "query_id long, vec_id long, score double")
