@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -50,22 +51,29 @@ def train(docs: DataFrame, sample: int = SAMPLE, words: int = WORDS, grams: int
     share = F.broadcast(sizes.select(F.col("lang").alias("l"), (F.lit(float(sample)) / F.col("count")).alias("share")))
     chosen = rows.join(share, F.col("lang") == F.col("l")).where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.col("share") * (1 << 20))
 
-    def count(batches):
+    def words_counted(batches):
         for batch in batches:
-            found: Counter = Counter()
             seen: dict[str, Counter] = {}
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 seen.setdefault(lang, Counter()).update(words_of(text))
-            for lang, words_ in seen.items():  # a word's n-grams are cut once a batch
-                for word, k in words_.items():
-                    found[lang, 0, word] += k
-                    for n in GRAMS:
-                        for g in grams_of(word, n):
-                            found[lang, n, g] += k
+            found = [(lang, w, k) for lang, words_ in seen.items() for w, k in words_.items()]
+            cols = list(zip(*found, strict=True)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.string(), pa.int64()), strict=True)], ["lang", "word", "c"])
+
+    def grams_counted(batches):
+        for batch in batches:
+            found: Counter = Counter()
+            for lang, word, k in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                found[lang, 0, word] += k
+                for n in GRAMS:
+                    for g in grams_of(word, n):
+                        found[lang, n, g] += k
             keys = list(found)
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.string()), pa.array(list(found.values()), pa.int64())], ["lang", "n", "gram", "c"])
 
-    counted = chosen.select("text", "lang").mapInArrow(count, "lang string, n int, gram string, c long").groupBy("lang", "n", "gram").agg(F.sum("c").alias("c"))
+    # n-grams are cut of the distinct words only.
+    distinct = chosen.select("text", "lang").mapInArrow(words_counted, "lang string, word string, c long").groupBy("lang", "word").agg(F.sum("c").alias("c"))
+    counted = distinct.mapInArrow(grams_counted, "lang string, n int, gram string, c long").groupBy("lang", "n", "gram").agg(F.sum("c").alias("c"))
     top = counted.withColumn("at", F.row_number().over(W.partitionBy("lang", "n").orderBy(F.desc("c"), "gram"))).where(F.col("at") <= F.when(F.col("n") == 0, words).otherwise(grams))
     return fit(top.select("lang", "n", "gram", "c").toPandas().itertuples(index=False))
 
@@ -90,9 +98,8 @@ class Scorer:
 
     def __init__(self, model: dict):
         self.langs = model["langs"]
-        self.at: dict[str, int] = {}
-        self.table = np.zeros((1024, max(1, len(self.langs))))
-        rows = [np.zeros((1, max(1, len(self.langs))))]  # row 0 is of what no table knows
+        width = max(1, len(self.langs))
+        rows = [np.zeros((1, width))]  # row 0 is of what no table knows
         self.order: list[tuple[int, dict[str, int]]] = []
         begin = 1
         for n in (0, *GRAMS):
@@ -102,49 +109,73 @@ class Scorer:
                 rows.append(np.array(list(known.values())))
             begin += len(known)
         self.rows = np.concatenate(rows)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.at: dict[str, int] = {}
+        self.table = np.zeros((1024, self.rows.shape[1]))
+        self.letters = np.zeros(1024, bool)
 
     def _found(self, word: str) -> list[int]:
         """Rows of the word, or else of its longest known n-grams."""
-        if not any(map(str.isalpha, word)):
+        if not word.isalpha() and not any(map(str.isalpha, word)):
             return [0]
         for n, table in self.order:
-            found = [r for r in map(table.get, grams_of(word, n) if n else (word,)) if r is not None]
+            if n == 0:
+                if (row := table.get(word)) is not None:
+                    return [row]
+                continue
+            padded = f"\x02{word}\x03" if n > 1 else word
+            found = [table[g] for i in range(len(padded) - n + 1) if (g := padded[i : i + n]) in table]
             if found:
                 return found
         return [0]
 
     def learn(self, words: list[str]) -> None:
+        """Adds words to the cache; one of several n-grams counts as their mean."""
         start, rows, begins = len(self.at), [], []
         for w in words:
             begins.append(len(rows))
             rows += self._found(w)
         while start + len(words) > len(self.table):
-            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+            self.table, self.letters = np.concatenate([self.table, np.zeros_like(self.table)]), np.concatenate([self.letters, np.zeros_like(self.letters)])
         sums = np.add.reduceat(self.rows[rows], begins, axis=0)
         self.table[start : start + len(words)] = sums / np.diff([*begins, len(rows)])[:, None]
+        self.letters[start : start + len(words)] = [w.isalpha() or any(map(str.isalpha, w)) for w in words]
         self.at.update(zip(words, range(start, start + len(words)), strict=True))
 
     def score(self, text: str | None) -> tuple[str, float]:
         if not text or not self.langs:
             return UNDETERMINED, 0.0
         words = words_of(text)
-        if not words or not any(any(map(str.isalpha, w)) for w in words):
-            return UNDETERMINED, 0.0
         if len(self.at) > _CACHE:
-            self.at.clear()
-        if unseen := list(dict.fromkeys(w for w in words if w not in self.at)):
-            self.learn(unseen)
-        total = self.table[list(map(self.at.__getitem__, words))].sum(axis=0)
+            self._forget()
+        if unseen := set(words).difference(self.at):
+            self.learn(list(unseen))
+        places = np.fromiter(map(self.at.__getitem__, words), np.intp, len(words))
+        if not self.letters[places].any():
+            return UNDETERMINED, 0.0
+        total = self.table.take(places, axis=0).sum(axis=0)
         best = int(np.argmax(total))
         return self.langs[best], float(1 / np.exp(total - total[best]).sum())
 
 
+_scorer: list[tuple[str, Scorer]] = []
+
+
+def _scorer_of(key: str, model) -> Scorer:
+    """The scorer of a model; the tasks that a worker runs one after another share it with its caches."""
+    if not _scorer or _scorer[0][0] != key:
+        _scorer[:] = [(key, Scorer(model.value))]
+    return _scorer[0][1]
+
+
 def predict(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id, lang_pred and score for every row of docs."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def of(batches):
-        scorer = Scorer(shared.value)
+        scorer = _scorer_of(key, shared)
         for batch in batches:
             found = [scorer.score(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], ["doc_id", "lang_pred", "score"])
@@ -154,11 +185,11 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
 
 def keep_identified(docs: DataFrame, model: dict, least: float = 0.5) -> DataFrame:
     """docs without the rows whose language is undetermined or whose score is under least. The row travels with its verdict."""
-    shared, columns = docs.sparkSession.sparkContext.broadcast(model), docs.columns
+    shared, columns, key = docs.sparkSession.sparkContext.broadcast(model), docs.columns, uuid.uuid4().hex
     at = columns.index("text")
 
     def of(batches):
-        scorer = Scorer(shared.value)
+        scorer = _scorer_of(key, shared)
         for batch in batches:
             found = [scorer.score(t) for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array([lang != UNDETERMINED and score >= least for lang, score in found], pa.bool_()))
