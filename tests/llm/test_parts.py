@@ -180,3 +180,17 @@ def test_pipeline_takes_an_empty_table(spark, empty):
     import corpus_pipeline
 
     assert corpus_pipeline.run(spark, empty).count() == 0
+
+
+def test_cached_tokens_equal_whole_texts():
+    from array import array
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from orrery.llm.packing import Tokens
+
+    path = str(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["", " ", "don't 'S it'S!!! ABC,DEF word$$$ ié... über!!! <|endoftext|> a<|ENDOFTEXT|>b", "İ! ıI ǅ ㎏! ⅷ! ﬁn. ̈! a ̈b = ̸ x y", "日本語。日本語! \x1c\x1d אַ! ​zero​ naïve,", "plain words " * 300]
+    whole = Tokenizer.from_file(path)
+    assert list(Tokens(path).ids([t.encode() for t in texts])) == [array("I", whole.encode(t, add_special_tokens=False).ids).tobytes() for t in texts]
