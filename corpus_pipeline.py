@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import langid, mixing, packing, pii, simhash
+from orrery.llm import copies, langid, mixing, packing, pii
 from orrery.llm._shared import stage
 from orrery.llm.queries import tokenizer_path
 
@@ -16,11 +16,13 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each near-duplicate component stays."""
-    found = simhash.near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("__or_kept")).distinct()
+    """The document with the smallest doc_id of each component of near copies (5-word shingles, Jaccard 0.8 or more) stays."""
+    rows = stage(docs.withColumn("__or_row", F.monotonically_increasing_id()), "rows")
+    named = copies.near_copies(rows.select(F.col("__or_row").alias("row"), "text")).withColumnRenamed("row", "__or_row")
+    found = named.join(rows.select("__or_row", "doc_id"), "__or_row").groupBy("root").agg(F.min("doc_id").alias("__or_kept")).select("__or_kept").distinct()
     # Documents without an id belong to no component's smallest id; they stay.
-    kept = docs.join(found, F.col("doc_id") == F.col("__or_kept"), "left_semi")
-    return kept.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    kept = rows.join(found, F.col("doc_id") == F.col("__or_kept"), "left_semi")
+    return kept.dropDuplicates(["doc_id"]).unionByName(rows.where("doc_id is null")).drop("__or_row")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
