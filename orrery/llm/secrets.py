@@ -4,6 +4,7 @@ Base secrets are assignments, access key ids and long hexadecimal runs of the fi
 or hexadecimal are decoded and reported only if their structure holds: `token` (three base64url parts whose header is a JSON object that names an algorithm,
 whose claims are a JSON object and whose signature decodes), `pem` (a key block whose body is DER or an OpenSSH key), `der` (a bare base64 or hexadecimal run that decodes to a DER
 sequence which starts with an integer or an algorithm and whose nested lengths all fit) and `openssh` (a bare run that decodes to an OpenSSH key).
+Runs of base64 or base64url of 40 characters at least may follow anything but a letter or digit and go on over line breaks; a run that decodes to a `pem` is one.
 
 A null or empty text has no spans; positions are code points, the end exclusive. Whole texts are scanned, row by row: repeated rows and rows with null
 doc_id keep a row each. Empty tables give empty results. Columns other than doc_id and text are ignored.
@@ -15,6 +16,7 @@ import base64
 import binascii
 import json
 import re
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,9 +28,15 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "token", "pem", "der", "openssh")
 
-_TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)")
+#: A JSON object begins with a brace or white space, so its base64url with one of CDIe.
+_TOKEN = re.compile(r"(?<![A-Za-z0-9_-])([CDIe][A-Za-z0-9_-]{7,})\.([CDIe][A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]{16,})")
 _PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*(?:PRIVATE|PUBLIC) KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
-_BASE64 = re.compile(r"(?<![A-Za-z0-9+/=])(?:MI|MF|MC|b3BlbnNzaC1rZXktdjE)[A-Za-z0-9+/]{38,}={0,2}(?![A-Za-z0-9+/=])")
+#: Runs of base64 or base64url over one or more lines, and where a key may start in one: at a sequence, an OpenSSH key or an encoded block, after anything but a letter or digit.
+_RUN = re.compile(r"[A-Za-z0-9+/_-]+(?:[\x20\t]*\r?\n[\x20\t]*[A-Za-z0-9+/_-]+)*")
+_LINE = re.compile(r"[A-Za-z0-9+/_-]+")
+_START = re.compile(r"(?<![A-Za-z0-9])(?:M[A-P][A-Za-z0-9+/_-]{6}|b3BlbnNzaC1rZXktdjE|LS0tLS1)|[A-Za-z0-9+/_-]{40}")
+_SIGN = re.compile(r"[+/_-](?=M[A-P]|b3Bl|LS0t)")
+_LEAST = 40
 _HEX_DER = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{62,}(?![0-9A-Fa-f])")
 _MAGIC = b"openssh-key-v1\x00"
 
@@ -83,6 +91,12 @@ def der_key(data: bytes) -> bool:
         if first:  # a version or modulus, or an algorithm's sequence, and a key after it
             if len(inner) < 2 or inner[0][0] not in (0x02, 0x30):
                 return False
+            if inner[0][0] == 0x30 and data[inner[0][1] : inner[0][1] + 1] != b"\x06":  # an algorithm begins with its identifier, a certificate's sequence doesn't
+                return False
+            if [x[0] for x in inner] == [0x02, 0x02]:  # a modulus is far longer than its exponent, the two integers of a signature are not
+                (_, a, b), (_, c, d) = inner
+                if b - a <= 2 * (d - c):
+                    return False
             first = False
         open_ += [x for x in inner if x[0] in (0x30, 0x31, 0xA0, 0xA1)]
     return True
@@ -102,11 +116,92 @@ def openssh_key(data: bytes) -> bool:
 
 def _decoded(text: str) -> bytes | None:
     try:
-        return base64.b64decode(text + "=" * (-len(text) % 4), validate=True)
+        return base64.b64decode(text.replace("-", "+").replace("_", "/") + "=" * (-len(text) % 4), validate=True)
     except (binascii.Error, ValueError):
         return None
 
 
+def _pem_end(data: bytes) -> int:
+    """The end of the first sound key block in data; 0 if there is none."""
+    if b"-----BEGIN" not in data:
+        return 0
+    for m in _PEM.finditer(data.decode("latin-1")):
+        body = _decoded("".join(m[2].split()).rstrip("="))
+        if body and (der_key(body) or openssh_key(body)):
+            return m.end()
+    return 0
+
+
+def _openssh_end(data: bytes) -> int:
+    """The end of an OpenSSH key by its own lengths; 0 if they don't fit."""
+    at = len(_MAGIC)
+    for k in range(4 + 16):
+        n = int.from_bytes(data[at : at + 4], "big")
+        if at + 4 > len(data):
+            return 0
+        if k == 3:  # the count of public keys; the private ones are one field after them
+            left = n + 1
+            at += 4
+            continue
+        at += 4 + n
+        if k > 3 and k - 3 == left:
+            return at if at <= len(data) else 0
+    return 0
+
+
+def encoded_keys(text: str) -> list[tuple[int, int, int]]:
+    """(start, kind, end) of the keys in base64 or base64url, on one line or several: what a run decodes to decides, and its own lengths tell its end."""
+    found, run, tried, done = [], None, False, 0
+    first = _START.search(text)
+    while first:
+        start, known = first.start(), first[0].startswith(("M", "b3BlbnNzaC1rZXktdjE", "LS0tLS1"))
+        if run is None or start >= run.end():
+            run, tried = _RUN.match(text, start), False
+            lines = [(m.start(), m.end()) for m in _LINE.finditer(text, start, run.end())]
+            joined = "".join(text[a:b] for a, b in lines)
+            begins, at = [a for a, _ in lines], [0]
+            for a, b in lines:
+                at.append(at[-1] + b - a)
+            ends = {n: b for n, (_, b) in zip(at[1:], lines, strict=True)}
+        k = bisect_right(begins, start) - 1
+        s = at[k] + start - lines[k][0]
+        end = kind = 0
+        if start >= done and len(joined) - s >= _LEAST:
+            head = _decoded(joined[s : s + 8]) if known else None
+            if head and head[0] == 0x30:
+                size = 2 + head[1] if head[1] < 0x80 else 2 + (head[1] & 0x7F) + int.from_bytes(head[2 : 2 + (head[1] & 0x7F)], "big") if 0x81 <= head[1] <= 0x84 else 0
+                n = -(-size * 4 // 3)
+                if n >= _LEAST and s + n in ends and der_key(_decoded(joined[s : s + n]) or b""):
+                    end, kind = ends[s + n], 5
+            elif head and joined.startswith("b3BlbnNzaC1rZXktdjE", s):
+                whole = _decoded(joined[s : len(joined) - (len(joined) - s) % 4]) or b""
+                n = s + -(-_openssh_end(whole + (_decoded(joined[len(joined) - (len(joined) - s) % 4 :]) or b"")) * 4 // 3)
+                if n > s and n in ends:
+                    end, kind = ends[n], 6
+                elif openssh_key(_decoded(joined[s : at[k + 1]]) or b""):
+                    end, kind = lines[k][1], 6
+            if not end and (joined.startswith("LS0tLS1", s) or not (known or tried)):
+                tried = tried or not known
+                last = len(joined) - (1 if (len(joined) - s) % 4 == 1 else 0)
+                if n := _pem_end(_decoded(joined[s:last]) or b""):
+                    n = s + -(-n * 4 // 3)
+                    end, kind = next(b for m, b in ends.items() if m >= n), 4
+        if end:
+            while end < len(text) and text[end] == "=" and text[end - 2 : end] != "==":
+                end += 1
+            found.append((start, kind, end))
+            done = end
+        first = _START.search(text, max(done, start + (1 if known else _skip(text, start))))
+    return found
+
+
+def _skip(text: str, start: int) -> int:
+    """Up to the next place in a run at which a key may start, or past its line."""
+    line = _LINE.match(text, start)
+    sign = _SIGN.search(text, start, line.end())
+    return sign.end() - start if sign else line.end() - start
+
+
 def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """(start, kind, end) of the base secrets, and of all, each in order."""
     low = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6]
@@ -114,20 +209,15 @@ def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, in
         low += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
     low += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     more = []
-    if "eyJ" in text:
+    if "." in text:
         more += [(m.start(), 3, m.end()) for m in _TOKEN.finditer(text) if signed_token(*m.groups())]
     if "-----BEGIN" in text:
         for m in _PEM.finditer(text):
-            data = _decoded("".join(m[2].split()))
+            data = _decoded("".join(m[2].split()).rstrip("="))
             if data and (der_key(data) or openssh_key(data)):
                 more.append((m.start(), 4, m.end()))
     blocks = [(a, b) for a, k, b in more if k == 4]
-    for m in _BASE64.finditer(text):
-        if any(a <= m.start() < b for a, b in blocks):
-            continue
-        data = _decoded(m[0].rstrip("="))
-        if data and (der_key(data) or openssh_key(data)):
-            more.append((m.start(), 6 if data.startswith(_MAGIC) else 5, m.end()))
+    more += [x for x in encoded_keys(text) if not any(a <= x[0] < b for a, b in blocks)]
     for m in _HEX_DER.finditer(text):
         if len(m[0]) % 2 == 0 and der_key(bytes.fromhex(m[0])):
             more.append((m.start(), 5, m.end()))

@@ -78,3 +78,53 @@ def test_pipeline_near_duplicates_equal_brute_force(spark, tricky, data):
         for (d, _), g in zip(rows, group, strict=True):
             least[g] = min(d, least.get(g, d))
         assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == sorted(least.values())
+
+
+def der(tag, body):
+    n = len(body)
+    size = bytes([n]) if n < 128 else bytes([0x81, n]) if n < 256 else bytes([0x82]) + n.to_bytes(2, "big")
+    return bytes([tag]) + size + body
+
+
+def test_secrets_of_every_length_wrapped_and_after_signs():
+    import base64
+    import json
+
+    from orrery.llm import secrets
+
+    rng = random.Random(4)
+    octets = lambda n: bytes(rng.randrange(1, 256) for _ in range(n))
+    found = lambda text: [(secrets.KINDS[k], text[a:b]) for a, k, b in secrets.scan(text)[1] if k > 2]
+    ec = lambda n, oid: der(0x30, der(0x02, b"\x01") + der(0x04, octets(n)) + der(0xA0, oid) + der(0xA1, der(0x03, b"\0\4" + octets(2 * n))))
+    curve = bytes.fromhex("06082a8648ce3d030107")
+    keys = [ec(28, curve), ec(32, curve), ec(32, curve[:1] + b"\5" + curve[2:7]), ec(48, curve), ec(66, curve), der(0x30, der(0x30, der(0x06, octets(7)) + der(0x06, octets(5))) + der(0x03, b"\0\4" + octets(96)))]
+    keys += [der(0x30, b"".join(der(0x02, b"\1" * k) for k in (1, 64 * n, 3, 64 * n, 32 * n, 32 * n))) for n in (1, 4)]
+    for key in keys:
+        body = base64.b64encode(key).decode()
+        url = base64.urlsafe_b64encode(key).decode()
+        for b in (body, url, url.rstrip("=")):
+            for before in ("", "PRIVATE_KEY=", "a b/", "path/to/", 'key="', "(", "KEY_"):
+                assert found(f"{before}{b} then") == [("der", b)], (before, b)
+        for width in (32, 64, 76):
+            wrapped = "\n".join(body[i : i + width] for i in range(0, len(body), width))
+            assert found(f"see\n{wrapped}\nand more\n") == [("der", wrapped)]
+            assert found(f"see {wrapped}\r\nand more\n".replace("\n", "\r\n")) != []
+        lines = "\n".join(body[i : i + 64] for i in range(0, len(body), 64))
+        pem = f"-----BEGIN EC PRIVATE KEY-----\n{lines}\n-----END EC PRIVATE KEY-----\n"
+        assert found(pem) == [("pem", pem[:-1])]
+        twice = base64.b64encode(pem.encode()).decode()
+        assert found(f"KEY={twice} x") == [("pem", twice)]
+        folded = "\n".join(twice[i : i + 76] for i in range(0, len(twice), 76))
+        assert found(f"data:\n{folded}\nmore") == [("pem", folded)]
+    part = lambda x: base64.urlsafe_b64encode(x.encode()).decode().rstrip("=")
+    for head in (json.dumps({"alg": "HS256"}), '{ "alg": "HS256" }', '{\n  "alg": "HS256"\n}', ' {"alg":"none"}'):
+        token = f"{part(head)}.{part('{ }')}.{'s' * 43}"
+        assert found(f"bearer {token} x") == [("token", token)]
+    ssh = b"openssh-key-v1\x00" + b"".join(len(x).to_bytes(4, "big") + x for x in (b"none", b"none", b"")) + (1).to_bytes(4, "big")
+    ssh += b"".join(len(x).to_bytes(4, "big") + x for x in (octets(51), octets(141)))
+    body = base64.b64encode(ssh).decode()
+    wrapped = "\n".join(body[i : i + 70] for i in range(0, len(body), 70))
+    assert found(f"k={body} x") == [("openssh", body)] and found(f"k:\n{wrapped}\nword") == [("openssh", wrapped)]
+    signature = base64.b64encode(der(0x30, der(0x02, octets(32)) + der(0x02, octets(32)))).decode()
+    certificate = base64.b64encode(der(0x30, der(0x30, der(0xA0, der(0x02, b"\2")) + octets(0)) + der(0x30, der(0x06, octets(9))) + der(0x03, octets(65)))).decode()
+    assert found(signature) == [] and found(certificate) == [] and found("M" * 5000 + "\nMIIE" * 500) == []
