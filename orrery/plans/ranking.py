@@ -78,6 +78,16 @@ def q_pvp_best_by_family(spark: SparkSession, sf_dir: str) -> DataFrame:
     return won.select(F.col("family").cast("long").alias("family"), "league", "w.id", F.col("w.species").cast("long").alias("species"), F.col("w.level2").alias("level2"), "w.cp", F.floor("w.product").cast("long").alias("product"))
 
 
+def iv_ranks(spark: SparkSession, lines: DataFrame) -> DataFrame:
+    """The rank of each of the 4096 value triples of every stat line, by league."""
+    sixteen = lambda n: spark.range(16).withColumnRenamed("id", n)
+    grid = lines.crossJoin(sixteen("ia")).crossJoin(sixteen("idf")).crossJoin(sixteen("ist"))
+    best = best_level(grid, levels(spark), leagues(spark), ["species", "atk", "def", "sta", "ia", "idf", "ist"])
+    product = scoring.stat_product(F.col("atk") + F.col("ia"), F.col("def") + F.col("idf"), F.col("sta") + F.col("ist"), F.col("cpm"))
+    order = W.partitionBy("species", "league").orderBy(F.desc(product), F.desc("level2"), "ia", "idf", "ist")
+    return best.select(F.col("species").cast("long").alias("species"), "league", "ia", "idf", "ist", "level2", F.row_number().over(order).cast("long").alias("rnk"))
+
+
 @query(f"""WITH {OWNED_SQL}, caps(league,cap) AS (VALUES ('LL',500),('GL',1500),('UL',2500)),
 g AS (SELECT species, atk, def, sta, a.n AS ia, d.n AS idf, s.n AS ist FROM stats, range(16) a(n), range(16) d(n), range(16) s(n) WHERE species<2),
 e AS (SELECT *, greatest(10, floor((atk+ia)*sqrt((def+idf)::DOUBLE)*sqrt((sta+ist)::DOUBLE)*cpm*cpm/10)) AS cp FROM g CROSS JOIN cpm),
@@ -85,12 +95,13 @@ b AS (SELECT *, row_number() OVER (PARTITION BY species, ia, idf, ist, league OR
 p AS (SELECT *, ((atk+ia)*cpm)*((def+idf)*cpm)*floor((sta+ist)*cpm) AS product FROM b WHERE rn=1)
 SELECT species::BIGINT AS species, league, ia, idf, ist, level2, row_number() OVER (PARTITION BY species, league ORDER BY product DESC, level2 DESC, ia, idf, ist)::BIGINT AS rnk FROM p""")
 def q_iv_rank_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sixteen = lambda n: spark.range(16).withColumnRenamed("id", n)
-    grid = stats(spark, sf_dir).where("species < 2").crossJoin(sixteen("ia")).crossJoin(sixteen("idf")).crossJoin(sixteen("ist"))
-    best = best_level(grid, levels(spark), leagues(spark), ["species", "atk", "def", "sta", "ia", "idf", "ist"])
-    product = scoring.stat_product(F.col("atk") + F.col("ia"), F.col("def") + F.col("idf"), F.col("sta") + F.col("ist"), F.col("cpm"))
-    order = W.partitionBy("species", "league").orderBy(F.desc(product), F.desc("level2"), "ia", "idf", "ist")
-    return best.select(F.col("species").cast("long").alias("species"), "league", "ia", "idf", "ist", "level2", F.row_number().over(order).cast("long").alias("rnk"))
+    # Two stat lines, as its SQL has it; q_iv_rank_grid_full ranks all.
+    return iv_ranks(spark, stats(spark, sf_dir).where("species < 2"))
+
+
+@query()
+def q_iv_rank_grid_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return iv_ranks(spark, stats(spark, sf_dir))
 
 
 @query("""WITH c AS (SELECT n AS level, 0.1*sqrt(n::DOUBLE) AS cpm FROM range(1,51) t(n)), h AS (SELECT level+0.5 AS level, sqrt((cpm*cpm+nxt*nxt)/2) AS cpm FROM (SELECT level, cpm, lead(cpm) OVER (ORDER BY level) AS nxt FROM c) WHERE nxt IS NOT NULL)
