@@ -1,9 +1,10 @@
 """Personal data: fixed shapes, and bootstrapped contextual extraction, with DataFrame operations only.
 
-Base entities are e-mail addresses, IP addresses, card numbers and phone numbers of the fixed patterns below. They seed the bootstrap: the two words before an
-entity, with its kind, are a lexical pattern; patterns and the instances (distinct strings) they introduce form a graph. Each round
-scores a pattern by the share of its instances that are known, and takes the unknown instances of patterns with at least
-`support` known instances and a share of at least `confidence` as known in the next round. An occurrence of an identifier that is not in a base
+Base entities are e-mail addresses, IP addresses, card numbers and phone numbers of the fixed patterns below. They seed the bootstrap: the words before an
+entity are a lexical pattern (a label attached to it, else two words, or the one there is; numbers and addresses among them count as one sign, so that items of a list
+have patterns too); patterns and the instances (distinct strings) they introduce form a graph. A pattern is accepted if at least `support` of its instances are
+known, these are at least a share of `confidence` of the known and the contradicted ones (unknown instances met under `support` patterns or more that have no known one,
+as ordinary numbers are), and at least a share of `majority` of all. Instances of accepted patterns are known from then on, until no instance is added. An occurrence of an identifier that is not in a base
 entity is reported, as kind `context`, where an accepted pattern introduces it. Identifiers are runs of 5 to 30 digits and
 hyphens with up to 4 letters before them. Counting distinct strings keeps copies of a document from vouching for themselves.
 
@@ -28,7 +29,7 @@ KINDS = ("email", "ip", "card", "phone", "context")
 
 
 def occurrences(text: Column, pattern: str, kind: str) -> Column:
-    """Array of (start, end, kind, found, before) of the pattern's leftmost matches; before: the 80 characters ahead at most."""
+    """Array of (start, end, kind, found, before) of the pattern's leftmost matches; before: the 96 characters of the text ahead at most."""
     pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pairs = F.filter(F.arrays_zip(pieces.alias("p"), found.alias("m")), lambda x: x["m"].isNotNull())
     empty = F.expr("cast(array() as array<struct<start: int, end: int, kind: int, found: string, before: string>>)")
@@ -36,10 +37,11 @@ def occurrences(text: Column, pattern: str, kind: str) -> Column:
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["p"])
         end = start + F.length(x["m"])
-        one = F.struct(start.alias("start"), end.alias("end"), F.lit(KINDS.index(kind)).alias("kind"), x["m"].alias("found"), F.right(x["p"], F.lit(80)).alias("before"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+        before = F.right(F.concat(acc["tail"], x["p"]), F.lit(96))
+        one = F.struct(start.alias("start"), end.alias("end"), F.lit(KINDS.index(kind)).alias("kind"), x["m"].alias("found"), before.alias("before"))
+        return F.struct(end.alias("at"), F.right(F.concat(before, x["m"]), F.lit(96)).alias("tail"), F.concat(acc["out"], F.array(one)).alias("out"))
 
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
+    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), empty.alias("out")), step, lambda acc: acc["out"])
 
 
 def _digits(found: Column) -> Column:
@@ -71,11 +73,14 @@ def base(text: Column) -> Column:
 
 
 def _cue(x: Column) -> Column:
-    """The two words before an occurrence, in lower case; empty if there are fewer."""
-    return F.lower(F.regexp_extract(F.concat(F.lit(" "), x["before"]), r"\s(\S{1,38}\s+\S{1,38})\s+$", 1))
+    """The label attached to an occurrence, or the two words before it, or the one; in lower case, with # for numbers and addresses."""
+    bare = F.regexp_replace(F.lower(x["before"]), r"[^\s@]++@[a-z0-9-]++(?:\.[a-z0-9-]++)*+", "#")
+    bare = F.regexp_replace(F.regexp_replace(bare, r"[0-9](?:[\s().+-]*+[0-9])*+", "#"), r"\s+", " ")
+    attached = F.regexp_extract(bare, r"(?:^|\s)(\S*\p{L}\S*)\z", 1)
+    return F.when(attached != "", attached).otherwise(F.ltrim(F.regexp_extract(bare, r"(?:^|\s)((?:\S+ )?\S+ ?)\z", 1)))
 
 
-def spans(docs: DataFrame, rounds: int = 2, support: int = 5, confidence: float = 0.9) -> DataFrame:
+def spans(docs: DataFrame, support: int = 5, confidence: float = 0.9, majority: float = 0.5) -> DataFrame:
     """doc_id, the base entities and all spans (arrays of start, end, kind), for every row of docs."""
     text = F.coalesce(F.col("text"), F.lit(""))
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), base(text).alias("base"), F.when(text.rlike("[0-9]{2}|[0-9]-[0-9]"), occurrences(text, IDENTIFIER, "context")).alias("ids"))
@@ -86,12 +91,19 @@ def spans(docs: DataFrame, rounds: int = 2, support: int = 5, confidence: float
     graph = seeds.unionByName(wild).select(F.col("x.kind").alias("kind"), _cue(F.col("x")).alias("cue"), F.col("x.found").alias("instance")).where("cue <> ''").distinct()
     graph = stage(graph, "graph")
     unknown = KINDS.index("context")
-    known = graph.where(F.col("kind") < unknown).select("instance").distinct()
-    for _ in range(rounds):
-        marked = graph.join(known.withColumn("hit", F.lit(1)), "instance", "left")
-        scored = marked.groupBy("cue").agg(F.count_distinct(F.when(F.col("hit") == 1, F.col("instance"))).alias("good"), F.count_distinct("instance").alias("all"))
-        patterns = stage(scored.where((F.col("good") >= support) & (F.col("good") >= confidence * F.col("all"))).select("cue"), "patterns")
-        known = stage(known.unionByName(graph.join(patterns, "cue", "left_semi").select("instance")).distinct(), "known")
+    known = stage(graph.where(F.col("kind") < unknown).select("instance").distinct(), "known")
+    edges, size = graph.select("cue", "instance").distinct(), known.count()
+    while True:  # accepted patterns and known instances only grow, so this ends
+        marked = edges.join(known.withColumn("hit", F.lit(1)), "instance", "left")
+        plain = marked.groupBy("cue").agg(F.count("hit").alias("good")).where("good = 0").select("cue")
+        contradicted = marked.where("hit is null").join(plain, "cue", "left_semi").groupBy("instance").count().where(F.col("count") >= support).select("instance", F.lit(1).alias("bad"))
+        scored = marked.join(contradicted, "instance", "left").groupBy("cue").agg(F.count("hit").alias("good"), F.count("bad").alias("bad"), F.count("*").alias("all"))
+        enough = (F.col("good") >= support) & (F.col("good") >= confidence * (F.col("good") + F.col("bad"))) & (F.col("good") >= majority * F.col("all"))
+        patterns = stage(scored.where(enough).select("cue"), "patterns")
+        known, before = stage(known.unionByName(edges.join(patterns, "cue", "left_semi").select("instance")).distinct(), "known"), size
+        size = known.count()
+        if size == before:
+            break
     shape = "array<struct<start: int, end: int, kind: int>>"
     bare = F.transform("base", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind")))
     # Rows with identifiers to judge go through the patterns; the others are ready.

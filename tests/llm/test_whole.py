@@ -128,3 +128,36 @@ def test_secrets_of_every_length_wrapped_and_after_signs():
     signature = base64.b64encode(der(0x30, der(0x02, octets(32)) + der(0x02, octets(32)))).decode()
     certificate = base64.b64encode(der(0x30, der(0x30, der(0xA0, der(0x02, b"\2")) + octets(0)) + der(0x30, der(0x06, octets(9))) + der(0x03, octets(65)))).decode()
     assert found(signature) == [] and found(certificate) == [] and found("M" * 5000 + "\nMIIE" * 500) == []
+
+
+def test_bootstrap_runs_to_its_end_and_takes_every_cue(spark):
+    from orrery.llm import pii
+
+    mail = lambda k: f"user{k}@example.org"
+    texts, want = [], {}
+
+    def say(text, *found):
+        want[len(texts)] = set(found)
+        texts.append(text)
+
+    for k in range(6):  # a chain of four rounds: each cue knows six instances and brings six more
+        say(f"first cue {mail(k)} end")
+        for n, cue in enumerate(("first cue", "second hop", "third leg", "last one")):
+            say(f"so {cue} {n}100-{k} end", f"{n}100-{k}")
+            say(f"so {('first cue', 'second hop', 'third leg', 'last one')[min(n + 1, 3)]} {n}100-{k} end", f"{n}100-{k}")
+        say(f"SSN: {mail(k + 10)}")
+        say(f"the ID:{mail(k + 20)} x")
+        say(f"call ({mail(k + 30)} x")
+        say(f"reach us {mail(k + 40)}, {mail(k + 50)} x")
+        for word in ("a", "b", "c", "d", "e"):
+            say(f"dull {word}thing 77700-{k} x")
+        say(f"mixed bag {mail(k + 60)} x")
+    say("SSN: 123-45-6789", "123-45-6789")
+    say("an ID:54321-1 x", "54321-1")
+    say("call (54321-2 x", "54321-2")
+    say("reach us 54321-3, 54321-4 x", "54321-3", "54321-4")
+    for k in range(6):  # its unseen instances are those of a dull context
+        say(f"mixed bag 77700-{k} x")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: {texts[r["doc_id"]][s["start"] : s["end"]] for s in r["spans"] if s["kind"] == 4} for r in pii.spans(docs).collect()}
+    assert {k: v for k, v in found.items() if v != want[k]} == {}
