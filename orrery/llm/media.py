@@ -3,7 +3,7 @@
 The writer makes an ID3v2.4 tag (with the payload's length), a frame with a Xing table (frames, bytes and 100 seek points), then frames with CRC whose side
 information declares silence and whose main data carries the payload, octet by octet. Bit rates vary to fit what is left. The reader works on any stream: it
 skips tags, resynchronises on frame headers (a sync word counts only if the next header, or the end, stands where the frame says), parses the variable-bitrate
-table, verifies checksums, and gives exact durations and the offset of each frame.
+table (Xing, Info or VBRI), verifies the checksums of Layer III (those of Layers I and II are left out), and gives exact durations and the offset of each frame.
 
 A null text counts as empty; payloads are padded with zero bytes to a positive multiple of 64. Rows are independent: repeated rows keep a row each, equal texts have equal
 results. Frames are handled one by one, whatever the text's length. Empty tables give empty results. Columns other than doc_id and text are ignored.
@@ -125,11 +125,14 @@ def read(data: bytes) -> dict:
     offsets: list[int] = []
     bad = skipped = 0
     duration, table, main, hertz, samples = Fraction(0), None, [], 0, 0
-    end = len(data) - 128 if data[-128:-125] == b"TAG" else len(data)
+    end, note = len(data), len(data) - 128 if data[-128:-125] == b"TAG" else -1
     while at + 4 <= end:
+        if at == note:  # an ID3v1 tag, as frames end where it begins; elsewhere these octets are payload
+            end = at
+            break
         h = header(data[at : at + 4])
         nxt = at + h[2] if h else 0
-        if not h or nxt > end or (not offsets and nxt + 4 <= end and not header(data[nxt : nxt + 4])):
+        if not h or nxt > end or (not offsets and nxt + 4 <= end and nxt != note and not header(data[nxt : nxt + 4])):
             sync = data.find(b"\xff", at + 1, end)
             to = sync if sync >= 0 else end
             skipped += to - at
@@ -151,6 +154,9 @@ def read(data: bytes) -> dict:
                     pos += 4
             if flags & 4:
                 table["seek"] = data[pos : pos + 100]
+        elif not offsets and table is None and layer == 3 and data[at + 36 : at + 40] == b"VBRI":  # at a fixed place, whatever the side information's size
+            entries, scale, width = (int.from_bytes(data[at + 36 + k : at + 38 + k], "big") for k in (18, 20, 22))
+            table = {"bytes": int.from_bytes(data[at + 46 : at + 50], "big"), "frames": int.from_bytes(data[at + 50 : at + 54], "big"), "scale": scale, "width": width, "seek": data[at + 62 : at + 62 + entries * width]}
         else:
             offsets.append(at)
             main.append(data[body:nxt])

@@ -161,3 +161,33 @@ def test_bootstrap_runs_to_its_end_and_takes_every_cue(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     found = {r["doc_id"]: {texts[r["doc_id"]][s["start"] : s["end"]] for s in r["spans"] if s["kind"] == 4} for r in pii.spans(docs).collect()}
     assert {k: v for k, v in found.items() if v != want[k]} == {}
+
+
+@pytest.mark.parametrize("n", [65, 100, 128, 3000])
+def test_media_payload_may_hold_a_tag_sign(n):
+    from orrery.llm import media
+
+    for at in range(n - 2):
+        data = bytearray(b"x" * n)
+        data[at : at + 3] = b"TAG"
+        found = media.read(media.write(bytes(data)))
+        assert (found["payload"], found["bad"], found["skipped"]) == (bytes(data), 0, 0)
+    stream = media.write(bytes(data))
+    plain, tagged = media.read(stream), media.read(stream + b"TAG" + b"t" * 125)
+    assert tagged == plain
+    alone = stream[plain["offsets"][-1] :] + b"TAG" + b"t" * 125
+    assert len(media.read(alone)["offsets"]) == 1 and media.read(alone)["skipped"] == 0
+
+
+def test_media_reads_a_vbri_table():
+    from orrery.llm import media
+
+    stream = media.write(b"y" * 3000)
+    offsets = media.read(stream)["offsets"]
+    first = bytearray(stream[: offsets[0]])
+    at = first.index(b"Xing") - media.SIDE - 6
+    first[at + 6 :] = bytes(len(first) - at - 6)
+    first[at + 36 : at + 66] = b"VBRI" + bytes.fromhex("0001 0000 0000 00000bb8 00000003 0002 0001 0002 0001 0102 0304")
+    found = media.read(bytes(first) + stream[offsets[0] :])
+    assert found["table"] == {"bytes": 3000, "frames": 3, "scale": 1, "width": 2, "seek": b"\1\2\3\4"}
+    assert found["offsets"] == offsets and found["payload"] == b"y" * 3000
