@@ -16,13 +16,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each component of near copies (5-word shingles, Jaccard 0.8 or more) stays."""
+    """One row of each component of near copies (5-word shingles, Jaccard 0.8 or more) stays: that of the smallest doc_id (nulls last), then the first."""
     rows = stage(docs.withColumn("__or_row", F.monotonically_increasing_id()), "rows")
     named = copies.near_copies(rows.select(F.col("__or_row").alias("row"), "text")).withColumnRenamed("row", "__or_row")
-    found = named.join(rows.select("__or_row", "doc_id"), "__or_row").groupBy("root").agg(F.min("doc_id").alias("__or_kept")).select("__or_kept").distinct()
-    # Documents without an id belong to no component's smallest id; they stay.
-    kept = rows.join(found, F.col("doc_id") == F.col("__or_kept"), "left_semi")
-    return kept.dropDuplicates(["doc_id"]).unionByName(rows.where("doc_id is null")).drop("__or_row")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__or_row")).alias("first")
+    found = named.join(rows.select("__or_row", "doc_id"), "__or_row").groupBy("root").agg(first).select("first.__or_row")
+    return rows.join(found, "__or_row", "left_semi").select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

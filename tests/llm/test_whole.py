@@ -191,3 +191,13 @@ def test_media_reads_a_vbri_table():
     found = media.read(bytes(first) + stream[offsets[0] :])
     assert found["table"] == {"bytes": 3000, "frames": 3, "scale": 1, "width": 2, "seek": b"\1\2\3\4"}
     assert found["offsets"] == offsets and found["payload"] == b"y" * 3000
+
+
+def test_one_row_of_each_component_stays_with_clashing_and_null_ids(spark):
+    import corpus_pipeline
+
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(30)) for x in "abcd")
+    rows = [(None, a), (2, a), (1, a), (1, b), (3, b), (None, c), (None, c), (2, d), (2, d)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(corpus_pipeline.near_duplicates(spark, docs, "").collect(), key=lambda r: r["text"])
+    assert [tuple(r) for r in got] == [(1, a), (1, b), (None, c), (2, d)]
