@@ -5,8 +5,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,9 +19,11 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set."""
+    """The folder that driver and executors share; where none is set, a temporary one on a local master, and an error on any other."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("Set spark.checkpoint.dir to a folder that the driver and all executors share.")
         root = "file://" + tempfile.mkdtemp(prefix="orrery-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -42,15 +45,33 @@ class Staged:
         _written.append((self.spark, self.path))
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
+    def octets(self) -> int:
+        """Size of the files."""
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        return target.getFileSystem(self.spark._jsc.hadoopConfiguration()).getContentSummary(target).getLength()
+
     def drop(self) -> None:
         """Deletes the files; only for tables that no returned DataFrame reads."""
         _remove(self.spark, self.path)
+        if (self.spark, self.path) in _written:
+            _written.remove((self.spark, self.path))
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
     return Staged(df, label).df
 
 
+def alone(df: DataFrame, label: str) -> DataFrame:
+    """df as a written table, without the tables that were written on the way to it."""
+    before = len(_written)
+    found = Staged(df, label)
+    for spark, path in _written[before:]:
+        if path != found.path:
+            _remove(spark, path)
+    _written[before:] = [(found.spark, found.path)]
+    return found.df
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in _written:
@@ -65,8 +86,38 @@ def utf8(column: str) -> Column:
     return F.coalesce(F.col(column), F.lit("")).cast("binary")
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+#: Octets of a written table that a task of a shuffle over it takes, compressed.
+_SHARE = 64 << 20
+
+
+def partitions(spark: SparkSession, octets: int = 0) -> int:
+    """Tasks of a shuffle over a written table of that size; at least those that the session is set to."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-octets // _SHARE))
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: int, octets: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in parts whose text or binary column holds about so many octets, so that few Python objects live at once. Empty batches go."""
+    for batch in batches:
+        held = batch.column(column)
+        wide = held.type in (pa.large_binary(), pa.large_string())
+        ends = np.frombuffer(held.buffers()[1], np.int64 if wide else np.int32, len(held) + held.offset + 1)[held.offset :] if len(held) else np.zeros(1, np.int64)
+        at = 0
+        while at < len(held):
+            end = max(at + 1, int(np.searchsorted(ends, ends[at] + octets, "right")) - 1)
+            yield batch.slice(at, end - at)
+            at = end
+
+
+_state: dict[tuple, object] = {}
+
+
+def of_worker(key: tuple, make: Callable):
+    """What the tasks that a worker runs one after another share under a key. A worker holds one such object: another key's takes its place."""
+    if key not in _state:
+        _state.clear()
+        pa.default_memory_pool().release_unused()
+        _state[key] = make()
+    return _state[key]
 
 
 def groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:

@@ -25,10 +25,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from orrery.llm._shared import of_worker, slices
+
 SAMPLE, WORDS, GRAMS_KEPT, GRAMS = 3000, 40_000, 8_000, (5, 4, 3, 2, 1)
 UNDETERMINED = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
-_CACHE = 400_000
+#: Words whose log frequencies a worker keeps, some 20 MB.
+_CACHE = 100_000
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -45,7 +48,7 @@ def grams_of(word: str, n: int) -> list[str]:
 
 
 def train(docs: DataFrame, sample: int = SAMPLE, words: int = WORDS, grams: int = GRAMS_KEPT) -> dict:
-    """The model: languages, and for order 0 (words) and each n the log frequencies by language. docs: the rows to learn from."""
+    """The model: languages, for order 0 (words) and each n the place of each gram, and the log frequencies by place and language. docs: the rows to learn from."""
     rows = docs.where("lang is not null and text is not null and doc_id is not null").select("doc_id", "text", "lang")
     sizes = rows.groupBy("lang").count()
     share = F.broadcast(sizes.select(F.col("lang").alias("l"), (F.lit(float(sample)) / F.col("count")).alias("share")))
@@ -86,29 +89,24 @@ def fit(counts) -> dict:
         tables.setdefault(int(n), {}).setdefault(gram, {})[lang] = int(c)
         totals[lang, int(n)] += int(c)
     langs = sorted({lang for lang, _ in totals})
-    logs = {}
-    for n, table in tables.items():
-        floor = [math.log(0.5 / (totals[lang, n] + 0.5 * len(table) + 1)) for lang in langs]
-        logs[n] = {g: np.array([math.log(c[lang] + 0.5) - math.log(totals[lang, n] + 0.5 * len(table) + 1) if lang in c else low for lang, low in zip(langs, floor, strict=True)]) for g, c in table.items()}
-    return {"langs": langs, "logs": logs}
+    logs, rows = {}, [np.zeros((1, max(1, len(langs))))]  # place 0 is of what no table knows
+    for n in (0, *GRAMS):
+        table = tables.get(n, {})
+        begin = sum(map(len, rows))
+        logs[n] = {g: begin + i for i, g in enumerate(table)}
+        if table:
+            held = np.array([[c.get(lang, 0) for lang in langs] for c in table.values()], np.float64)
+            whole = np.array([totals[lang, n] + 0.5 * len(table) + 1 for lang in langs])
+            rows.append(np.log(held + 0.5) - np.log(whole))
+    return {"langs": langs, "logs": logs, "rows": np.concatenate(rows)}
 
 
 class Scorer:
     """Scores texts; the log frequencies of words seen before come from a bounded cache."""
 
     def __init__(self, model: dict):
-        self.langs = model["langs"]
-        width = max(1, len(self.langs))
-        rows = [np.zeros((1, width))]  # row 0 is of what no table knows
-        self.order: list[tuple[int, dict[str, int]]] = []
-        begin = 1
-        for n in (0, *GRAMS):
-            known = model["logs"].get(n, {})
-            self.order.append((n, {g: begin + i for i, g in enumerate(known)}))
-            if known:
-                rows.append(np.array(list(known.values())))
-            begin += len(known)
-        self.rows = np.concatenate(rows)
+        self.langs, self.rows = model["langs"], model["rows"]
+        self.order = list(model["logs"].items())
         self._forget()
 
     def _forget(self) -> None:
@@ -160,23 +158,13 @@ class Scorer:
         return self.langs[best], float(1 / np.exp(total - total[best]).sum())
 
 
-_scorer: list[tuple[str, Scorer]] = []
-
-
-def _scorer_of(key: str, model) -> Scorer:
-    """The scorer of a model; the tasks that a worker runs one after another share it with its caches."""
-    if not _scorer or _scorer[0][0] != key:
-        _scorer[:] = [(key, Scorer(model.value))]
-    return _scorer[0][1]
-
-
 def predict(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id, lang_pred and score for every row of docs."""
     shared, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def of(batches):
-        scorer = _scorer_of(key, shared)
-        for batch in batches:
+        scorer = of_worker(("language", key), lambda: Scorer(shared.value))
+        for batch in slices(batches, 1):
             found = [scorer.score(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], ["doc_id", "lang_pred", "score"])
 
@@ -189,8 +177,8 @@ def keep_identified(docs: DataFrame, model: dict, least: float = 0.5) -> DataFra
     at = columns.index("text")
 
     def of(batches):
-        scorer = _scorer_of(key, shared)
-        for batch in batches:
+        scorer = of_worker(("language", key), lambda: Scorer(shared.value))
+        for batch in slices(batches, at):
             found = [scorer.score(t) for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array([lang != UNDETERMINED and score >= least for lang, score in found], pa.bool_()))
 
