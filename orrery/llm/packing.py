@@ -1,12 +1,15 @@
 """Best-fit packing of token pieces into sequences by a grouping genetic algorithm, as islands with elite migration.
 
 Documents are tokenised whole; only those longer than a sequence are cut, into pieces of its length and a rest. Full pieces are sequences of their own. The
-others are dealt by hash to shards of about `shard` pieces. Several islands evolve each shard from best-fit packings: crossover injects
-whole well-filled bins of one parent into the other, removes the bins that hold duplicates, and best-fits the displaced pieces, longest first. After each
-epoch every island hands its elite on to the next one of its shard; the best packing of all islands wins. Seeds and orders are fixed, so reruns agree.
+others are dealt by a hash of their contents to shards of about `shard` pieces. Several islands evolve each shard from best-fit packings: crossover injects
+whole well-filled bins of one parent into the other, both ways, removes the bins that hold duplicates, and best-fits the displaced pieces, longest first;
+mutation empties some bins, exchanges what they held for smaller items that fill other bins less, and best-fits the rest. A child takes the place of the worst of its island, unless
+one of its fitness is there. After each epoch every island hands its elite on to the next one of its shard; the best packing of all islands wins. Then the
+emptiest bins of all shards are packed again together, in fewer shards, until one is left. Seeds and orders follow from the contents, so reruns agree,
+but for the numbers of sequences and for which of several equal rows lies where.
 
 A null text counts as empty: one token, the end mark. Repeated rows are packed each. Empty tables give empty results. Columns other than doc_id and text are ignored
-by `pieces`; `pack` takes any table with a length column and keeps its other columns.
+by `pieces`; `pack` takes any table with a length column and keeps its other columns, whose names must not begin with `__or_`.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ import re
 import unicodedata
 import zlib
 from array import array
+from bisect import bisect_right, insort
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -24,11 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm._shared import partitions, stage, utf8
+from orrery.llm._shared import of_worker, partitions, slices, stage, utf8
 
-CAPACITY, SHARD, ISLANDS, EPOCHS = 2048, 4096, 2, 2
-POPULATION, GENERATIONS = 3, 4
-_CACHE = 1_000_000
+CAPACITY, SHARD, ISLANDS, EPOCHS = 2048, 4096, 2, 3
+POPULATION, GENERATIONS, PATIENCE = 20, 120, 25
+#: Words whose ids a worker keeps, some 40 MB.
+_CACHE = 200_000
 #: Texts are encoded in groups of about this many octets, words new to the cache in lines of so many.
 _GROUP, _LINE = 1 << 20, 256
 #: Letters (or octets beyond ASCII) and then ASCII punctuation other than apostrophes.
@@ -121,23 +126,15 @@ def _places_of_none(found: list) -> list[int]:
     return out
 
 
-_tokens: dict[str, Tokens] = {}
-
-
-def _tokens_of(path: str) -> Tokens:
-    """The tokeniser with its cache, which the tasks that a worker runs one after another share."""
-    if path not in _tokens:
-        _tokens.clear()
-        _tokens[path] = Tokens(path)
-    return _tokens[path]
+_OPEN = 16  # a bin with a sixteenth of its capacity free, or more, is packed again with those of other shards
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and ids, if asked for) of each document's pieces."""
 
     def of(batches):
-        tokens, end = _tokens_of(tokenizer_path), int(end_id).to_bytes(4, "little")
-        for batch in batches:
+        tokens, end = of_worker(("tokens", tokenizer_path), lambda: Tokens(tokenizer_path)), int(end_id).to_bytes(4, "little")
+        for batch in slices(batches, 1):
             rows = []
             texts = (x.as_py() for x in batch.column(1))
             for doc, ids in zip(batch.column(0).to_pylist(), tokens.ids(texts), strict=True):
@@ -194,6 +191,10 @@ def best_fit(order: list[int], sizes: list[int], capacity: int) -> Packing:
     return out
 
 
+def longest_first(items: Iterable[int], sizes: list[int]) -> list[int]:
+    return sorted(items, key=lambda i: (-sizes[i], i))
+
+
 def crossover(a: Packing, b: Packing, sizes: list[int], rng: random.Random) -> Packing:
     """A child of a with well-filled bins of b."""
     full = sorted(range(len(b.bins)), key=lambda k: (b.left[k], rng.random()))
@@ -208,32 +209,121 @@ def crossover(a: Packing, b: Packing, sizes: list[int], rng: random.Random) -> P
             child.add_bin(list(items), left)
         else:
             displaced += [i for i in items if i not in taken]
-    for i in sorted(displaced, key=lambda i: (-sizes[i], i)):
+    for i in longest_first(displaced, sizes):
         child.best_fit(i, sizes[i])
     return child
 
 
-def evolve(sizes: list[int], elites: list[list[int]], capacity: int, seed: int, population: int = POPULATION, generations: int = GENERATIONS) -> Packing:
-    """The best packing that an island finds from best-fit packings and the elites (a bin number for each item)."""
+def _swap(items: list[int], room: int, free: list[tuple[int, int]], sizes: list[int]) -> int:
+    """Exchanges one item of a bin for one or two displaced ones (sorted by size) that fill it better; the gain."""
+    best, out, into = 0, None, ()
+    for i in items:
+        s = sizes[i]
+        k = bisect_right(free, (s + room, 1 << 62)) - 1
+        if k >= 0 and free[k][0] - s > best:
+            best, out, into = free[k][0] - s, i, (k,)
+        for small in range(min(len(free), 24)):
+            k = bisect_right(free, (s + room - free[small][0], 1 << 62)) - 1
+            if k <= small:
+                break
+            if free[k][0] + free[small][0] - s > best:
+                best, out, into = free[k][0] + free[small][0] - s, i, (small, k)
+        if best == room:
+            break
+    if best:
+        items.remove(out)
+        items += [free[k][1] for k in into]
+        for k in sorted(into, reverse=True):
+            del free[k]
+        insort(free, (sizes[out], out))
+    return best
+
+
+def mutation(p: Packing, sizes: list[int], rng: random.Random, few: int = 3) -> Packing:
+    """p without its emptiest bin and some at random; what they held is exchanged for smaller items of other bins, and best-fitted."""
+    n = len(p.bins)
+    emptiest = max(range(n), key=lambda k: (p.left[k], rng.random()))
+    gone = {emptiest, *(rng.randrange(n) for _ in range(few))}
+    free = sorted((sizes[i], i) for k in gone for i in p.bins[k])
+    child = Packing(p.capacity)
+    for k in rng.sample(range(n), n):
+        if k not in gone:
+            items, left = p.bins[k], p.left[k]
+            if left and free and (gain := _swap(items := list(items), left, free, sizes)):
+                left -= gain
+            child.add_bin(list(items), left)
+    for s, i in reversed(free):
+        child.best_fit(i, s)
+    return child
+
+
+def least_bins(sizes: list[int], capacity: int) -> int:
+    """A lower bound: items over half a bin need one each, and what smaller ones don't find beside them needs more."""
+    s = np.sort(np.asarray(sizes, np.int64))
+    if not len(s):
+        return 0
+    sums = np.concatenate([[0], np.cumsum(s)])
+    at = lambda x, side: np.searchsorted(s, x, side)
+    small = np.unique(np.concatenate([[0], s[2 * s <= capacity]]))
+    half, first, long = at(capacity // 2, "right"), at(small, "left"), at(capacity - small, "right")
+    room = (long - half) * capacity - (sums[long] - sums[half])
+    return int(np.max(len(s) - half + np.maximum(0, -(-(sums[half] - sums[first] - room) // capacity))))
+
+
+def evolve(sizes: list[int], elites: list[list[int]], capacity: int, seed: int, population: int = POPULATION, generations: int = GENERATIONS, patience: int = PATIENCE) -> Packing:
+    """The best packing that an island finds from best-fit packings and the elites (a bin number for each item).
+
+    Bins that the best seed fills exactly stay; the items of the others evolve, until a lower bound is met or the best has not improved for `patience` generations.
+    """
     rng, n = random.Random(seed), len(sizes)
-    herd = [best_fit(sorted(range(n), key=lambda i: (-sizes[i], i)), sizes, capacity)]
+    seeds = [best_fit(longest_first(range(n), sizes), sizes, capacity)]
     for bins in elites:
         p, members = Packing(capacity), {}
         for i, b in enumerate(bins):
             members.setdefault(b, []).append(i)
         for items in members.values():
             p.add_bin(items, capacity - sum(sizes[i] for i in items))
-        herd.append(p)
+        seeds.append(p)
+    top, least = max(seeds, key=Packing.fitness), least_bins(sizes, capacity)
+    if len(top.bins) == least:
+        return top
+    fixed = [items for items, left in zip(top.bins, top.left, strict=True) if not left]
+    moving = sorted(i for items, left in zip(top.bins, top.left, strict=True) if left for i in items)
+    least -= len(fixed)
+    herd = [_only(p, moving, sizes) for p in seeds if p is not top] + [_only(top, moving, sizes)]
     while len(herd) < population:  # longest first, but for some noise
-        herd.append(best_fit(sorted(range(n), key=lambda i: -sizes[i] * (1 + 0.2 * rng.random())), sizes, capacity))
-    least = -(-sum(sizes) // capacity)
+        herd.append(best_fit(sorted(moving, key=lambda i: -sizes[i] * (1 + 0.2 * rng.random())), sizes, capacity))
+    fit = [p.fitness() for p in herd]
+    best, still = max(fit), 0
     for _ in range(generations):
-        herd.sort(key=Packing.fitness, reverse=True)
-        if len(herd[0].bins) == least:
+        if -best[0] <= least or still >= patience:
             break
-        a, b = rng.sample(range(len(herd)), 2)
-        herd[-1] = max(crossover(herd[min(a, b)], herd[max(a, b)], sizes, rng), herd[-1], key=Packing.fitness)
-    return max(herd, key=Packing.fitness)
+        a, b = (max(rng.sample(range(len(herd)), 2), key=fit.__getitem__) for _ in range(2))
+        children = [crossover(herd[a], herd[b], sizes, rng), crossover(herd[b], herd[a], sizes, rng), mutation(herd[a], sizes, rng)]
+        children.append(mutation(children[0], sizes, rng))
+        for child in children:
+            f = child.fitness()
+            worst = min(range(len(herd)), key=fit.__getitem__)
+            if f > fit[worst] and f not in fit:  # an equal one would cost variety
+                herd[worst], fit[worst] = child, f
+        still = 0 if max(fit) > best else still + 1
+        best = max(fit)
+    out = Packing(capacity)
+    for items in fixed:
+        out.add_bin(items, 0)
+    won = herd[fit.index(best)]
+    for items, left in zip(won.bins, won.left, strict=True):
+        out.add_bin(items, left)
+    return out
+
+
+def _only(p: Packing, items: list[int], sizes: list[int]) -> Packing:
+    """The packing of some of the items."""
+    kept, out = set(items), Packing(p.capacity)
+    for own in p.bins:
+        if some := [i for i in own if i in kept]:
+            out.add_bin(some, p.capacity - sum(sizes[i] for i in some))
+    return out
 
 
 def _assigned(p: Packing, n: int) -> list[int]:
@@ -244,47 +334,84 @@ def _assigned(p: Packing, n: int) -> list[int]:
     return out
 
 
-def pack(items: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, islands: int = ISLANDS, epochs: int = EPOCHS) -> DataFrame:
-    """Adds sequence_id and offset to rows with a length of 1 to capacity; items should be a written table. Rows without such a length are an error."""
-    spark, columns = items.sparkSession, [c for c in items.columns if c not in ("sequence_id", "offset")]
-    numbered = items.select(*columns, F.monotonically_increasing_id().alias("_row"))
-    whole = numbered.where(F.col("length") == capacity).select(*columns, (-F.col("_row") - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    rest = numbered.where(F.col("length") < capacity)
-    count = max(1, -(-rest.count() // shard))
-    # A shard is as many pieces as its hash deals it, shard on average.
-    dealt = rest.withColumn("_shard", F.pmod(F.xxhash64("_row"), F.lit(count)))
-    herds = dealt.groupBy("_shard").agg(F.sort_array(F.collect_list(F.struct((-F.col("length")).alias("n"), "_row"))).alias("x"))
-    herds = herds.select("_shard", F.transform("x", lambda x: -x["n"]).alias("sizes"), F.transform("x", lambda x: x["_row"]).alias("rows"))
-    state = "_shard long, sizes array<long>, rows array<long>, island int, bins array<int>, fit array<long>"
+_STATE = pa.schema([("shard", pa.int64()), ("island", pa.int32()), ("sizes", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64())), ("rows", pa.list_(pa.int64())), ("bins", pa.list_(pa.int64())), ("fit", pa.list_(pa.int64()))])
+_STATE_DDL = "shard long, island int, sizes array<long>, keys array<long>, rows array<long>, bins array<long>, fit array<long>"
+_PLACED = pa.schema([("shard", pa.int64()), ("row", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("bin", pa.int64()), ("offset", pa.int64()), ("left", pa.int64())])
 
-    def first(batches):
-        yield from _epoch(batches, 0)
 
-    def _epoch(batches, epoch):
-        for batch in batches:
-            rows = batch.to_pylist()
-            for r in rows:
-                best = evolve(r["sizes"], [e for e in r.get("elites") or []], capacity, seed=r["_shard"] * 1009 + r["island"] * 31 + epoch)
-                r["bins"], r["fit"] = _assigned(best, len(r["sizes"])), list(best.fitness())
-            yield pa.RecordBatch.from_pylist([{k: r[k] for k in ("_shard", "sizes", "rows", "island", "bins", "fit")} for r in rows], schema=kind)
-
-    kind = pa.schema([("_shard", pa.int64()), ("sizes", pa.list_(pa.int64())), ("rows", pa.list_(pa.int64())), ("island", pa.int32()), ("bins", pa.list_(pa.int32())), ("fit", pa.list_(pa.int64()))])
-    now = herds.select("*", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island")).repartition(partitions(spark), "_shard", "island").mapInArrow(first, state)
+def _evolved(items: DataFrame, capacity: int, islands: int, epochs: int) -> DataFrame:
+    """shard, row, key, n, bin, offset and left (free in the bin) for items of shard, row, key, n and bin (of an earlier packing, or null)."""
+    spark = items.sparkSession
+
+    def epoch_of(epoch: int):
+        def of(batches):
+            for batch in batches:
+                for one in range(batch.num_rows):
+                    r = batch.slice(one, 1).to_pylist()[0]
+                    best = evolve(r["sizes"], [e for e in r["elites"] if e], capacity, seed=r["shard"] * 1009 + r["island"] * 31 + epoch)
+                    r["bins"], r["fit"] = _assigned(best, len(r["sizes"])), list(best.fitness())
+                    yield pa.RecordBatch.from_pylist([{k: r[k] for k in _STATE.names}], schema=_STATE)
+
+        return of
+
+    # A shard is as many items as its hash deals it, `shard` on average. Their order is that of their contents, so reruns agree whatever the splits.
+    order = F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "key", "bin", "row")))
+    herds = items.groupBy("shard").agg(order.alias("x"))
+    field = lambda name: F.transform("x", lambda x: x[name])
+    herds = herds.select("shard", F.transform("x", lambda x: -x["n"]).alias("sizes"), field("key").alias("keys"), field("row").alias("rows"), F.array(F.filter(field("bin"), lambda b: b.isNotNull())).alias("elites"))
+    now = herds.select("*", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island")).repartition(partitions(spark), "shard", "island").mapInArrow(epoch_of(0), _STATE_DDL)
     for epoch in range(1, epochs):
-        own = now.select("_shard", "island", F.array("bins").alias("e"), "sizes", "rows")
-        moved = now.select("_shard", ((F.col("island") + 1) % islands).alias("island"), F.array("bins").alias("e"), "sizes", "rows")
-        met = stage(own.unionByName(moved), "migrants").groupBy("_shard", "island").agg(F.flatten(F.sort_array(F.collect_list("e"))).alias("elites"), F.min("sizes").alias("sizes"), F.min("rows").alias("rows"))
-        now = met.select("_shard", "sizes", "rows", "island", "elites").mapInArrow(lambda batches, epoch=epoch: _epoch(batches, epoch), state)
-    won = now.groupBy("_shard").agg(F.max(F.struct("fit", (-F.col("island")).alias("i"), "bins", "rows", "sizes")).alias("w"))
-    placed = won.select("_shard", F.explode(F.arrays_zip(F.col("w.rows").alias("_at"), F.col("w.bins").alias("bin"), F.col("w.sizes").alias("n"))).alias("p"))
-    placed = placed.select("_shard", "p._at", "p.bin", "p.n")
-    by_bin = placed.groupBy("_shard", "bin").agg(F.sort_array(F.collect_list(F.struct("_at", "n"))).alias("x"))
-    ends = F.transform(F.sequence(F.lit(1), F.size("x")), lambda i: F.aggregate(F.slice("x", 1, i - 1), F.lit(0).cast("long"), lambda s, y: s + y["n"]))
-    offsets = by_bin.select((F.col("_shard") * (1 << 24) + F.col("bin")).alias("sequence_id"), F.explode(F.arrays_zip(F.col("x").alias("x"), ends.alias("offset"))).alias("p")).select("sequence_id", F.col("p.x._at").alias("_at"), F.col("p.offset").alias("offset"))
-    joined = rest.join(offsets, F.col("_row") == F.col("_at")).select(*columns, "sequence_id", "offset")
-    return whole.unionByName(joined)
+        own = now.select("shard", "island", F.array("bins").alias("e"), "sizes", "keys", "rows")
+        moved = now.select("shard", ((F.col("island") + 1) % islands).alias("island"), F.array("bins").alias("e"), "sizes", "keys", "rows")
+        met = stage(own.unionByName(moved), "migrants").groupBy("shard", "island").agg(F.flatten(F.sort_array(F.collect_list("e"))).alias("elites"), F.min("sizes").alias("sizes"), F.min("keys").alias("keys"), F.min("rows").alias("rows"))
+        now = met.mapInArrow(epoch_of(epoch), _STATE_DDL)
+    won = now.groupBy("shard").agg(F.max_by(F.struct("sizes", "keys", "rows", "bins"), F.struct("fit", -F.col("island"))).alias("w")).select("shard", "w.*")
+
+    def placed(batches):
+        for batch in batches:
+            for one in range(batch.num_rows):
+                r = batch.slice(one, 1).to_pylist()[0]
+                ends: dict[int, int] = {}
+                at = []
+                for n, b in zip(r["sizes"], r["bins"], strict=True):
+                    at.append(ends.get(b, 0))
+                    ends[b] = at[-1] + n
+                many = len(at)
+                yield pa.RecordBatch.from_pydict({"shard": [r["shard"]] * many, "row": r["rows"], "key": r["keys"], "n": r["sizes"], "bin": r["bins"], "offset": at, "left": [capacity - ends[b] for b in r["bins"]]}, schema=_PLACED)
+
+    return stage(won.mapInArrow(placed, "shard long, row long, key long, n long, bin long, offset long, left long"), "placed")
+
+
+def pack(items: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, islands: int = ISLANDS, epochs: int = EPOCHS) -> DataFrame:
+    """Adds sequence_id and offset to rows with a length of 1 to capacity. A row without such a length is an error."""
+    columns = [c for c in items.columns if c not in ("sequence_id", "offset")]
+    sound = F.when(F.col("length").between(1, capacity), F.col("length")).otherwise(F.raise_error(F.concat(F.lit("no length of a piece: "), F.coalesce(F.col("length").cast("string"), F.lit("null"))))).cast("long")
+    named = [f.name for f in items.schema.fields if f.name in columns and f.dataType.simpleString() not in ("binary", "variant") and "map<" not in f.dataType.simpleString()]
+    numbered = stage(items.select(*[sound.alias(c) if c == "length" else F.col(c) for c in columns], F.monotonically_increasing_id().alias("__or_row"), F.xxhash64(*named).alias("__or_key")), "items")
+    whole = numbered.where(F.col("length") == capacity).select(*columns, (-F.col("__or_row") - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    rest = numbered.where(F.col("length") < capacity)
+    count = max(1, -(-rest.count() // shard))
+    dealt = rest.select(F.pmod(F.xxhash64("__or_key"), F.lit(count)).alias("shard"), F.col("__or_row").alias("row"), F.col("__or_key").alias("key"), F.col("length").alias("n"), F.lit(None).cast("long").alias("bin"))
+    level, closed = 0, []
+    while True:
+        placed = _evolved(dealt, capacity, islands, epochs)
+        spare = placed.where(F.col("left") >= capacity // _OPEN)
+        fewer = max(1, -(-spare.count() // shard)) if count > 1 else count
+        if fewer >= count:
+            break
+        # The emptiest bins of several shards are packed again together; they are the first elite.
+        closed.append(placed.where(F.col("left") < capacity // _OPEN).withColumn("level", F.lit(level)))
+        dealt = spare.select((F.col("shard") % fewer).alias("shard"), "row", "key", "n", (F.col("shard") * (1 << 24) + F.col("bin")).alias("bin"))
+        level, count = level + 1, fewer
+    closed.append(placed.withColumn("level", F.lit(level)))
+    every = closed[0]
+    for more in closed[1:]:
+        every = every.unionByName(more)
+    number = F.col("level") * F.lit(1 << 58) + F.col("shard") * (1 << 24) + F.col("bin")
+    joined = rest.join(every.select("row", number.alias("__or_sequence"), F.col("offset").alias("__or_offset")), F.col("__or_row") == F.col("row"))
+    return whole.unionByName(joined.select(*columns, F.col("__or_sequence").alias("sequence_id"), F.col("__or_offset").alias("offset")))
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: int = CAPACITY, with_ids: bool = False, **options) -> DataFrame:
     """The pieces of docs with their sequence_id and offset."""
-    return pack(stage(pieces(docs, tokenizer_path, end_id, capacity, with_ids), "pieces"), capacity, **options)
+    return pack(pieces(docs, tokenizer_path, end_id, capacity, with_ids), capacity, **options)

@@ -67,6 +67,65 @@ def test_genetic_packing_is_whole_and_no_worse_than_best_fit():
     assert found.fitness() >= plain.fitness()
 
 
+@pytest.mark.parametrize(("low", "high", "n"), [(200, 1000, 2000), (500, 1000, 1500)])
+def test_genetic_packing_beats_best_fit_where_that_misses_the_bound(low, high, n):
+    rng = random.Random(1)
+    sizes = [rng.randrange(low, high) for _ in range(n)]
+    plain = packing.best_fit(packing.longest_first(range(n), sizes), sizes, 2048)
+    found = packing.evolve(sizes, [], 2048, seed=1)
+    assert sorted(i for b in found.bins for i in b) == list(range(n))
+    assert packing.least_bins(sizes, 2048) <= len(found.bins) < len(plain.bins)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 12), min_size=1, max_size=8))
+def test_the_bound_is_no_more_than_the_fewest_bins(sizes):
+    fewest = len(sizes)
+
+    def place(i, left):
+        nonlocal fewest
+        if len(left) >= fewest and i < len(sizes):
+            return
+        if i == len(sizes):
+            fewest = min(fewest, len(left))
+            return
+        for k, room in enumerate(left):
+            if room >= sizes[i]:
+                place(i + 1, left[:k] + [room - sizes[i]] + left[k + 1 :])
+        place(i + 1, [*left, 12 - sizes[i]])
+
+    place(0, [])
+    assert packing.least_bins(sizes, 12) <= fewest
+    assert fewest <= len(packing.evolve(sizes, [], 12, seed=3).bins)
+
+
+def test_packing_agrees_under_other_splits_and_packs_shards_together(spark, small_dir, tmp_path):
+    rng = random.Random(9)
+    rows = [(i // 2, rng.choice([2048, rng.randrange(1, 2048), rng.randrange(1, 300)])) for i in range(1500)]
+    frame = spark.createDataFrame(rows, "doc_id long, length long")
+    frame.repartition(7).write.parquet(f"{tmp_path}/items")
+    found = []
+    for split in ("1m", "2k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        try:
+            out = packing.pack(spark.read.parquet(f"{tmp_path}/items"), shard=100).collect()
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        bins = {}
+        for r in out:
+            bins.setdefault(r["sequence_id"], []).append((r["offset"], r["length"], r["doc_id"]))
+        for parts in bins.values():
+            assert [o for o, _, _ in sorted(parts)] == [sum(n for _, n, _ in sorted(parts)[:k]) for k in range(len(parts))]
+            assert sum(n for _, n, _ in parts) <= 2048
+        found.append(sorted(sorted((n, d) for _, n, d in parts) for parts in bins.values()))
+    assert found[0] == found[1] and sorted(x[::-1] for parts in found[0] for x in parts) == sorted(rows)
+    lengths = [n for _, n in rows if n < 2048]
+    assert len(found[0]) <= packing.least_bins(lengths, 2048) + 2 + sum(n == 2048 for _, n in rows)
+    for bad in (0, 2049, None):
+        with pytest.raises(Exception, match="no length of a piece"):
+            packing.pack(spark.createDataFrame([(1, bad)], "doc_id long, length long")).collect()
+
+
 def test_crossover_keeps_whole_bins_of_the_donor():
     sizes = [1000, 1000, 1048, 500, 600, 900]
     a, b = packing.best_fit([0, 1, 2, 3, 4, 5], sizes, 2048), packing.best_fit([5, 4, 3, 2, 1, 0], sizes, 2048)
