@@ -61,10 +61,10 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return Staged(df, label).df
 
 
-def alone(df: DataFrame, label: str) -> DataFrame:
-    """df as a written table, without the tables that were written on the way to it."""
+def alone(make: Callable[[], DataFrame], label: str) -> DataFrame:
+    """What make returns as a written table, without the tables that were written on the way to it."""
     before = len(_written)
-    found = Staged(df, label)
+    found = Staged(make(), label)
     for spark, path in _written[before:]:
         if path != found.path:
             _remove(spark, path)
@@ -139,3 +139,26 @@ def groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         held.append(batch.slice(at))
     if held:
         yield pa.Table.from_batches(held)
+
+
+#: A bitmap has so many bits at most, 64 MB.
+_MOST_BITS = 29
+
+
+def bitmap(hashes: DataFrame) -> np.ndarray:
+    """Bits of the longs in column h, built on the executors in slices of 4 kB: 16 for each row, or as many as are allowed. It may tell of more than was put in, never of less."""
+    size = min(_MOST_BITS, max(20, (16 * hashes.count()).bit_length()))
+    bit = hashes.select((F.col("h").bitwiseAND(F.lit((1 << size) - 1)) + 1).alias("b"))  # values and buckets count from 1
+    parts = bit.groupBy(F.bitmap_bucket_number("b").alias("n")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("bits"))
+    out = np.zeros(1 << (size - 3), np.uint8)
+    for row in parts.toLocalIterator():
+        at = (row["n"] - 1) * 4096
+        piece = np.frombuffer(bytes(row["bits"]), np.uint8)
+        out[at : at + len(piece)] |= piece[: len(out) - at]
+    return out
+
+
+def marked_in(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether each of the unsigned longs may be in a bitmap."""
+    at = hashes & np.uint64(8 * len(bits) - 1)
+    return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1

@@ -5,9 +5,9 @@ if equal; consecutive windows that share one minimiser travel as one packed stri
 windows are sorted and counted exactly. Equal windows have equal minimisers, so they meet in one bucket.
 
 First, the occurrences of every minimiser are counted. Windows whose minimiser occurs once in the corpus are unique, so their super-k-mers stay
-at home; a bitmap of `2 ** BITMAP_BITS` bits, whatever the input, tells (collisions only let more travel). Super-k-mers of minimisers that occur over `hot` times
+at home; a bitmap tells, of 16 bits for each repeated minimiser but 64 MB at most (collisions only let more travel). Super-k-mers of minimisers that occur over `hot` times
 are counted as whole strings first, by a pre-aggregated group; then only the windows of distinct strings go to a bucket each. So no bucket holds more
-than `hot` super-k-mers. A word is removed if a window that covers it occurs more than once.
+than `hot` super-k-mers. A word is removed if a window that covers it occurs more than once. Documents without such words, which another bitmap tells, are not shuffled.
 
 A null text has no words. Documents of fewer words than a window lose none. Repeated rows count as further occurrences and keep a row each. Very long texts
 are cut into stretches of windows, which overlap by their words. Empty tables give empty results. Columns other than doc_id and text are ignored.
@@ -15,8 +15,8 @@ are cut into stretches of windows, which overlap by their words. Empty tables gi
 
 from __future__ import annotations
 
-
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +24,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm._shared import groups, partitions, stage, utf8
+from orrery.llm._shared import Staged, bitmap, groups, marked_in, partitions, slices, stage, utf8
 
-WIDTH, INNER, HOT, BITMAP_BITS = 35, 11, 8192, 27
+WIDTH, INNER, HOT = 35, 11, 1024
 _STRETCH = 1 << 20
 _PLACE = np.uint64((1 << 24) - 1)
 _RUNS = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
@@ -64,31 +64,46 @@ def _minimisers(hashes: np.ndarray, width: int, inner: int) -> tuple[np.ndarray,
     return grams[places], places
 
 
-def super_kmers(words: list[bytes], hashes: _Hashes, width: int, inner: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(minimiser hash, first window, end window) of a document's super-k-mers, a stretch at a time."""
-    for at in range(0, len(words) - width + 1, _STRETCH):
-        part = words[at : at + _STRETCH + width - 1]
-        values = np.fromiter(map(hashes.__getitem__, part), np.uint64, len(part))
-        grams, places = _minimisers(values, width, inner)
+def super_kmers(texts: list[list[bytes]], hashes: _Hashes, width: int, inner: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first text, place of the text counted from it, minimiser hash, first window, end window) of the texts' super-k-mers, for some texts or a stretch of one at a time."""
+    for begin, part in _together(texts, width):
+        lengths = np.fromiter(map(len, part), np.int64, len(part))
+        starts = np.cumsum(lengths) - lengths
+        if len(part) > 1:
+            values = np.fromiter(map(hashes.__getitem__, chain.from_iterable(part)), np.uint64, int(lengths.sum()))
+            yield begin, *_of_texts(values, starts, lengths, 0, width, inner)
+            continue
+        for at in range(0, len(part[0]) - width + 1, _STRETCH):
+            some = part[0][at : at + _STRETCH + width - 1]
+            values = np.fromiter(map(hashes.__getitem__, some), np.uint64, len(some))
+            yield begin, *_of_texts(values, starts, np.array([len(some)]), at, width, inner)
+
+
+def _together(texts: list[list[bytes]], width: int) -> Iterator[tuple[int, list[list[bytes]]]]:
+    """Consecutive texts of some ten thousand words together, and those of a stretch and more alone; (place of the first, texts)."""
+    begin, size = 0, 0
+    for i, words in enumerate(texts):
+        if i > begin and (size > 50_000 or len(words) >= _STRETCH):
+            yield begin, texts[begin:i]
+            begin, size = i, 0
+        size += len(words)
+    if begin < len(texts):
+        yield begin, texts[begin:]
+
+
+def _of_texts(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray, shift: int, width: int, inner: int) -> tuple[np.ndarray, ...]:
+    if len(values) < width:
+        return (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    grams, places = _minimisers(values, width, inner)
+    own = np.repeat(np.arange(len(lengths)), lengths)[: len(places)]
+    windows = np.flatnonzero(np.arange(len(places)) + width <= (starts + lengths)[own])  # those that lie in one text
+    places, first = places[windows], np.zeros(0, np.int64)
+    if len(windows):
         first = np.concatenate([[0], np.flatnonzero(np.diff(places)) + 1])
-        yield grams[first], first + at, np.append(first[1:], len(places)) + at
-
-
-def _bitmap(hashes: DataFrame) -> np.ndarray:
-    """Bits of column h, built on the executors in slices of 4 kB; its size is fixed."""
-    bit = hashes.select((F.col("h").bitwiseAND(F.lit((1 << BITMAP_BITS) - 1)) + 1).alias("b"))  # values and buckets count from 1
-    slices = bit.groupBy(F.bitmap_bucket_number("b").alias("n")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("bits"))
-    out = np.zeros(1 << (BITMAP_BITS - 3), np.uint8)
-    for row in slices.toLocalIterator():
-        at = (row["n"] - 1) * 4096
-        piece = np.frombuffer(bytes(row["bits"]), np.uint8)
-        out[at : at + len(piece)] |= piece[: len(out) - at]
-    return out
-
-
-def _has(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    at = hashes & np.uint64((1 << BITMAP_BITS) - 1)
-    return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+    ends = windows[np.append(first[1:], len(windows)) - 1] + 1
+    begins = windows[first]
+    text = own[begins]
+    return text, grams[begins], begins - starts[text] + shift, ends - starts[text] + shift
 
 
 def _signed(x) -> pa.Array:
@@ -102,32 +117,44 @@ def repeated(docs: DataFrame, width: int = WIDTH, inner: int = INNER, hot: int =
 
     def count(batches):
         hashes = _Hashes()
-        for batch in batches:
-            found = [m[0] for t in batch.column(0).to_pylist() for m in super_kmers(t.split(), hashes, width, inner)]
+        for batch in slices(batches, 0):
+            found = [x[2] for x in super_kmers([t.split() for t in batch.column(0).to_pylist()], hashes, width, inner)]
             yield pa.RecordBatch.from_arrays([_signed(np.concatenate(found) if found else [])], ["h"])
 
     counts = texts.select("text").mapInArrow(count, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
     counts = stage(counts, "minimisers")
-    shared = spark.sparkContext.broadcast((_bitmap(counts.select("h")), _bitmap(counts.where(F.col("n") > hot).select("h"))))
+    shared = spark.sparkContext.broadcast((bitmap(counts.select("h")), bitmap(counts.where(F.col("n") > hot).select("h"))))
 
     def send(batches):
         hashes, (twice, often) = _Hashes(), shared.value
         names = ["key", "alone", "doc_id", "_row", "firsts", "packed"]
-        for batch in batches:
+        for batch in slices(batches, 2):
+            docs_, rows_ = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            texts_ = [t.split() for t in batch.column(2).to_pylist()]
             rows: list[tuple] = []
-            for doc, row, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                words, own = text.split(), {}
-                for grams, first, end in super_kmers(words, hashes, width, inner):
-                    keep = np.flatnonzero(_has(twice, grams))
-                    for g, a, b, many in zip(grams[keep].tolist(), first[keep].tolist(), end[keep].tolist(), _has(often, grams[keep]).tolist(), strict=True):
-                        own.setdefault((g, many, b" ".join(words[a : b + width - 1])), []).append(a)
-                rows += [(g, many, doc, row, firsts, packed) for (g, many, packed), firsts in own.items()]  # equal ones of a document travel once
+            for begin, text, grams, first, end in super_kmers(texts_, hashes, width, inner):
+                keep = np.flatnonzero(marked_in(twice, grams))
+                cuts = np.flatnonzero(np.diff(text[keep])) + 1
+                many = marked_in(often, grams[keep])
+                for some, hot_ in zip(np.split(keep, cuts), np.split(many, cuts), strict=True):
+                    if not len(some):
+                        continue
+                    i = begin + int(text[some[0]])
+                    words = texts_[i]
+                    lengths = np.fromiter(map(len, words), np.int64, len(words))
+                    ends = np.cumsum(lengths + 1) - 1
+                    flat, own = b" ".join(words), {}
+                    from_, to = (ends - lengths)[first[some]].tolist(), ends[end[some] + width - 2].tolist()
+                    for g, a, x, y, m in zip(grams[some].tolist(), first[some].tolist(), from_, to, hot_.tolist(), strict=True):
+                        own.setdefault((g, m, flat[x:y]), []).append(a)
+                    rows += [(g, m, docs_[i], rows_[i], firsts, packed) for (g, m, packed), firsts in own.items()]  # equal ones of a document travel once
                 if len(rows) > 20_000:
                     yield _rows(rows, names)
                     rows = []
             yield _rows(rows, names)
 
-    sent = stage(texts.mapInArrow(send, "key long, alone boolean, doc_id long, _row long, firsts array<long>, packed binary"), "super-k-mers")
+    written = Staged(texts.mapInArrow(send, "key long, alone boolean, doc_id long, _row long, firsts array<long>, packed binary"), "super-k-mers")
+    sent = written.df
 
     def judge(batches):
         for group in groups(batches, "key"):
@@ -135,7 +162,7 @@ def repeated(docs: DataFrame, width: int = WIDTH, inner: int = INNER, hot: int =
                 yield _judged(group, width)
 
     cold = sent.where("not alone").select("key", "doc_id", "_row", "firsts", "packed")
-    cold = cold.repartition(partitions(spark), "key").sortWithinPartitions("key").mapInArrow(judge, "doc_id long, _row long, runs array<struct<first: long, end: long>>")
+    cold = cold.repartition(partitions(spark, written.octets()), "key").sortWithinPartitions("key").mapInArrow(judge, "doc_id long, _row long, runs array<struct<first: long, end: long>>")
     runs = cold.unionByName(_hot_runs(sent.where("alone"), width))
     # A document's runs are at most as many as its windows; rows that agree in doc_id and text share them.
     return runs.groupBy("doc_id", "_row").agg(F.flatten(F.collect_set("runs")).alias("runs"))
@@ -143,7 +170,7 @@ def repeated(docs: DataFrame, width: int = WIDTH, inner: int = INNER, hot: int =
 
 def _hot_runs(sent: DataFrame, width: int) -> DataFrame:
     """doc_id, _row and runs of super-k-mers with frequent minimisers: equal strings are counted as one, and only windows of distinct strings are dealt out."""
-    strings = stage(sent.groupBy("key", "packed").agg(F.sum(F.size("firsts")).alias("n")), "strings").withColumn("sid", F.monotonically_increasing_id())
+    strings = stage(sent.groupBy("key", "packed").agg(F.sum(F.size("firsts")).alias("n")).withColumn("sid", F.monotonically_increasing_id()), "strings")
 
     def cut(batches):
         for batch in batches:
@@ -176,6 +203,8 @@ def _judged(group: pa.Table, width: int) -> pa.RecordBatch:
     holders: dict[bytes, list[int]] = {}
     for i, packed in enumerate(group.column("packed").to_pylist()):
         holders.setdefault(packed, []).append(i)
+    if len(holders) == 1:  # equal strings: all their windows occur again
+        return _runs(group, [list(range(next(iter(holders)).count(b" ") + 2 - width))], holders)
     entries = []
     for s, packed in enumerate(holders):
         words = packed.split(b" ")
@@ -184,7 +213,7 @@ def _judged(group: pa.Table, width: int) -> pa.RecordBatch:
         starts = (ends - lengths).tolist()
         entries += [(packed[a:b], s, w) for w, (a, b) in enumerate(zip(starts, ends[width - 1 :].tolist(), strict=False))]
     entries.sort()
-    docs, rows, firsts = (group.column(c).to_pylist() for c in ("doc_id", "_row", "firsts"))
+    firsts = group.column("firsts").to_pylist()
     weight = [sum(len(firsts[i]) for i in x) for x in holders.values()]
     twice: list[list[int]] = [[] for _ in weight]
     at = 0
@@ -196,6 +225,12 @@ def _judged(group: pa.Table, width: int) -> pa.RecordBatch:
             for _, s, w in entries[at:end]:
                 twice[s].append(w)
         at = end
+    return _runs(group, twice, holders)
+
+
+def _runs(group: pa.Table, twice: list[list[int]], holders: dict[bytes, list[int]]) -> pa.RecordBatch:
+    """The documents' runs, for the windows that occur again of each string and the rows that hold it."""
+    docs, rows, firsts = (group.column(c).to_pylist() for c in ("doc_id", "_row", "firsts"))
     out: list[tuple] = []
     for windows, members in zip(twice, holders.values(), strict=True):
         if windows:
@@ -220,20 +255,36 @@ def kept_words(words: list[bytes], runs: list[dict] | None, width: int) -> list[
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH, inner: int = INNER, hot: int = HOT) -> DataFrame:
     """doc_id, n_words, n_removed and kept (the words left, joined by one space) for every row of docs."""
-    found = repeated(docs, width, inner, hot).select(F.col("doc_id").alias("d"), F.col("_row").alias("r"), "runs")
+    found = stage(repeated(docs, width, inner, hot).select(F.col("doc_id").alias("d"), F.col("_row").alias("r"), "runs"), "runs")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("_row"), utf8("text").alias("text"))
-    joined = texts.join(found, (F.col("_row") == F.col("r")) & F.col("doc_id").eqNullSafe(F.col("d")), "left").select("doc_id", "text", "runs")
-
-    def of(batches):
+    marked = docs.sparkSession.sparkContext.broadcast(bitmap(found.select(F.col("r").alias("h"))))
+    shape = "doc_id long, n_words long, n_removed long, kept binary"
+
+    def out_of(ids: pa.Array, texts: pa.Array, runs: list) -> pa.RecordBatch:
+        out = []
+        for text, own in zip(texts.to_pylist(), runs, strict=True):
+            words = text.split()
+            kept = kept_words(words, own, width)
+            out.append((len(words), len(words) - len(kept), b" ".join(kept)))
+        n, gone, kept = (list(c) for c in zip(*out, strict=True)) if out else ([], [], [])
+        return pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary())], ["doc_id", "n_words", "n_removed", "kept"])
+
+    def whether(batch: pa.RecordBatch) -> np.ndarray:
+        return marked_in(marked.value, batch.column(1).to_numpy().view(np.uint64))
+
+    def untouched(batches):
+        for batch in slices(batches, 2):
+            rest = batch.filter(pa.array(~whether(batch)))
+            yield out_of(rest.column(0), rest.column(2), [None] * rest.num_rows)
+
+    def touched(batches):
         for batch in batches:
-            out = []
-            for text, runs in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                words = text.split()
-                kept = kept_words(words, runs, width)
-                out.append((len(words), len(words) - len(kept), b" ".join(kept)))
-            n, gone, kept = (list(c) for c in zip(*out, strict=True)) if out else ([], [], [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary())], ["doc_id", "n_words", "n_removed", "kept"])
-
-    return joined.mapInArrow(of, "doc_id long, n_words long, n_removed long, kept binary")
+            yield batch.filter(pa.array(whether(batch)))
 
+    def of(batches):
+        for batch in slices(batches, 1):
+            yield out_of(batch.column(0), batch.column(1), batch.column(2).to_pylist())
 
+    some = texts.mapInArrow(touched, "doc_id long, _row long, text binary")
+    joined = some.join(found, (F.col("_row") == F.col("r")) & F.col("doc_id").eqNullSafe(F.col("d")), "left").select("doc_id", "text", "runs")
+    return texts.mapInArrow(untouched, shape).unionByName(joined.mapInArrow(of, shape))
