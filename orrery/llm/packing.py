@@ -22,6 +22,7 @@ import zlib
 from array import array
 from bisect import bisect_right, insort
 from collections.abc import Iterable, Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +32,8 @@ from pyspark.sql import functions as F
 from orrery.llm._shared import of_worker, partitions, slices, stage, utf8
 
 CAPACITY, SHARD, ISLANDS, EPOCHS = 2048, 4096, 2, 3
-POPULATION, GENERATIONS, PATIENCE = 20, 120, 25
-#: Words whose ids a worker keeps, some 40 MB.
+POPULATION, GENERATIONS, PATIENCE = 12, 60, 8
+#: Words whose ids a worker keeps, some 40 MB, and as many that it met before.
 _CACHE = 200_000
 #: Texts are encoded in groups of about this many octets, words new to the cache in lines of so many.
 _GROUP, _LINE = 1 << 20, 256
@@ -40,8 +41,10 @@ _GROUP, _LINE = 1 << 20, 256
 _PARTED = re.compile(rb"([a-z\x80-\xff]+)([!-&(-/:-@\[-`{-~]+)")
 
 
-def _letters(word: bytes) -> bool:
-    return unicodedata.normalize("NFC", word.decode("utf-8", "replace")).lower().isalpha()
+def _lettered(words: list[bytes]) -> list[bool]:
+    """Whether each word (without line breaks) is of letters alone."""
+    whole = unicodedata.normalize("NFC", b"\n".join(words).decode("utf-8", "replace")).lower()
+    return list(map(str.isalpha, whole.split("\n"))) if words else []
 
 
 class Tokens:
@@ -55,7 +58,7 @@ class Tokens:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        self.of, self.tokenizer = {}, Tokenizer.from_file(path)
+        self.of, self.before, self.tokenizer = {}, {}, Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -79,17 +82,29 @@ class Tokens:
         return out
 
     def learn(self, words: list[bytes]) -> None:
-        split = {w: m.groups() for w in words if (m := _PARTED.fullmatch(w)) and (w.isascii() or _letters(m[1]))} if self.parts else {}
-        new = {w for w in words if w not in split}
+        split: dict[bytes, tuple[bytes, bytes]] = {}
+        if self.parts:
+            found = {w: m.groups() for w, m in zip(words, map(_PARTED.fullmatch, words), strict=True) if m}
+            sound = _lettered([a for a, _ in found.values()])
+            split = {w: pair for (w, pair), ok in zip(found.items(), sound, strict=True) if ok}
+        new = set(words).difference(split)
         for pair in split.values():
             new.update(pair)
-        fresh = new.difference(self.of)
-        lettered = [w for w in fresh if (w.isalpha() if w.isascii() else _letters(w))]
+        fresh = self._unseen(new)
+        rest = list(fresh)
+        letters = _lettered(rest)
+        lettered, others = list(compress(rest, letters)), [w for w, ok in zip(rest, letters, strict=True) if not ok]
         self.of.update(zip(lettered, self._in_lines(lettered), strict=True))
-        others = list(fresh.difference(lettered))
         self.of.update(zip(others, self._encoded(others), strict=True))
         self.of.update((w, self.of[a] + self.of[b]) for w, (a, b) in split.items())
 
+    def _unseen(self, words: set[bytes]) -> set[bytes]:
+        """Those in neither cache; what was met before is known again."""
+        fresh = words.difference(self.of)
+        again = self.before.keys() & fresh
+        self.of.update((w, self.before[w]) for w in again)
+        return fresh - again
+
     def _words(self, text: bytes) -> list[bytes]:
         return (text.lower() if self.folds and b"<|" not in text else text).split()  # special tokens keep their case
 
@@ -106,24 +121,13 @@ class Tokens:
         yield from self._group(held)
 
     def _group(self, held: list[list[bytes]]) -> Iterator[bytes]:
-        if len(self.of) > _CACHE:
-            self.of.clear()
-        known = [list(map(self.of.get, words)) for words in held]
-        gaps = [_places_of_none(found) for found in known]
-        if unknown := {words[i] for words, at in zip(held, gaps, strict=True) for i in at}:
-            self.learn(list(unknown))
-        for words, found, at in zip(held, known, gaps, strict=True):
-            for i in at:
-                found[i] = self.of[words[i]]
-            yield b"".join(found)
-
-
-def _places_of_none(found: list) -> list[int]:
-    out, at = [], -1
-    for _ in range(found.count(None)):
-        at = found.index(None, at + 1)
-        out.append(at)
-    return out
+        words = set().union(*held)
+        if len(self.of) > _CACHE:  # what is in use is kept
+            self.of, self.before = {}, self.of
+        if fresh := self._unseen(words):
+            self.learn(list(fresh))
+        for words in held:
+            yield b"".join(map(self.of.__getitem__, words))
 
 
 _OPEN = 16  # a bin with a sixteenth of its capacity free, or more, is packed again with those of other shards
