@@ -1,10 +1,11 @@
 """Near copies: all pairs of texts whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more, and their components.
 
-No pair is lost to a sketch or a radius. Equal sets are one node. Under one order of all shingles, common ones last, two sets of n and m
+SimHash fingerprints of the sets are searched by BK-trees (simhash.links), and what they link is confirmed on the whole sets. As a similarity of 0.8 leaves some ten bits
+different, which no radius of use reaches, a second search completes the first: under one order of all shingles, common ones last, two sets of n and m
 shingles at that similarity share one of the first n - ceil(0.8 n) + 1 of the one and of the first m - ceil(0.8 m) + 1 of the other, so pairs are
-formed only within groups of nodes that share such a shingle, where sizes and places leave 0.8 possible, and each is confirmed on the whole
-sets. The order takes its counts from a hash-chosen sixteenth of the rows; any order is right, this one keeps groups small. Pairs with the least
-node of a group are confirmed first; the second pass forms all pairs but those that both have the same confirmed least neighbour.
+formed only within groups of sets that share such a shingle, where sizes and places leave 0.8 possible, and each is confirmed too. The order takes its counts from a
+hash-chosen sixteenth of the rows; any order is right, this one keeps groups small. Equal sets are one node. Pairs with the least
+node of a group are confirmed first; then all pairs are formed but those that have the same confirmed least neighbour. Only sets of nodes in some pair are compared.
 
 Shingles are of lower-cased words (ASCII) between white space; a text of fewer than 5 words is one shingle. Null and empty texts have equal, empty
 sets. Shingles are compared by their 64-bit hashes.
@@ -18,8 +19,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm._shared import groups, partitions, stage, utf8
-from orrery.llm.simhash import components
+from orrery.llm._shared import Staged, bitmap, groups, marked_in, partitions, slices, stage, utf8
+from orrery.llm.simhash import components, fingerprint_of, links
 
 WIDTH = 5
 #: Counted common shingles at most; rarer ones come first in the order.
@@ -51,7 +52,7 @@ def _sets(rows: DataFrame, key: str) -> DataFrame:
     """key and the set of every row of key and text (bytes)."""
 
     def of(batches):
-        for batch in batches:
+        for batch in slices(batches, 1):
             yield pa.RecordBatch.from_arrays([batch.column(0), _lists([shingles(t) for t in batch.column(1).to_pylist()])], [key, "set"])
 
     return rows.select(key, "text").mapInArrow(of, f"{key} long, set array<long>")
@@ -67,24 +68,26 @@ def _common(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _prefixes(rows: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """row, node, n and the shingles of which similar sets share one."""
+    """row, node, n, the fingerprint, and the shingles of which similar sets share one."""
     keys, counts = common
 
     def of(batches):
-        for batch in batches:
-            nodes, sizes, heads = [], [], []
+        for batch in slices(batches, 1):
+            nodes, sizes, prints, heads = [], [], [], []
             for text in batch.column(1).to_pylist():
                 found = shingles(text)
                 n = len(found)
                 nodes.append(xxhash.xxh64_intdigest(found.tobytes(), 7))
                 sizes.append(n)
+                prints.append(fingerprint_of(found))
                 if len(keys):
                     at = np.minimum(np.searchsorted(keys, found), len(keys) - 1)
                     found = found[np.argsort(np.where(keys[at] == found, counts[at], 0), kind="stable")]
                 heads.append(found[: n - (4 * n + 4) // 5 + 1])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), _lists(heads)], ["row", "node", "n", "head"])
+            longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (nodes, prints)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), longs[0], pa.array(sizes, pa.int64()), longs[1], _lists(heads)], ["row", "node", "n", "fp", "head"])
 
-    return rows.mapInArrow(of, "row long, node long, n long, head array<long>")
+    return rows.mapInArrow(of, "row long, node long, n long, fp long, head array<long>")
 
 
 def _shared(postings: DataFrame) -> DataFrame:
@@ -108,11 +111,10 @@ def _shared(postings: DataFrame) -> DataFrame:
         same = key[1:] == key[:-1]
         yield from part.filter(pa.array(np.append(same, False)[: len(key)] | np.append(False, same)[: len(key)])).combine_chunks().to_batches()
 
-    dealt = postings.repartition(partitions(postings.sparkSession), "key").sortWithinPartitions("key")
-    return dealt.mapInArrow(of, "key long, node long, n long, pos int")
+    return postings.mapInArrow(of, "key long, node long, n long, pos int")
 
 
-def _pairs(shared: DataFrame, every: bool) -> DataFrame:
+def _pairs(shared: DataFrame, tasks: int, every: bool) -> DataFrame:
     """Pairs (a, b) of nodes of a group that may be similar; with the least node only, or all with different labels."""
 
     def of(batches):
@@ -134,7 +136,7 @@ def _pairs(shared: DataFrame, every: bool) -> DataFrame:
                     left, right, size = [], [], 0
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.int64), *x])) for x in (left, right)], ["a", "b"])
 
-    dealt = shared.repartition(partitions(shared.sparkSession), "key").sortWithinPartitions("key", "node")
+    dealt = shared.repartition(tasks, "key").sortWithinPartitions("key", "node")
     return dealt.mapInArrow(of, "a long, b long").distinct()
 
 
@@ -144,17 +146,61 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(9 * F.size(F.array_intersect("s", "t")) >= 4 * (F.size("s") + F.size("t"))).select("a", "b")
 
 
+def _named(rows: DataFrame, nodes: DataFrame, marked: DataFrame) -> DataFrame:
+    """node and set of the nodes, each from its least row; rows are picked by a bitmap, so texts are not shuffled. A node may come more than once, with one set."""
+    least = stage(marked.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("row").alias("row")), "least")
+    bits = rows.sparkSession.sparkContext.broadcast(bitmap(least.select(F.xxhash64("row").alias("h"))))
+
+    def some(batches):
+        for batch in slices(batches, 2):
+            own = batch.filter(pa.array(marked_in(bits.value, batch.column(1).to_numpy().view(np.uint64))))
+            sets = [shingles(t) for t in own.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([own.column(0), _lists(sets)], ["row", "set"])
+
+    found = rows.select("row", F.xxhash64("row").alias("h"), "text").mapInArrow(some, "row long, set array<long>")
+    return stage(found.join(least, "row").select("node", "set"), "sets")
+
+
 def near_copies(docs: DataFrame) -> DataFrame:
-    """row and root, equal for the rows of a component, for docs of row (distinct longs) and text."""
-    rows = docs.select("row", utf8("text").alias("text"))
-    marked = stage(_prefixes(rows, _common(rows)), "prefixes")
-    one = marked.groupBy("node").agg(F.min_by(F.struct("row", "n", "head"), "row").alias("x")).select("node", "x.*")
-    shared = stage(_shared(one.select("node", "n", F.posexplode("head").alias("pos", "key")).select("key", "node", "n", "pos")), "shared")
-    least = marked.groupBy("node").agg(F.min("row").alias("row")).join(shared.select("node").distinct(), "node", "left_semi")
-    sets = stage(_sets(rows.join(least, "row").select("node", "text"), "node"), "sets")
-    first = stage(_confirmed(_pairs(shared.withColumn("label", F.col("node")), every=False), sets), "links")
-    labels = first.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("least"))
-    second = _pairs(shared.join(labels, "node", "left").select("key", "node", "n", "pos", F.coalesce("least", "node").alias("label")), every=True)
-    links = stage(first.unionByName(_confirmed(second, sets)).distinct(), "links")
-    roots = components(links)
-    return marked.join(roots, "node", "left").select("row", F.coalesce("root", "node").alias("root"))
+    """row and root, equal for the rows of a component, for docs of row (distinct longs) and text; docs should be a written table."""
+    spark, rows = docs.sparkSession, docs.select("row", utf8("text").alias("text"))
+    written = Staged(_prefixes(rows, _common(rows)), "prefixes")
+    marked, tasks = written.df, partitions(spark, written.octets())
+    one = marked.groupBy("node").agg(F.min_by(F.struct("n", "head"), "row").alias("x")).select("node", "x.*")
+    postings = one.select("node", "n", F.posexplode("head").alias("pos", "key")).select("key", "node", "n", "pos").repartition(tasks, "key").sortWithinPartitions("key")
+    shared = stage(_shared(postings), "shared")
+    # Fingerprints link their least nodes, and each of them the other nodes that have it.
+    prints = stage(marked.select("fp", "node").distinct(), "fingerprints")
+    least = stage(prints.groupBy("fp").agg(F.min("node").alias("m")), "nodes")
+    near = stage(links(least.select("fp")), "near")
+    of = lambda side: least.select(F.col("fp").alias(side), F.col("m").alias(f"m_{side}"))
+    simhash = near.join(of("a"), "a").join(of("b"), "b").select(F.least("m_a", "m_b").alias("a"), F.greatest("m_a", "m_b").alias("b"))
+    simhash = simhash.unionByName(prints.join(least, "fp").where("m < node").select(F.col("m").alias("a"), F.col("node").alias("b")))
+    first = stage(_pairs(shared.withColumn("label", F.col("node")), tasks, every=False).unionByName(simhash).distinct(), "pairs")
+    confirmed = stage(_confirmed(first, _named(rows, _ends(first), marked)), "links")
+    labels = confirmed.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("least"))
+    labelled = shared.join(labels, "node", "left").select("key", "node", "n", "pos", F.coalesce("least", "node").alias("label"))
+    second = stage(_pairs(labelled, tasks, every=True).join(first, ["a", "b"], "left_anti"), "pairs")
+    found = stage(confirmed.unionByName(_confirmed(second, _named(rows, _ends(second), marked))).distinct(), "links")
+    roots = components(found)
+    return marked.select("row", "node").join(roots, "node", "left").select("row", F.coalesce("root", "node").alias("root"))
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+
+
+def without(docs: DataFrame, gone: DataFrame, row: str = "row") -> DataFrame:
+    """docs without the rows in the written table gone (of that column). Rows that a bitmap clears are not shuffled; the others meet gone."""
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap(gone.select(F.xxhash64(row).alias("h"))))
+    hashed = docs.withColumn("__or_h", F.xxhash64(row))
+
+    def which(clear: bool):
+        def of(batches):
+            for batch in batches:
+                there = marked_in(bits.value, batch.column(batch.num_columns - 1).to_numpy().view(np.uint64))
+                yield batch.filter(pa.array(~there if clear else there))
+
+        return hashed.mapInArrow(of, hashed.schema).drop("__or_h")
+
+    return which(True).unionByName(which(False).join(gone.select(row), row, "left_anti").select(*docs.columns))

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm._shared import Staged, groups, partitions, stage, utf8
+from orrery.llm._shared import Staged, groups, partitions, slices, stage, utf8
 
 RADIUS = 3
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -42,7 +42,12 @@ def fingerprint(text: bytes, width: int = 3) -> int:
         ends = np.cumsum(lengths + 1) - 1
         starts = (ends - lengths)[: 1 - width]
         hashes = [digest(joined[a:b], 42) for a, b in zip(starts.tolist(), ends[width - 1 :].tolist(), strict=True)]
-    octets = np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8)
+    return fingerprint_of(np.array(hashes, dtype="<u8"))
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the 64-bit hashes; 0 of none."""
+    octets = hashes.view(np.uint8).reshape(-1, 8)
     ones = np.concatenate([np.bincount(octets[:, k], minlength=256) @ _BITS for k in range(8)])
     return sum(1 << i for i in np.flatnonzero(2 * ones > len(hashes)).tolist())
 
@@ -51,7 +56,7 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     """doc_id and its fingerprint as a signed long."""
 
     def of(batches):
-        for batch in batches:
+        for batch in slices(batches, 1):
             found = np.array([fingerprint(t, width) for t in batch.column(1).to_pylist()], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
 
