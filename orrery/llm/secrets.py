@@ -2,9 +2,10 @@
 
 Base secrets are assignments, access key ids and long hexadecimal runs of the fixed patterns below. Besides, candidates in base64
 or hexadecimal are decoded and reported only if their structure holds: `token` (three base64url parts whose header is a JSON object that names an algorithm,
-whose claims are a JSON object and whose signature decodes), `pem` (a key block whose body is DER or an OpenSSH key), `der` (a bare base64 or hexadecimal run that decodes to a DER
-sequence which starts with an integer or an algorithm and whose nested lengths all fit) and `openssh` (a bare run that decodes to an OpenSSH key).
-Runs of base64 or base64url of 40 characters at least may follow anything but a letter or digit and go on over line breaks; a run that decodes to a `pem` is one.
+whose claims are a JSON object and whose signature decodes), `pem` (a private key block whose body is DER, an OpenSSH key, or enciphered as its headers say), `der` (a bare run that
+decodes to a private key in DER, by its version, object identifier, octet string or integers, with nested lengths that all fit) and `openssh` (a bare run that decodes to an OpenSSH key).
+Public keys, certificates and signatures are not secrets. Runs of base64 or base64url of 40 characters at least may follow anything but a letter or digit and go on over line breaks, those of
+hexadecimal digits have 64 of them at least; a run that decodes to a block or a token is one.
 
 A null or empty text has no spans; positions are code points, the end exclusive. Whole texts are scanned, row by row: repeated rows and rows with null
 doc_id keep a row each. Empty tables give empty results. Columns other than doc_id and text are ignored.
@@ -22,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orrery.llm._shared import slices
+
 #: The base patterns.
 ASSIGN = re.compile(r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -30,14 +33,15 @@ KINDS = ("assign", "access", "hex", "token", "pem", "der", "openssh")
 
 #: A JSON object begins with a brace or white space, so its base64url with one of CDIe.
 _TOKEN = re.compile(r"(?<![A-Za-z0-9_-])([CDIe][A-Za-z0-9_-]{7,})\.([CDIe][A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]{16,})")
-_PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*(?:PRIVATE|PUBLIC) KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
+_PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----((?:\s*[A-Za-z-]+: [^\n]*\n)*)([A-Za-z0-9+/=\s]+)-----END \1-----")
+_CIPHER = re.compile(r"DEK-Info: [A-Z0-9-]+,(?:[0-9A-Fa-f]{2}){8,}\s")
 #: Runs of base64 or base64url over one or more lines, and where a key may start in one: at a sequence, an OpenSSH key or an encoded block, after anything but a letter or digit.
 _RUN = re.compile(r"[A-Za-z0-9+/_-]+(?:[\x20\t]*\r?\n[\x20\t]*[A-Za-z0-9+/_-]+)*")
 _LINE = re.compile(r"[A-Za-z0-9+/_-]+")
 _START = re.compile(r"(?<![A-Za-z0-9])(?:M[A-P][A-Za-z0-9+/_-]{6}|b3BlbnNzaC1rZXktdjE|LS0tLS1)|[A-Za-z0-9+/_-]{40}")
 _SIGN = re.compile(r"[+/_-](?=M[A-P]|b3Bl|LS0t)")
 _LEAST = 40
-_HEX_DER = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{62,}(?![0-9A-Fa-f])")
+_HEX_RUN = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{64,}(?![0-9A-Fa-f])")
 _MAGIC = b"openssh-key-v1\x00"
 
 
@@ -77,31 +81,47 @@ def der_items(data: bytes, at: int, end: int) -> list[tuple[int, int, int]] | No
     return found
 
 
+#: Tags of a private key's parts: integer, octet string, object identifier, sequence.
+_INTEGER, _OCTETS, _IDENTIFIER, _SEQUENCE = 0x02, 0x04, 0x06, 0x30
+
+
 def der_key(data: bytes) -> bool:
-    """Whether data is one DER sequence, as of a key, with lengths that fit at every level of sequences."""
+    """Whether data is a private key: one DER sequence of a known make, with lengths that fit at every level."""
     top = der_items(data, 0, len(data))
-    if not top or len(top) != 1 or top[0][0] != 0x30:
+    if not top or len(top) != 1 or top[0][0] != _SEQUENCE:
+        return False
+    inner = der_items(data, *top[0][1:])
+    if not inner or not _private(data, inner):
         return False
-    open_, first = [top[0]], True
+    open_ = [x for x in inner if x[0] in (_SEQUENCE, 0x31, 0xA0, 0xA1)]
     while open_:
-        _, a, b = open_.pop()
-        inner = der_items(data, a, b)
-        if inner is None:
+        below = der_items(data, *open_.pop()[1:])
+        if below is None:
             return False
-        if first:  # a version or modulus, or an algorithm's sequence, and a key after it
-            if len(inner) < 2 or inner[0][0] not in (0x02, 0x30):
-                return False
-            if inner[0][0] == 0x30 and data[inner[0][1] : inner[0][1] + 1] != b"\x06":  # an algorithm begins with its identifier, a certificate's sequence doesn't
-                return False
-            if [x[0] for x in inner] == [0x02, 0x02]:  # a modulus is far longer than its exponent, the two integers of a signature are not
-                (_, a, b), (_, c, d) = inner
-                if b - a <= 2 * (d - c):
-                    return False
-            first = False
-        open_ += [x for x in inner if x[0] in (0x30, 0x31, 0xA0, 0xA1)]
+        open_ += [x for x in below if x[0] in (_SEQUENCE, 0x31, 0xA0, 0xA1)]
     return True
 
 
+def _private(data: bytes, parts: list[tuple[int, int, int]]) -> bool:
+    """By its parts: a version and integers (RSA, DSA), version 1 and an octet string (EC), a version, an algorithm and an octet string, or an algorithm and what it enciphers."""
+    tags = [x[0] for x in parts]
+
+    def named(part: tuple[int, int, int]) -> bool:
+        below = der_items(data, *part[1:])
+        return bool(below) and below[0][0] == _IDENTIFIER and below[0][2] > below[0][1]
+
+    if tags == [_SEQUENCE, _OCTETS]:
+        return named(parts[0])
+    version = int.from_bytes(data[parts[0][1] : parts[0][2]], "big") if tags[0] == _INTEGER and parts[0][2] - parts[0][1] == 1 else -1
+    if version not in (0, 1):
+        return False
+    if len(tags) >= 6 and set(tags[:6]) == {_INTEGER}:
+        return parts[1][2] - parts[1][1] >= 32
+    if tags[1:2] == [_OCTETS]:
+        return version == 1 and parts[1][2] - parts[1][1] >= 16
+    return tags[1:3] == [_SEQUENCE, _OCTETS] and named(parts[1])
+
+
 def openssh_key(data: bytes) -> bool:
     """Whether data is an OpenSSH key: its magic, then cipher, kdf and options with lengths that fit, and a count of keys."""
     if not data.startswith(_MAGIC):
@@ -125,11 +145,28 @@ def _pem_end(data: bytes) -> int:
     """The end of the first sound key block in data; 0 if there is none."""
     if b"-----BEGIN" not in data:
         return 0
-    for m in _PEM.finditer(data.decode("latin-1")):
-        body = _decoded("".join(m[2].split()).rstrip("="))
-        if body and (der_key(body) or openssh_key(body)):
-            return m.end()
-    return 0
+    return next((m.end() for m in _PEM.finditer(data.decode("latin-1")) if _block(m)), 0)
+
+
+def _block(m: re.Match) -> bool:
+    """Whether a block's body is a private key, or enciphered by the algorithm that its headers name."""
+    body = _decoded("".join(m[3].split()).rstrip("="))
+    if body and "ENCRYPTED" in m[2]:
+        return bool(_CIPHER.search(m[2])) and len(body) % 8 == 0
+    return bool(body) and (der_key(body) or openssh_key(body))
+
+
+def hex_key(digits: str) -> int | None:
+    """The kind of what a hexadecimal run holds: a key, a block or a token; None if neither."""
+    data = bytes.fromhex(digits[: len(digits) // 2 * 2])
+    if len(digits) % 2 == 0 and der_key(data):
+        return 5
+    if data.startswith(_MAGIC) and openssh_key(data):
+        return 6
+    if _pem_end(data):
+        return 4
+    found = _TOKEN.fullmatch(data.decode("latin-1").strip()) if b"." in data else None
+    return 3 if found and signed_token(*found.groups()) else None
 
 
 def _openssh_end(data: bytes) -> int:
@@ -212,15 +249,10 @@ def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, in
     if "." in text:
         more += [(m.start(), 3, m.end()) for m in _TOKEN.finditer(text) if signed_token(*m.groups())]
     if "-----BEGIN" in text:
-        for m in _PEM.finditer(text):
-            data = _decoded("".join(m[2].split()).rstrip("="))
-            if data and (der_key(data) or openssh_key(data)):
-                more.append((m.start(), 4, m.end()))
+        more += [(m.start(), 4, m.end()) for m in _PEM.finditer(text) if _block(m)]
     blocks = [(a, b) for a, k, b in more if k == 4]
     more += [x for x in encoded_keys(text) if not any(a <= x[0] < b for a, b in blocks)]
-    for m in _HEX_DER.finditer(text):
-        if len(m[0]) % 2 == 0 and der_key(bytes.fromhex(m[0])):
-            more.append((m.start(), 5, m.end()))
+    more += [(m.start(), k, m.end()) for m in _HEX_RUN.finditer(text) if (k := hex_key(m[0])) is not None]
     return sorted(low), sorted(low + more)
 
 
@@ -232,7 +264,7 @@ def spans(docs: DataFrame) -> DataFrame:
     kind = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.string()), ("end", pa.int32())]))
 
     def of(batches):
-        for batch in batches:
+        for batch in slices(batches, 1):
             found = [scan(t) for t in batch.column(1).to_pylist()]
             columns = [pa.array([[{"start": a, "kind": KINDS[k], "end": b} for a, k, b in x[i]] for x in found], kind) for i in (0, 1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "base", "spans"])
