@@ -2,16 +2,18 @@
 
 The writer makes an ID3v2.4 tag (with the payload's length), a frame with a Xing table (frames, bytes and 100 seek points), then frames with CRC whose side
 information declares silence and whose main data carries the payload, octet by octet. Bit rates vary to fit what is left. The reader works on any stream: it
-skips tags, resynchronises on frame headers (a sync word counts only if the next header, or the end, stands where the frame says), parses the variable-bitrate
-table (Xing, Info or VBRI), verifies the checksums of Layer III (those of Layers I and II are left out), and gives exact durations and the offset of each frame.
+skips tags, synchronises on frame headers (at the start, after any loss and at a change, a header counts only if it and those that follow where frames say, four in all or up to the
+end, agree in version, layer and rate), parses the variable-bitrate table (Xing, Info or VBRI), verifies the checksums of all layers, and gives exact
+durations and the offset of each frame.
 
 A null text counts as empty; payloads are padded with zero bytes to a positive multiple of 64. Rows are independent: repeated rows keep a row each, equal texts have equal
-results. Frames are handled one by one, whatever the text's length. Empty tables give empty results. Columns other than doc_id and text are ignored.
+results. Frames are handled one by one, whatever the text's length. A null stream counts as an empty one, and a payload length that is no number as none. Empty tables give empty results. Columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 from fractions import Fraction
 from functools import cache, lru_cache
@@ -20,13 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm._shared import utf8
+from orrery.llm._shared import slices, utf8
 
 # Fixed values of the format (ISO/IEC 11172-3 and 13818-3): kbit/s by bit-rate index, samples a second by rate index.
 RATES_V1 = {1: (32, 64, 96, 128, 160, 192, 224, 256, 288, 320, 352, 384, 416, 448), 2: (32, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320, 384), 3: (32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320)}
 RATES_V2 = {1: (32, 48, 56, 64, 80, 96, 112, 128, 144, 160, 176, 192, 224, 256), 2: (8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160), 3: (8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160)}
 HERTZ = {3: (44100, 48000, 32000), 2: (22050, 24000, 16000), 0: (11025, 12000, 8000)}
 SIDE = 17  # octets of side information of a mono MPEG-1 Layer III frame
+# Bits of each subband's allocation in Layer II: MPEG-1 at high, higher and low rates (the last at 32 kHz), and MPEG-2.
+LAYER_II = {"a": [4] * 11 + [3] * 12 + [2] * 4, "b": [4] * 11 + [3] * 12 + [2] * 7, "c": [4] * 2 + [3] * 6, "d": [4] * 2 + [3] * 10, "lsf": [4] * 4 + [3] * 7 + [2] * 19}
 
 
 @lru_cache(1 << 16)
@@ -56,6 +60,39 @@ def crc16(data: bytes) -> int:
     return crc
 
 
+def crc16_bits(data: bytes, bits: int) -> int:
+    """The checksum of so many leading bits."""
+    crc = crc16(data[: bits // 8])
+    for k in range(bits // 8 * 8, bits):
+        bit = data[k // 8] >> 7 - k % 8 & 1
+        crc = (crc << 1 ^ 0x8005 if (crc >> 15) ^ bit else crc << 1) & 0xFFFF
+    return crc
+
+
+def guarded_bits(frame: bytes, version: int, layer: int) -> int:
+    """How many bits after a frame's checksum it guards, besides the end of the header."""
+    mode, extension = frame[3] >> 6, frame[3] >> 4 & 3
+    channels = 1 if mode == 3 else 2
+    if layer == 3:
+        return 8 * ((SIDE if channels == 1 else 32) if version == 3 else (9 if channels == 1 else 17))
+    if layer == 1:
+        bound = 4 * (extension + 1) if mode == 1 else 32
+        return 4 * (channels * bound + 32 - bound)
+    if version == 3:
+        kbit, hertz = RATES_V1[2][(frame[2] >> 4) - 1] // channels, HERTZ[3][frame[2] >> 2 & 3]
+        widths = LAYER_II[("d" if hertz == 32000 else "c") if kbit <= 48 else "a" if hertz == 48000 or kbit <= 80 else "b"]
+    else:
+        widths = LAYER_II["lsf"]
+    bound = min(4 * (extension + 1), len(widths)) if mode == 1 else len(widths)
+    word, at, used = int.from_bytes(frame[6:102].ljust(96, b"\0"), "big"), 0, 0
+    for subband, width in enumerate(widths):
+        for _ in range(channels if subband < bound else 1):
+            some = word >> 768 - at - width & (1 << width) - 1
+            at += width
+            used += 2 * (some > 0) * (1 if subband < bound else channels)
+    return at + used
+
+
 def _head(kbit: int) -> bytes:
     """An MPEG-1 Layer III header with CRC, 32 kHz, mono."""
     return bytes((0xFF, 0xFA, RATES_V1[3].index(kbit) + 1 << 4 | 2 << 2, 0xC0))
@@ -99,6 +136,25 @@ def write(payload: bytes) -> bytes:
     return b"".join((tag, first, *parts))
 
 
+def _kin(word: bytes) -> tuple[int, int, int] | None:
+    """What the headers of a stream agree in: version, layer and rate."""
+    h = header(word)
+    return h and (h[0], h[1], h[4])
+
+
+def _agree(data: bytes, at: int, end: int, note: int, headers: int = 4) -> bool:
+    """Whether so many headers in a row agree, or all up to the end."""
+    kin = _kin(data[at : at + 4])
+    for _ in range(headers):
+        h = header(data[at : at + 4])
+        if not h or (h[0], h[1], h[4]) != kin:
+            return False
+        at += h[2]
+        if at in (end, note):
+            return True
+    return at < end
+
+
 def _tags(data: bytes) -> tuple[int, dict[str, str]]:
     """The end of the leading ID3v2 tags, and their user-defined texts."""
     at, texts = 0, {}
@@ -125,25 +181,29 @@ def read(data: bytes) -> dict:
     offsets: list[int] = []
     bad = skipped = 0
     duration, table, main, hertz, samples = Fraction(0), None, [], 0, 0
-    end, note = len(data), len(data) - 128 if data[-128:-125] == b"TAG" else -1
+    end, note, synced, kin = len(data), len(data) - 128 if data[-128:-125] == b"TAG" else -1, False, None
     while at + 4 <= end:
         if at == note:  # an ID3v1 tag, as frames end where it begins; elsewhere these octets are payload
             end = at
             break
         h = header(data[at : at + 4])
         nxt = at + h[2] if h else 0
-        if not h or nxt > end or (not offsets and nxt + 4 <= end and nxt != note and not header(data[nxt : nxt + 4])):
+        own = h and (h[0], h[1], h[4])
+        if not h or nxt > end or not (synced and own == kin) and not _agree(data, at, end, note):
+            synced = False
             sync = data.find(b"\xff", at + 1, end)
             to = sync if sync >= 0 else end
             skipped += to - at
             at = to
             continue
+        synced, kin = True, own
         version, layer, size, n, hz, has_crc = h
         mono = data[at + 3] >> 6 == 3
         side = (SIDE if mono else 32) if version == 3 else (9 if mono else 17)
         begin = at + 4 + 2 * has_crc
-        if layer == 3 and has_crc and crc16(data[at + 2 : at + 4] + data[begin : begin + side]) != int.from_bytes(data[at + 4 : at + 6], "big"):
-            bad += 1
+        if has_crc:
+            guarded = guarded_bits(data[at:nxt], version, layer)
+            bad += crc16_bits(data[at + 2 : at + 4] + data[begin : begin + -(-guarded // 8)], 16 + guarded) != int.from_bytes(data[at + 4 : at + 6], "big") if begin + guarded / 8 <= nxt else 1
         body = begin + (side if layer == 3 else 0)
         if not offsets and table is None and data[body : body + 4] in (b"Xing", b"Info"):
             flags, pos = int.from_bytes(data[body + 4 : body + 8], "big"), body + 8
@@ -169,7 +229,7 @@ def read(data: bytes) -> dict:
     if hertz:
         duration += Fraction(samples, hertz)
     payload = b"".join(main)
-    if "PAYLOAD" in texts:
+    if re.fullmatch("[0-9]{1,18}", texts.get("PAYLOAD", "")):
         payload = payload[: int(texts["PAYLOAD"])]
     return {"payload": payload, "offsets": offsets, "duration": duration, "bad": bad, "skipped": skipped + max(0, end - at), "table": table}
 
@@ -189,7 +249,7 @@ def stored(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes and media (the stream) for every row of docs."""
 
     def of(batches):
-        for batch in batches:
+        for batch in slices(batches, 1):
             texts = batch.column(1).to_pylist()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, texts), pa.int64()), pa.array([write(padded(t)) for t in texts], pa.binary())], ["doc_id", "n_bytes", "media"])
 
@@ -200,9 +260,10 @@ def probe(media: DataFrame) -> DataFrame:
     """The features of streams in column media: frame offsets, duration, checks and digests; doc_id and n_bytes pass through."""
 
     def of(batches):
-        for batch in batches:
+        for batch in slices(batches, 2):
             rows = []
             for data in batch.column(2).to_pylist():
+                data = data or b""
                 x = read(data)
                 p = x["payload"]
                 rows.append((len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(data), hashlib.sha256(data).hexdigest(), float(x["duration"]), x["offsets"], feature(x)))
