@@ -5,8 +5,8 @@ entity are a lexical pattern (a label attached to it, else two words, or the one
 have patterns too); patterns and the instances (distinct strings) they introduce form a graph. A pattern is accepted if at least `support` of its instances are
 known, these are at least a share of `confidence` of the known and the contradicted ones (unknown instances met under `support` patterns or more that have no known one,
 as ordinary numbers are), and at least a share of `majority` of all. Instances of accepted patterns are known from then on, until no instance is added. An occurrence of an identifier that is not in a base
-entity is reported, as kind `context`, where an accepted pattern introduces it. Identifiers are runs of 5 to 30 digits and
-hyphens with up to 4 letters before them. Counting distinct strings keeps copies of a document from vouching for themselves.
+entity is reported, as kind `context`, where an accepted pattern introduces it. Identifiers are runs of letters, digits and hyphens with 5 digits at least, of any length, as the
+words of a pattern may be; signs that part lists (`,;&|/`) end a word. Counting distinct strings keeps copies of a document from vouching for themselves.
 
 A null or empty text has no spans. Positions are code points, the end exclusive. Rows are independent but for the patterns, so repeated
 rows and rows with null doc_id keep a row each. Empty tables give empty results. Columns other than doc_id and text are ignored.
@@ -24,23 +24,42 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-IDENTIFIER = r"(?<![A-Za-z0-9_+@.%-])[A-Za-z]{0,4}-?[0-9][0-9-]{3,28}[0-9](?![A-Za-z0-9@_-])"
+IDENTIFIER = r"(?<![A-Za-z0-9_+@.%-])-?(?=[A-Za-z-]*+[0-9])[A-Za-z0-9]++(?:-++[A-Za-z0-9]++)*+(?![A-Za-z0-9@_-])"
+LEAST_DIGITS = 5
 KINDS = ("email", "ip", "card", "phone", "context")
 
 
+_ENTRY = "struct<start: int, end: int, kind: int, found: string, cue: string>"
+
+
+def _levelled(piece: Column) -> Column:
+    """In lower case, with # for addresses and numbers (several in a row count once), and single blanks between words."""
+    bare = F.regexp_replace(F.lower(piece), r"[^\s@]++@[a-z0-9-]++(?:\.[a-z0-9-]++)*+", "#")
+    bare = F.regexp_replace(bare, r"[0-9](?:[\s().+-]*+[0-9])*+", "#")
+    bare = F.regexp_replace(F.regexp_replace(bare, r"([,;&|/])(?=\S)", "$1 "), r"\s+", " ")
+    return F.regexp_replace(bare, r"(#[^\p{L}#\s]*+)(?:\1)+", "$1")
+
+
+def _cue(before: Column) -> Column:
+    """The label attached to an occurrence, or the two words before it, or the one; a digest stands for a long one."""
+    attached = F.regexp_extract(before, r"(?:^| )([^ ]*\p{L}[^ ]*)\z", 1)
+    cue = F.when(attached != "", attached).otherwise(F.ltrim(F.regexp_extract(before, r"(?:^| )((?:[^ ]+ )?[^ ]+ ?)\z", 1)))
+    return F.when(F.length(cue) > 64, F.md5(cue)).otherwise(cue)
+
+
 def occurrences(text: Column, pattern: str, kind: str) -> Column:
-    """Array of (start, end, kind, found, before) of the pattern's leftmost matches; before: the 96 characters of the text ahead at most."""
+    """Array of (start, end, kind, found, cue) of the pattern's leftmost matches; cue: the pattern of words that introduces it."""
     pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pairs = F.filter(F.arrays_zip(pieces.alias("p"), found.alias("m")), lambda x: x["m"].isNotNull())
-    empty = F.expr("cast(array() as array<struct<start: int, end: int, kind: int, found: string, before: string>>)")
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["p"])
         end = start + F.length(x["m"])
-        before = F.right(F.concat(acc["tail"], x["p"]), F.lit(96))
-        one = F.struct(start.alias("start"), end.alias("end"), F.lit(KINDS.index(kind)).alias("kind"), x["m"].alias("found"), before.alias("before"))
-        return F.struct(end.alias("at"), F.right(F.concat(before, x["m"]), F.lit(96)).alias("tail"), F.concat(acc["out"], F.array(one)).alias("out"))
+        before = F.substring_index(F.concat(acc["tail"], _levelled(x["p"])), " ", -4)
+        one = F.struct(start.alias("start"), end.alias("end"), F.lit(KINDS.index(kind)).alias("kind"), x["m"].alias("found"), _cue(before).alias("cue"))
+        return F.struct(end.alias("at"), F.concat(before, _levelled(x["m"])).alias("tail"), F.concat(acc["out"], F.array(one)).alias("out"))
 
+    empty = F.expr(f"cast(array() as array<{_ENTRY}>)")
     return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), empty.alias("out")), step, lambda acc: acc["out"])
 
 
@@ -63,7 +82,7 @@ def _valid_card(x: Column) -> Column:
 
 def base(text: Column) -> Column:
     """The base entities of a text, ordered by start, then kind."""
-    none = F.expr("cast(array() as array<struct<start: int, end: int, kind: int, found: string, before: string>>)")
+    none = F.expr(f"cast(array() as array<{_ENTRY}>)")
     number = text.rlike("[0-9]")
     email = F.when(text.contains("@"), occurrences(text, EMAIL, "email")).otherwise(none)
     ip = F.when(number, F.filter(occurrences(text, IP, "ip"), _valid_ip)).otherwise(none)
@@ -72,23 +91,20 @@ def base(text: Column) -> Column:
     return F.array_sort(F.concat(email, ip, card, phone))
 
 
-def _cue(x: Column) -> Column:
-    """The label attached to an occurrence, or the two words before it, or the one; in lower case, with # for numbers and addresses."""
-    bare = F.regexp_replace(F.lower(x["before"]), r"[^\s@]++@[a-z0-9-]++(?:\.[a-z0-9-]++)*+", "#")
-    bare = F.regexp_replace(F.regexp_replace(bare, r"[0-9](?:[\s().+-]*+[0-9])*+", "#"), r"\s+", " ")
-    attached = F.regexp_extract(bare, r"(?:^|\s)(\S*\p{L}\S*)\z", 1)
-    return F.when(attached != "", attached).otherwise(F.ltrim(F.regexp_extract(bare, r"(?:^|\s)((?:\S+ )?\S+ ?)\z", 1)))
-
-
 def spans(docs: DataFrame, support: int = 5, confidence: float = 0.9, majority: float = 0.5) -> DataFrame:
     """doc_id, the base entities and all spans (arrays of start, end, kind), for every row of docs."""
+    return _spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id"], support, confidence, majority)
+
+
+def _spans(docs: DataFrame, keys: list[str], support: int = 5, confidence: float = 0.9, majority: float = 0.5) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), base(text).alias("base"), F.when(text.rlike("[0-9]{2}|[0-9]-[0-9]"), occurrences(text, IDENTIFIER, "context")).alias("ids"))
+    ids = F.filter(occurrences(text, IDENTIFIER, "context"), lambda x: F.length(_digits(x["found"])) >= LEAST_DIGITS)
+    found = docs.select(*keys, base(text).alias("base"), F.when(text.rlike("[0-9]"), ids).alias("ids"))
     apart = F.filter("ids", lambda i: ~F.exists("base", lambda b: (b["start"] < i["end"]) & (i["start"] < b["end"])))
-    found = stage(found.select("doc_id", "base", F.coalesce(apart, F.slice("base", 1, 0)).alias("ids")), "entities")
+    found = stage(found.select(*keys, "base", F.coalesce(apart, F.slice("base", 1, 0)).alias("ids")), "entities")
     seeds = found.select(F.explode("base").alias("x"))
     wild = found.select(F.explode("ids").alias("x"))
-    graph = seeds.unionByName(wild).select(F.col("x.kind").alias("kind"), _cue(F.col("x")).alias("cue"), F.col("x.found").alias("instance")).where("cue <> ''").distinct()
+    graph = seeds.unionByName(wild).select(F.col("x.kind").alias("kind"), F.col("x.cue").alias("cue"), F.col("x.found").alias("instance")).where("cue <> ''").distinct()
     graph = stage(graph, "graph")
     unknown = KINDS.index("context")
     known = stage(graph.where(F.col("kind") < unknown).select("instance").distinct(), "known")
@@ -107,12 +123,12 @@ def spans(docs: DataFrame, support: int = 5, confidence: float = 0.9, majority:
     shape = "array<struct<start: int, end: int, kind: int>>"
     bare = F.transform("base", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind")))
     # Rows with identifiers to judge go through the patterns; the others are ready.
-    plain = found.where("size(ids) = 0").select("doc_id", "base", bare.alias("spans"))
+    plain = found.where("size(ids) = 0").select(*keys, "base", bare.alias("spans"))
     rest = found.where("size(ids) > 0").withColumn("_row", F.monotonically_increasing_id())
     rest = stage(rest, "identifiers")
-    hits = rest.select("_row", F.explode("ids").alias("x")).withColumn("cue", _cue(F.col("x"))).where("cue <> ''").join(patterns, "cue", "left_semi")
+    hits = rest.select("_row", F.explode("ids").alias("x")).withColumn("cue", F.col("x.cue")).where("cue <> ''").join(patterns, "cue", "left_semi")
     more = hits.groupBy("_row").agg(F.collect_list(F.struct("x.start", "x.end", "x.kind")).alias("more"))
-    judged = rest.join(more, "_row", "left").select("doc_id", "base", F.array_sort(F.concat(bare, F.coalesce("more", F.expr(f"cast(array() as {shape})")))).alias("spans"))
+    judged = rest.join(more, "_row", "left").select(*keys, "base", F.array_sort(F.concat(bare, F.coalesce("more", F.expr(f"cast(array() as {shape})")))).alias("spans"))
     return plain.unionByName(judged)
 
 
@@ -132,9 +148,9 @@ def redact(docs: DataFrame, **options) -> DataFrame:
     columns = docs.columns
     row = F.xxhash64("doc_id", "text")
     keyed = docs.withColumn("__or_row", row)
-    one = keyed.select("__or_row", "text").where("text is not null")
-    hit = spans(one.select(F.col("__or_row").alias("doc_id"), "text"), **options).where("size(spans) > 0").select(F.col("doc_id").alias("__or_r"), F.col("spans").alias("__or_spans")).dropDuplicates(["__or_r"])
-    joined = keyed.join(hit, F.col("__or_row") == F.col("__or_r"), "left")
+    one = keyed.select(F.col("doc_id").alias("__or_d"), F.col("__or_row").alias("__or_r"), "text").where("text is not null")
+    hit = _spans(one, ["__or_d", "__or_r"], **options).where("size(spans) > 0").select("__or_d", "__or_r", F.col("spans").alias("__or_spans")).dropDuplicates(["__or_d", "__or_r"])
+    joined = keyed.join(hit, (F.col("__or_row") == F.col("__or_r")) & F.col("doc_id").eqNullSafe(F.col("__or_d")), "left")
     text, names = F.col("text"), F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
 
     def step(acc: Column, x: Column) -> Column:
