@@ -1,10 +1,10 @@
 """URL filters by hashed expressions, with DataFrame operations only.
 
 A URL expands into every suffix of its host, at label borders, combined with every prefix of its path that has the length of some rule's
-path. An expression joins the rules on the first 8 hex digits of its SHA-256; the full digest confirms it. Of the rules that
+path. An expression joins the rules on the first 8 hex digits of its SHA-256 alone; the full digest confirms what has met. Of the rules that
 fit, the longest wins (host and path together, then the longer host, then block before allow).
 
-Each distinct URL is judged once. Null URLs and those without `://` have an empty host and path, and no rule fits. A rule with null
+Each distinct URL is judged once. Null URLs and those without `://` have an empty host and path, no rule fits, and they take no part in any shuffle. A rule with null
 in any column fits nothing; a repeated rule counts once. Without a fitting rule the verdict is `default`. Empty tables give empty results. Columns of
 pages other than page_id and url are ignored.
 """
@@ -47,7 +47,10 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     expanded = parts.withColumn("suffix", F.explode(suffixes))
     expanded = expanded.withColumn("length", F.explode(F.array(*map(F.lit, lengths)) if lengths else F.expr("array()").cast("array<int>"))).where("length <= length(path)")
     hashed = expanded.select("url", _digest(F.col("suffix"), F.expr("substring(path, 1, length)")).alias("digest"))
-    hits = hashed.join(listed, (F.substring("digest", 1, 8) == F.col("prefix")) & (F.col("digest") == F.col("full")))
-    best = hits.groupBy("url").agg(F.max("won").alias("won")).withColumnRenamed("url", "judged")
-    joined = pages.select("page_id", "url").join(best, F.col("url") == F.col("judged"), "left")
-    return joined.select("page_id", host_of().alias("host"), path_of().alias("path"), F.col("won.rule").alias("rule"), F.coalesce("won.verdict", F.lit(default)).alias("verdict"))
+    hits = hashed.join(listed, F.substring("digest", 1, 8) == F.col("prefix"))
+    best = hits.groupBy("url").agg(F.max(F.when(F.col("digest") == F.col("full"), F.col("won"))).alias("won")).withColumnRenamed("url", "judged")
+    rows = pages.select("page_id", "url", host_of().alias("host"), path_of().alias("path"))
+    verdict = [F.col("won.rule").alias("rule"), F.coalesce("won.verdict", F.lit(default)).alias("verdict")]
+    joined = rows.where("host <> ''").join(best, F.col("url") == F.col("judged"), "left").select("page_id", "host", "path", *verdict)
+    bare = rows.where("host = ''").select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
+    return joined.unionByName(bare)
