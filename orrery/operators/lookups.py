@@ -36,13 +36,16 @@ def fuzzy(df: DataFrame, norm: Column, row: str, index: DataFrame, out: str, min
     return df.join(one, F.col(row) == F.col("_row"), "left").drop("_row")
 
 
-def mentions(texts: DataFrame, row: str, words: Column, names: DataFrame, longest: int = 4) -> DataFrame:
-    """row, at, n, key of the names (norm, key) that occur as whole words; texts are cut into n-grams and equi-joined.
+def mentions(texts: DataFrame, row: str, words: Column, names: DataFrame) -> DataFrame:
+    """row, at, n, key of the names (norm, key) that occur as whole words; texts are cut into n-grams of the lengths that names have, and equi-joined.
 
     Overlaps go to the leftmost, then longest.
     """
+    # Distinct lengths, at most as many as the longest name has words.
+    lengths = [r[0] for r in names.select(F.size(F.split("norm", " ")).alias("n")).distinct().collect()]
+    wide = F.array(*map(F.lit, sorted(lengths))) if lengths else F.array().cast("array<int>")
     held = texts.select(F.col(row).alias("row"), words.alias("w"))
-    grams = held.select("row", F.explode(F.flatten(F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 1, F.lit(0))), lambda i: F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda n: F.struct(i.alias("at"), n.alias("n"), F.array_join(F.slice("w", i + 1, n), " ").alias("gram")))))).alias("g"), F.size("w").alias("size"))
+    grams = held.select("row", F.explode(F.flatten(F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 1, F.lit(0))), lambda i: F.transform(wide, lambda n: F.struct(i.alias("at"), n.alias("n"), F.array_join(F.slice("w", i + 1, n), " ").alias("gram")))))).alias("g"), F.size("w").alias("size"))
     grams = grams.where("g.at + g.n <= size").select("row", "g.*")
     found = grams.join(names, F.col("gram") == F.col("norm"))
     spans = found.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("at", (-F.col("n")).alias("m"), "key"))).alias("s"))
