@@ -4,8 +4,8 @@ SimHash fingerprints of the sets are searched by BK-trees (simhash.links), and w
 different, which no radius of use reaches, a second search completes the first: under one order of all shingles, common ones last, two sets of n and m
 shingles at that similarity share one of the first n - ceil(0.8 n) + 1 of the one and of the first m - ceil(0.8 m) + 1 of the other, so pairs are
 formed only within groups of sets that share such a shingle, where sizes and places leave 0.8 possible, and each is confirmed too. The order takes its counts from a
-hash-chosen sixteenth of the rows; any order is right, this one keeps groups small. Equal sets are one node. Pairs with the least
-node of a group are confirmed first; then all pairs are formed but those that have the same confirmed least neighbour. Only sets of nodes in some pair are compared.
+hash-chosen sixteenth of the rows; any order is right, this one keeps groups small. Equal sets are one node. Fingerprints come first, then the pairs with the least
+node of each group, then all others; no pass forms a pair that the ones before it have connected. Only sets of nodes in some pair are compared.
 
 Shingles are of lower-cased words (ASCII) between white space; a text of fewer than 5 words is one shingle. Null and empty texts have equal, empty
 sets. Shingles are compared by their 64-bit hashes.
@@ -115,7 +115,7 @@ def _shared(postings: DataFrame) -> DataFrame:
 
 
 def _pairs(shared: DataFrame, tasks: int, every: bool) -> DataFrame:
-    """Pairs (a, b) of nodes of a group that may be similar; with the least node only, or all with different labels."""
+    """Pairs (a, b) of nodes of a group that may be similar and have different labels; with the least node only, or all."""
 
     def of(batches):
         left, right, size = [], [], 0
@@ -125,8 +125,7 @@ def _pairs(shared: DataFrame, tasks: int, every: bool) -> DataFrame:
                 # 9 * overlap >= 4 * (n + m) is a similarity of 0.8; the pair's first common shingle leaves what follows it in both.
                 left_over = 1 + np.minimum(n[i] - pos[i] - 1, n[i + 1 :] - pos[i + 1 :] - 1)
                 fits = 9 * left_over >= 4 * (n[i] + n[i + 1 :])
-                if every:
-                    fits &= label[i] != label[i + 1 :]
+                fits &= label[i] != label[i + 1 :]
                 to = node[i + 1 :][fits]
                 left.append(np.full(len(to), node[i]))
                 right.append(to)
@@ -137,7 +136,7 @@ def _pairs(shared: DataFrame, tasks: int, every: bool) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.int64), *x])) for x in (left, right)], ["a", "b"])
 
     dealt = shared.repartition(tasks, "key").sortWithinPartitions("key", "node")
-    return dealt.mapInArrow(of, "a long, b long").distinct()
+    return dealt.mapInArrow(of, "a long, b long")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -165,24 +164,36 @@ def near_copies(docs: DataFrame) -> DataFrame:
     """row and root, equal for the rows of a component, for docs of row (distinct longs) and text; docs should be a written table."""
     spark, rows = docs.sparkSession, docs.select("row", utf8("text").alias("text"))
     written = Staged(_prefixes(rows, _common(rows)), "prefixes")
-    marked, tasks = written.df, partitions(spark, written.octets())
+    marked, tasks, passing = written.df, partitions(spark, written.octets()), []
+
+    def kept(df: DataFrame, label: str) -> DataFrame:
+        passing.append(Staged(df, label))
+        return passing[-1].df
+
     one = marked.groupBy("node").agg(F.min_by(F.struct("n", "head"), "row").alias("x")).select("node", "x.*")
     postings = one.select("node", "n", F.posexplode("head").alias("pos", "key")).select("key", "node", "n", "pos").repartition(tasks, "key").sortWithinPartitions("key")
-    shared = stage(_shared(postings), "shared")
+    shared = kept(_shared(postings), "shared")
     # Fingerprints link their least nodes, and each of them the other nodes that have it.
-    prints = stage(marked.select("fp", "node").distinct(), "fingerprints")
-    least = stage(prints.groupBy("fp").agg(F.min("node").alias("m")), "nodes")
-    near = stage(links(least.select("fp")), "near")
+    prints = kept(marked.select("fp", "node").distinct(), "fingerprints")
+    least = kept(prints.groupBy("fp").agg(F.min("node").alias("m")), "nodes")
+    near = kept(links(least.select("fp")), "near")
     of = lambda side: least.select(F.col("fp").alias(side), F.col("m").alias(f"m_{side}"))
     simhash = near.join(of("a"), "a").join(of("b"), "b").select(F.least("m_a", "m_b").alias("a"), F.greatest("m_a", "m_b").alias("b"))
     simhash = simhash.unionByName(prints.join(least, "fp").where("m < node").select(F.col("m").alias("a"), F.col("node").alias("b")))
-    first = stage(_pairs(shared.withColumn("label", F.col("node")), tasks, every=False).unionByName(simhash).distinct(), "pairs")
-    confirmed = stage(_confirmed(first, _named(rows, _ends(first), marked)), "links")
-    labels = confirmed.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("least"))
-    labelled = shared.join(labels, "node", "left").select("key", "node", "n", "pos", F.coalesce("least", "node").alias("label"))
-    second = stage(_pairs(labelled, tasks, every=True).join(first, ["a", "b"], "left_anti"), "pairs")
-    found = stage(confirmed.unionByName(_confirmed(second, _named(rows, _ends(second), marked))).distinct(), "links")
-    roots = components(found)
+
+    found, roots = None, None
+    for step in ("fingerprints", "least", "every"):
+        if step == "fingerprints":
+            pairs = simhash
+        else:
+            named = shared.join(roots, "node", "left").select("key", "node", "n", "pos", F.coalesce("root", "node").alias("label"))
+            pairs = _pairs(named, tasks, every=step == "every")
+        pairs = kept(pairs.distinct(), "pairs")
+        confirmed = kept(_confirmed(pairs, _named(rows, _ends(pairs), marked)), "links")
+        found = confirmed if found is None else found.unionByName(confirmed)
+        roots = stage(components(found), "roots")
+    for table in passing:
+        table.drop()
     return marked.select("row", "node").join(roots, "node", "left").select("row", F.coalesce("root", "node").alias("root"))
 
 
