@@ -32,6 +32,11 @@ KINDS = ("email", "ip", "card", "phone", "context")
 _ENTRY = "struct<start: int, end: int, kind: int, found: string, cue: string>"
 
 
+def _last_words(piece: Column) -> Column:
+    """The last six words of a text at most, of any length."""
+    return F.reverse(F.regexp_extract(F.reverse(piece), r"^\s*+\S*+(?:\s++\S++){0,5}", 0))
+
+
 def _levelled(piece: Column) -> Column:
     """In lower case, with # for addresses and numbers (several in a row count once), and single blanks between words."""
     bare = F.regexp_replace(F.lower(piece), r"[^\s@]++@[a-z0-9-]++(?:\.[a-z0-9-]++)*+", "#")
@@ -55,7 +60,7 @@ def occurrences(text: Column, pattern: str, kind: str) -> Column:
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["p"])
         end = start + F.length(x["m"])
-        before = F.substring_index(F.concat(acc["tail"], _levelled(x["p"])), " ", -4)
+        before = F.substring_index(F.concat(acc["tail"], _levelled(_last_words(x["p"]))), " ", -4)
         one = F.struct(start.alias("start"), end.alias("end"), F.lit(KINDS.index(kind)).alias("kind"), x["m"].alias("found"), _cue(before).alias("cue"))
         return F.struct(end.alias("at"), F.concat(before, _levelled(x["m"])).alias("tail"), F.concat(acc["out"], F.array(one)).alias("out"))
 
