@@ -22,7 +22,7 @@ import zlib
 from array import array
 from bisect import bisect_right, insort
 from collections.abc import Iterable, Iterator
-from itertools import compress
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +33,8 @@ from orrery.llm._shared import of_worker, partitions, slices, stage, utf8
 
 CAPACITY, SHARD, ISLANDS, EPOCHS = 2048, 4096, 2, 3
 POPULATION, GENERATIONS, PATIENCE = 12, 60, 8
-#: Words whose ids a worker keeps, some 40 MB, and as many that it met before.
-_CACHE = 200_000
+#: Words whose ids a worker keeps, some 60 MB, and as many that it met before.
+_CACHE = 350_000
 #: Texts are encoded in groups of about this many octets, words new to the cache in lines of so many.
 _GROUP, _LINE = 1 << 20, 256
 #: Letters (or octets beyond ASCII) and then ASCII punctuation other than apostrophes.
@@ -47,8 +47,54 @@ def _lettered(words: list[bytes]) -> list[bool]:
     return list(map(str.isalpha, whole.split("\n"))) if words else []
 
 
+class _Rows(dict):
+    """Numbers of words, given as they come; new ones are also listed."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = row = len(self)
+        self.fresh.append(word)
+        return row
+
+
+class _Store:
+    """Ids of numbered words, one after another."""
+
+    def __init__(self):
+        self.rows, self.ids, self.ends, self.held = _Rows(), np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), 0
+
+    def add(self, found: list[bytes]) -> None:
+        """Ids of the next words."""
+        flat, lengths = np.frombuffer(b"".join(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found)) // 4
+        at = int(self.ends[self.held])
+        while at + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while self.held + len(found) >= len(self.ends):
+            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+        self.ids[at : at + len(flat)] = flat
+        self.ends[self.held + 1 : self.held + 1 + len(found)] = at + np.cumsum(lengths)
+        self.held += len(found)
+
+    def of(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words that it holds."""
+        rows = np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))
+        flat = self.gather(rows).tobytes()
+        cuts = (np.cumsum(self.ends[rows + 1] - self.ends[rows]) * 4).tolist()
+        return [flat[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
+
+    def gather(self, rows: np.ndarray) -> np.ndarray:
+        starts = self.ends[rows]
+        lengths = self.ends[rows + 1] - starts
+        before = np.cumsum(lengths) - lengths
+        return self.ids[np.repeat(starts - before, lengths) + np.arange(int(lengths.sum()))]
+
+
 class Tokens:
-    """Ids of texts, little-endian, 4 octets each. ASCII white space always parts this tokeniser's words, so words are encoded once and kept in a bounded cache.
+    """Ids of texts, little-endian, 4 octets each. ASCII white space always parts this tokeniser's words, so words are encoded once and kept in a bounded cache, which
+    hands on what is in use when it turns over.
 
     Where the tokeniser folds case and parts punctuation from letters, which probes find out, so does the cache. Words of letters alone are encoded many to a line,
     which is cut after the ids that end a word; a line whose ends don't number its words is encoded word by word.
@@ -58,7 +104,7 @@ class Tokens:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        self.of, self.before, self.tokenizer = {}, {}, Tokenizer.from_file(path)
+        self.now, self.before, self.tokenizer = _Store(), _Store(), Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -81,53 +127,57 @@ class Tokens:
                 out += self._encoded(line)
         return out
 
-    def learn(self, words: list[bytes]) -> None:
-        split: dict[bytes, tuple[bytes, bytes]] = {}
+    def _learn(self) -> None:
+        """Finds the ids of the words that are new to the store."""
+        rows, before = self.now.rows, self.before.rows
+        words = rows.fresh
+        again = [w for w in words if w in before]
+        found = dict(zip(again, self.before.of(again), strict=True))
+        new, split = [w for w in words if w not in found] if again else words, {}
         if self.parts:
-            found = {w: m.groups() for w, m in zip(words, map(_PARTED.fullmatch, words), strict=True) if m}
-            sound = _lettered([a for a, _ in found.values()])
-            split = {w: pair for (w, pair), ok in zip(found.items(), sound, strict=True) if ok}
-        new = set(words).difference(split)
-        for pair in split.values():
-            new.update(pair)
-        fresh = self._unseen(new)
-        rest = list(fresh)
-        letters = _lettered(rest)
-        lettered, others = list(compress(rest, letters)), [w for w, ok in zip(rest, letters, strict=True) if not ok]
-        self.of.update(zip(lettered, self._in_lines(lettered), strict=True))
-        self.of.update(zip(others, self._encoded(others), strict=True))
-        self.of.update((w, self.of[a] + self.of[b]) for w, (a, b) in split.items())
-
-    def _unseen(self, words: set[bytes]) -> set[bytes]:
-        """Those in neither cache; what was met before is known again."""
-        fresh = words.difference(self.of)
-        again = self.before.keys() & fresh
-        self.of.update((w, self.before[w]) for w in again)
-        return fresh - again
+            parted = {w: m.groups() for w, m in zip(new, map(_PARTED.fullmatch, new), strict=True) if m}
+            sound = _lettered([a for a, _ in parted.values()])
+            split = {w: pair for (w, pair), ok in zip(parted.items(), sound, strict=True) if ok}
+            at = len(words)
+            for a, b in split.values():
+                rows[a], rows[b]  # what they are made of is numbered too
+            more = words[at:]
+            again = [w for w in more if w in before]
+            found.update(zip(again, self.before.of(again), strict=True))
+            new = [w for w in chain(new, more) if w not in split and w not in found]
+        letters = _lettered(new)
+        lettered, others = list(compress(new, letters)), [w for w, ok in zip(new, letters, strict=True) if not ok]
+        found.update(zip(lettered, self._in_lines(lettered), strict=True))
+        found.update(zip(others, self._encoded(others), strict=True))
+        held = list({w for pair in split.values() for w in pair}.difference(found))
+        found.update(zip(held, self.now.of(held), strict=True))
+        found.update((w, found[a] + found[b]) for w, (a, b) in split.items())
+        self.now.add([found[w] for w in words])
+        rows.fresh = []
 
     def _words(self, text: bytes) -> list[bytes]:
         return (text.lower() if self.folds and b"<|" not in text else text).split()  # special tokens keep their case
 
     def ids(self, texts: Iterable[bytes]) -> Iterator[bytes]:
         """The ids of each text, a group of texts at a time."""
-        held: list[list[bytes]] = []
+        held: list[np.ndarray] = []
         size = 0
         for text in texts:
-            held.append(self._words(text))
+            if not held and len(self.now.rows) > _CACHE:
+                self.now, self.before = _Store(), self.now
+            words = self._words(text)
+            held.append(np.fromiter(map(self.now.rows.__getitem__, words), np.int64, len(words)))
             size += len(text)
             if size >= _GROUP:
                 yield from self._group(held)
                 held, size = [], 0
         yield from self._group(held)
 
-    def _group(self, held: list[list[bytes]]) -> Iterator[bytes]:
-        words = set().union(*held)
-        if len(self.of) > _CACHE:  # what is in use is kept
-            self.of, self.before = {}, self.of
-        if fresh := self._unseen(words):
-            self.learn(list(fresh))
-        for words in held:
-            yield b"".join(map(self.of.__getitem__, words))
+    def _group(self, held: list[np.ndarray]) -> Iterator[bytes]:
+        if self.now.rows.fresh:
+            self._learn()
+        for rows in held:
+            yield self.now.gather(rows).tobytes()
 
 
 _OPEN = 16  # a bin with a sixteenth of its capacity free, or more, is packed again with those of other shards
@@ -277,7 +327,7 @@ def least_bins(sizes: list[int], capacity: int) -> int:
 def evolve(sizes: list[int], elites: list[list[int]], capacity: int, seed: int, population: int = POPULATION, generations: int = GENERATIONS, patience: int = PATIENCE) -> Packing:
     """The best packing that an island finds from best-fit packings and the elites (a bin number for each item).
 
-    Bins that the best seed fills exactly stay; the items of the others evolve, until a lower bound is met or the best has not improved for `patience` generations.
+    The best seed's fuller bins stay; the items of the others evolve, until a lower bound is met or the best has not improved for `patience` generations.
     """
     rng, n = random.Random(seed), len(sizes)
     seeds = [best_fit(longest_first(range(n), sizes), sizes, capacity)]
@@ -291,10 +341,18 @@ def evolve(sizes: list[int], elites: list[list[int]], capacity: int, seed: int,
     top, least = max(seeds, key=Packing.fitness), least_bins(sizes, capacity)
     if len(top.bins) == least:
         return top
-    fixed = [items for items, left in zip(top.bins, top.left, strict=True) if not left]
-    moving = sorted(i for items, left in zip(top.bins, top.left, strict=True) if left for i in items)
+    # The emptiest bins evolve, as many as leave twice what would have to be saved.
+    spare, enough, loose = 0, 2 * capacity * (len(top.bins) - least), []
+    for b in sorted(range(len(top.bins)), key=lambda b: (-top.left[b], b)):
+        if not top.left[b] or (spare >= enough and len(loose) >= 16):
+            break
+        spare += top.left[b]
+        loose.append(b)
+    fixed = [items for b, items in enumerate(top.bins) if b not in set(loose)]
+    moving = sorted(i for b in loose for i in top.bins[b])
     least -= len(fixed)
-    herd = [_only(p, moving, sizes) for p in seeds if p is not top] + [_only(top, moving, sizes)]
+    own = dict.fromkeys(moving)
+    herd = [_only(p, own, sizes) for p in seeds if p is not top] + [_only(top, own, sizes)]
     while len(herd) < population:  # longest first, but for some noise
         herd.append(best_fit(sorted(moving, key=lambda i: -sizes[i] * (1 + 0.2 * rng.random())), sizes, capacity))
     fit = [p.fitness() for p in herd]
@@ -314,16 +372,16 @@ def evolve(sizes: list[int], elites: list[list[int]], capacity: int, seed: int,
         best = max(fit)
     out = Packing(capacity)
     for items in fixed:
-        out.add_bin(items, 0)
+        out.add_bin(items, capacity - sum(sizes[i] for i in items))
     won = herd[fit.index(best)]
     for items, left in zip(won.bins, won.left, strict=True):
         out.add_bin(items, left)
     return out
 
 
-def _only(p: Packing, items: list[int], sizes: list[int]) -> Packing:
+def _only(p: Packing, kept: dict[int, None], sizes: list[int]) -> Packing:
     """The packing of some of the items."""
-    kept, out = set(items), Packing(p.capacity)
+    out = Packing(p.capacity)
     for own in p.bins:
         if some := [i for i in own if i in kept]:
             out.add_bin(some, p.capacity - sum(sizes[i] for i in some))
