@@ -41,7 +41,7 @@ class Staged:
     def __init__(self, df: DataFrame, label: str):
         self.spark = df.sparkSession
         self.path = f"{scratch_root(self.spark)}/orrery/{uuid.uuid4().hex}-{label}"
-        df.write.parquet(self.path)
+        df.write.option("compression", "zstd").parquet(self.path)
         _written.append((self.spark, self.path))
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
@@ -146,8 +146,8 @@ _MOST_BITS = 29
 
 
 def bitmap(hashes: DataFrame) -> np.ndarray:
-    """Bits of the longs in column h, built on the executors in slices of 4 kB: 16 for each row, or as many as are allowed. It may tell of more than was put in, never of less."""
-    size = min(_MOST_BITS, max(20, (16 * hashes.count()).bit_length()))
+    """Bits of the longs in column h, built on the executors in slices of 4 kB: 64 for each row, or as many as are allowed. It may tell of more than was put in, never of less."""
+    size = min(_MOST_BITS, max(20, (64 * hashes.count()).bit_length() - 1))
     bit = hashes.select((F.col("h").bitwiseAND(F.lit((1 << size) - 1)) + 1).alias("b"))  # values and buckets count from 1
     parts = bit.groupBy(F.bitmap_bucket_number("b").alias("n")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("bits"))
     out = np.zeros(1 << (size - 3), np.uint8)

@@ -5,7 +5,7 @@ if equal; consecutive windows that share one minimiser travel as one packed stri
 windows are sorted and counted exactly. Equal windows have equal minimisers, so they meet in one bucket.
 
 First, the occurrences of every minimiser are counted. Windows whose minimiser occurs once in the corpus are unique, so their super-k-mers stay
-at home; a bitmap tells, of 16 bits for each repeated minimiser but 64 MB at most (collisions only let more travel). Super-k-mers of minimisers that occur over `hot` times
+at home; a bitmap tells, of some 64 bits for each repeated minimiser but 64 MB at most (collisions only let more travel). Super-k-mers of minimisers that occur over `hot` times
 are counted as whole strings first, by a pre-aggregated group; then only the windows of distinct strings go to a bucket each. So no bucket holds more
 than `hot` super-k-mers. A word is removed if a window that covers it occurs more than once. Documents without such words, which another bitmap tells, are not shuffled.
 
