@@ -5,7 +5,8 @@ different, which no radius of use reaches, a second search completes the first:
 shingles at that similarity share one of the first n - ceil(0.8 n) + 1 of the one and of the first m - ceil(0.8 m) + 1 of the other, so pairs are
 formed only within groups of sets that share such a shingle, where sizes and places leave 0.8 possible, and each is confirmed too. The order takes its counts from a
 hash-chosen sixteenth of the rows; any order is right, this one keeps groups small. Equal sets are one node. Fingerprints come first, then the pairs with the least
-node of each group, then all others; no pass forms a pair that the ones before it have connected. Only sets of nodes in some pair are compared.
+node of each group, then all others; no pass forms a pair that the ones before it have connected. A bit for each shingle, in a bitmap of about as many bits, bounds what two sets can have in
+common from above; only pairs that it leaves possible are compared, on the whole sets of their nodes.
 
 Shingles are of lower-cased words (ASCII) between white space; a text of fewer than 5 words is one shingle. Null and empty texts have equal, empty
 sets. Shingles are compared by their 64-bit hashes.
@@ -67,27 +68,56 @@ def _common(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], counts[order]
 
 
+def bits_of(found: np.ndarray) -> bytes:
+    """A bitmap of a set: as many bits as a power of two, one for each shingle at least."""
+    size = max(64, 1 << max(0, len(found) - 1).bit_length())
+    out = np.zeros(size, np.uint8)
+    out[found.view(np.uint64) & np.uint64(size - 1)] = 1
+    return np.packbits(out, bitorder="little").tobytes()
+
+
+def possible(n: int, a: bytes, m: int, b: bytes) -> bool:
+    """Whether sets of n and m shingles with these bitmaps may have a similarity of 0.8: each bit of one that the other lacks is a shingle that it lacks."""
+    while len(a) > len(b):
+        a = _folded(a)
+    while len(b) > len(a):
+        b = _folded(b)
+    x, y = int.from_bytes(a, "little"), int.from_bytes(b, "little")
+    return 9 * min(n - (x & ~y).bit_count(), m - (y & ~x).bit_count()) >= 4 * (n + m)
+
+
+def _folded(bits: bytes) -> bytes:
+    """The bitmap of the same set with half the bits."""
+    half = len(bits) // 2
+    return (int.from_bytes(bits[:half], "little") | int.from_bytes(bits[half:], "little")).to_bytes(half, "little")
+
+
 def _prefixes(rows: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """row, node, n, the fingerprint, and the shingles of which similar sets share one."""
+    """row, node, n, the fingerprint, the bitmap, and the shingles of which similar sets share one."""
     keys, counts = common
 
     def of(batches):
         for batch in slices(batches, 1):
-            nodes, sizes, prints, heads = [], [], [], []
+            nodes, sizes, prints, bits, heads = [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 found = shingles(text)
                 n = len(found)
-                nodes.append(xxhash.xxh64_intdigest(found.tobytes(), 7))
+                nodes.append(_node(found))
                 sizes.append(n)
                 prints.append(fingerprint_of(found))
+                bits.append(bits_of(found))
                 if len(keys):
                     at = np.minimum(np.searchsorted(keys, found), len(keys) - 1)
                     found = found[np.argsort(np.where(keys[at] == found, counts[at], 0), kind="stable")]
                 heads.append(found[: n - (4 * n + 4) // 5 + 1])
             longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (nodes, prints)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), longs[0], pa.array(sizes, pa.int64()), longs[1], _lists(heads)], ["row", "node", "n", "fp", "head"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), longs[0], pa.array(sizes, pa.int64()), longs[1], pa.array(bits, pa.binary()), _lists(heads)], ["row", "node", "n", "fp", "bits", "head"])
+
+    return rows.mapInArrow(of, "row long, node long, n long, fp long, bits binary, head array<long>")
+
 
-    return rows.mapInArrow(of, "row long, node long, n long, fp long, head array<long>")
+def _node(found: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(found.tobytes(), 7)
 
 
 def _shared(postings: DataFrame) -> DataFrame:
@@ -145,19 +175,32 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(9 * F.size(F.array_intersect("s", "t")) >= 4 * (F.size("s") + F.size("t"))).select("a", "b")
 
 
+def _possible(pairs: DataFrame, marks: DataFrame) -> DataFrame:
+    """The pairs that the bitmaps leave possible. marks: node, n, bits, one row for each node."""
+
+    def of(batches):
+        for batch in batches:
+            a, b, n, x, m, y = (batch.column(i) for i in range(6))
+            keep = [possible(*z) for z in zip(n.to_pylist(), x.to_pylist(), m.to_pylist(), y.to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([a, b], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    side = lambda name: marks.select(F.col("node").alias(name), F.col("n").alias(f"n_{name}"), F.col("bits").alias(f"x_{name}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "x_a", "n_b", "x_b")
+    return both.mapInArrow(of, "a long, b long")
+
+
 def _named(rows: DataFrame, nodes: DataFrame, marked: DataFrame) -> DataFrame:
-    """node and set of the nodes, each from its least row; rows are picked by a bitmap, so texts are not shuffled. A node may come more than once, with one set."""
-    least = stage(marked.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("row").alias("row")), "least")
-    bits = rows.sparkSession.sparkContext.broadcast(bitmap(least.select(F.xxhash64("row").alias("h"))))
+    """node and set of the nodes, each from its least row; rows are picked by a bitmap, so texts are not shuffled. Some other nodes may come as well."""
+    least = marked.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("row").alias("row"))
+    bits = rows.sparkSession.sparkContext.broadcast(bitmap(stage(least.select(F.xxhash64("row").alias("h")), "least")))
 
     def some(batches):
-        for batch in slices(batches, 2):
-            own = batch.filter(pa.array(marked_in(bits.value, batch.column(1).to_numpy().view(np.uint64))))
-            sets = [shingles(t) for t in own.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([own.column(0), _lists(sets)], ["row", "set"])
+        for batch in slices(batches, 1):
+            own = batch.filter(pa.array(marked_in(bits.value, batch.column(0).to_numpy().view(np.uint64))))
+            sets = [shingles(t) for t in own.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.array([_node(x) for x in sets], np.uint64).view(np.int64)), _lists(sets)], ["node", "set"])
 
-    found = rows.select("row", F.xxhash64("row").alias("h"), "text").mapInArrow(some, "row long, set array<long>")
-    return stage(found.join(least, "row").select("node", "set"), "sets")
+    return rows.select(F.xxhash64("row").alias("h"), "text").mapInArrow(some, "node long, set array<long>")
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
@@ -173,6 +216,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     one = marked.groupBy("node").agg(F.min_by(F.struct("n", "head"), "row").alias("x")).select("node", "x.*")
     postings = one.select("node", "n", F.posexplode("head").alias("pos", "key")).select("key", "node", "n", "pos").repartition(tasks, "key").sortWithinPartitions("key")
     shared = kept(_shared(postings), "shared")
+    marks = kept(marked.groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits")), "bitmaps")
     # Fingerprints link their least nodes, and each of them the other nodes that have it.
     prints = kept(marked.select("fp", "node").distinct(), "fingerprints")
     least = kept(prints.groupBy("fp").agg(F.min("node").alias("m")), "nodes")
@@ -188,8 +232,9 @@ def near_copies(docs: DataFrame) -> DataFrame:
         else:
             named = shared.join(roots, "node", "left").select("key", "node", "n", "pos", F.coalesce("root", "node").alias("label"))
             pairs = _pairs(named, tasks, every=step == "every")
-        pairs = kept(pairs.distinct(), "pairs")
-        confirmed = kept(_confirmed(pairs, _named(rows, _ends(pairs), marked)), "links")
+        pairs = kept(_possible(pairs.distinct(), marks), "pairs")
+        sets = kept(_named(rows, _ends(pairs), marked.select("row", "node")), "sets")
+        confirmed = kept(_confirmed(pairs, sets).distinct(), "links")
         found = confirmed if found is None else found.unionByName(confirmed)
         roots = stage(components(found), "roots")
     for table in passing:

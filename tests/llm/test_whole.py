@@ -300,3 +300,25 @@ def test_media_of_null_and_malformed_streams(spark):
     found = {r["doc_id"]: r for r in media.probe(spark.createDataFrame(rows, "doc_id long, n_bytes long, media binary")).collect()}
     assert found[1]["feature"] == found[2]["feature"] and found[1]["payload_bytes"] == 0
     assert found[3]["payload_bytes"] >= 200 and found[4]["payload_bytes"] == 0 and found[5]["payload_bytes"] == 200
+
+
+def test_bitmaps_never_rule_out_a_similar_pair():
+    import numpy as np
+
+    from orrery.llm import copies
+
+    rng = np.random.default_rng(3)
+    ruled_out = 0
+    for k in range(400):
+        n = int(rng.integers(1, 900))
+        pool = rng.integers(-(2**63), 2**63, 2 * n, dtype=np.int64)
+        share = rng.random()
+        a = np.unique(pool[:n])
+        b = np.unique(np.concatenate([a[: int(share * len(a))], pool[n : n + int(rng.integers(0, n + 1))]]))
+        if not len(b):
+            continue
+        same = len(np.intersect1d(a, b))
+        may = copies.possible(len(a), copies.bits_of(a), len(b), copies.bits_of(b))
+        assert may or 9 * same < 4 * (len(a) + len(b))
+        ruled_out += not may
+    assert ruled_out > 100
