@@ -33,8 +33,8 @@ from orrery.llm._shared import of_worker, partitions, slices, stage, utf8
 
 CAPACITY, SHARD, ISLANDS, EPOCHS = 2048, 4096, 2, 3
 POPULATION, GENERATIONS, PATIENCE = 12, 60, 8
-#: Words whose ids a worker keeps, some 60 MB, and as many that it met before.
-_CACHE = 350_000
+#: Words whose ids a worker keeps, some 45 MB, and as many that it met before.
+_CACHE = 250_000
 #: Texts are encoded in groups of about this many octets, words new to the cache in lines of so many.
 _GROUP, _LINE = 1 << 20, 256
 #: Letters (or octets beyond ASCII) and then ASCII punctuation other than apostrophes.
@@ -407,6 +407,7 @@ def _evolved(items: DataFrame, capacity: int, islands: int, epochs: int) -> Data
 
     def epoch_of(epoch: int):
         def of(batches):
+            of_worker(("packing",), object)  # the tokeniser's cache of an earlier task goes
             for batch in batches:
                 for one in range(batch.num_rows):
                     r = batch.slice(one, 1).to_pylist()[0]
