@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -56,3 +56,42 @@ def cp_vote(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
         joined = joined.join(side, keys, "left")
     picked = F.coalesce("one", F.when(F.col("most") >= 100, F.coalesce("exact", "shared", "upper")).otherwise(F.col("every")))
     return joined.select(*keys, picked.alias("selected"))
+
+
+# Votes within a row: arrays of (v, n), one entry for each distinct value. They are bounded by the distinct values of one group.
+
+
+def _order(votes: Column) -> Column:
+    """By count downwards, then by value."""
+    return F.array_sort(F.transform(votes, lambda x: F.struct((-x["n"]).alias("m"), x["v"].alias("v"))))
+
+
+def choice(votes: Column, least: int = 3, ratio: float = 2.0, share: float = 0.0, strictly: bool = False) -> Column:
+    """The only value, or one with `least` votes, `ratio` times the runner-up's (more than its, if strictly), and that share of all; null otherwise."""
+    s = _order(votes)
+    top, runner = -F.get(s, F.lit(0))["m"], F.coalesce(-F.get(s, F.lit(1))["m"], F.lit(0))
+    total = F.aggregate(votes, F.lit(0).cast("long"), lambda a, x: a + x["n"])
+    wins = (top >= least) & ((top > runner) if strictly else (top >= ratio * runner)) & (top >= share * total)
+    return F.when((F.size(votes) == 1) | ((F.size(votes) > 1) & wins), F.get(s, F.lit(0))["v"])
+
+
+def cp_choice(votes: Column, low: int = 10, high: int = 9366) -> Column:
+    """The choice over combat points (v a long). Among values of 100 and more, one that longer readings extend by a digit wins first, then a stem that four of them share."""
+    sound = F.filter(votes, lambda x: x["v"].between(low, high))
+    tall = F.filter(sound, lambda x: x["v"] >= 100)
+    longer = lambda stem: F.filter(tall, lambda y: (y["v"] >= 1000) & (F.floor(y["v"] / 10) == stem))
+    extended = F.filter(tall, lambda x: ((F.size(longer(x["v"])) > 0) & (x["n"] >= 3)) | ((F.size(longer(x["v"])) == 1) & (F.get(longer(x["v"]), F.lit(0))["n"] >= 2)))
+    first = F.get(_order(extended), F.lit(0))["v"]
+    stems = F.array_distinct(F.transform(F.filter(tall, lambda x: x["v"] >= 1000), lambda x: F.floor(x["v"] / 10)))
+    weighed = F.transform(stems, lambda p: F.struct(F.aggregate(longer(p), F.lit(0).cast("long"), lambda a, y: a + y["n"]).alias("n"), p.cast("long").alias("v"), F.size(longer(p)).alias("k")))
+    shared = F.get(_order(F.filter(weighed, lambda x: (x["k"] >= 4) & (x["n"] >= 3) & x["v"].between(low, high))), F.lit(0))["v"]
+    only = F.when(F.size(sound) == 1, F.get(sound, F.lit(0))["v"])
+    return F.coalesce(only, F.when(F.size(tall) > 0, F.coalesce(first, shared, choice(tall))).otherwise(choice(sound)))
+
+
+def star_choice(votes: Column, sums: Column) -> Column:
+    """The stars that the chosen sum of values calls for, if they were seen; else the choice. v are texts of whole numbers."""
+    from orrery.functions.scoring import star_tier
+
+    called = star_tier(choice(sums).try_cast("long")).cast("string")
+    return F.when(F.exists(votes, lambda x: x["v"] == called), called).otherwise(choice(votes))
