@@ -4,8 +4,8 @@ SimHash fingerprints of the sets are searched by BK-trees (simhash.links), and w
 different, which no radius of use reaches, a second search completes the first: under one order of all shingles, common ones last, two sets of n and m
 shingles at that similarity share one of the first n - ceil(0.8 n) + 1 of the one and of the first m - ceil(0.8 m) + 1 of the other, so pairs are
 formed only within groups of sets that share such a shingle, where sizes and places leave 0.8 possible, and each is confirmed too. The order takes its counts from a
-hash-chosen sixteenth of the rows; any order is right, this one keeps groups small. Equal sets are one node. Fingerprints come first, then the pairs with the least
-node of each group, then all others; no pass forms a pair that the ones before it have connected. A bit for each shingle, in a bitmap of about as many bits, bounds what two sets can have in
+hash-chosen sixteenth of the rows; any order is right, this one keeps groups small. Equal sets are one node. Fingerprints come first, then the pairs with the hundred least
+nodes of each group (nodes are hashes, so near copies meet in the same few wherever they meet), then all others; no pass forms a pair that the ones before it have connected. A bit for each shingle, in a bitmap of some times as many bits, bounds what two sets can have in
 common from above; only pairs that it leaves possible are compared, on the whole sets of their nodes.
 
 Shingles are of lower-cased words (ASCII) between white space; a text of fewer than 5 words is one shingle. Null and empty texts have equal, empty
@@ -24,6 +24,8 @@ from orrery.llm._shared import Staged, bitmap, groups, marked_in, partitions, sl
 from orrery.llm.simhash import components, fingerprint_of, links
 
 WIDTH = 5
+#: Least nodes of a group with which its others are compared before all are.
+LEADERS = 100
 #: Counted common shingles at most; rarer ones come first in the order.
 COMMON = 200_000
 
@@ -69,13 +71,20 @@ def _common(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def bits_of(found: np.ndarray) -> bytes:
-    """A bitmap of a set: as many bits as a power of two, one for each shingle at least."""
-    size = max(64, 1 << max(0, len(found) - 1).bit_length())
+    """A bitmap of a set: as many bits as a power of two, four for each shingle at least."""
+    size = max(64, 1 << max(0, 4 * len(found) - 1).bit_length())
     out = np.zeros(size, np.uint8)
     out[found.view(np.uint64) & np.uint64(size - 1)] = 1
     return np.packbits(out, bitorder="little").tobytes()
 
 
+def mark_of(found: np.ndarray) -> bytes:
+    """A bitmap of 256 bits, whatever the set."""
+    out = np.zeros(256, np.uint8)
+    out[found.view(np.uint64) & np.uint64(255)] = 1
+    return np.packbits(out, bitorder="little").tobytes()
+
+
 def possible(n: int, a: bytes, m: int, b: bytes) -> bool:
     """Whether sets of n and m shingles with these bitmaps may have a similarity of 0.8: each bit of one that the other lacks is a shingle that it lacks."""
     while len(a) > len(b):
@@ -98,7 +107,7 @@ def _prefixes(rows: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFra
 
     def of(batches):
         for batch in slices(batches, 1):
-            nodes, sizes, prints, bits, heads = [], [], [], [], []
+            nodes, sizes, prints, bits, marks, heads = [], [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 found = shingles(text)
                 n = len(found)
@@ -106,14 +115,15 @@ def _prefixes(rows: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFra
                 sizes.append(n)
                 prints.append(fingerprint_of(found))
                 bits.append(bits_of(found))
+                marks.append(mark_of(found))
                 if len(keys):
                     at = np.minimum(np.searchsorted(keys, found), len(keys) - 1)
                     found = found[np.argsort(np.where(keys[at] == found, counts[at], 0), kind="stable")]
                 heads.append(found[: n - (4 * n + 4) // 5 + 1])
             longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (nodes, prints)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), longs[0], pa.array(sizes, pa.int64()), longs[1], pa.array(bits, pa.binary()), _lists(heads)], ["row", "node", "n", "fp", "bits", "head"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), longs[0], pa.array(sizes, pa.int64()), longs[1], pa.array(bits, pa.binary()), pa.array(marks, pa.binary()), _lists(heads)], ["row", "node", "n", "fp", "bits", "mark", "head"])
 
-    return rows.mapInArrow(of, "row long, node long, n long, fp long, bits binary, head array<long>")
+    return rows.mapInArrow(of, "row long, node long, n long, fp long, bits binary, mark binary, head array<long>")
 
 
 def _node(found: np.ndarray) -> int:
@@ -145,18 +155,22 @@ def _shared(postings: DataFrame) -> DataFrame:
 
 
 def _pairs(shared: DataFrame, tasks: int, every: bool) -> DataFrame:
-    """Pairs (a, b) of nodes of a group that may be similar and have different labels; with the least node only, or all."""
+    """Pairs (a, b) of nodes of a group that may be similar and have different labels; with the least nodes only, or all."""
 
     def of(batches):
         left, right, size = [], [], 0
         for group in groups(batches, "key"):
             node, n, pos, label = (group.column(c).to_numpy() for c in ("node", "n", "pos", "label"))
-            for i in range(len(node) - 1 if every else 1):
+            if len(node) < 2 or (label == label[0]).all():
+                continue
+            marks = np.frombuffer(b"".join(group.column("mark").to_pylist()), np.uint64).reshape(-1, 4)
+            for i in range(len(node) - 1 if every else min(LEADERS, len(node) - 1)):
                 # 9 * overlap >= 4 * (n + m) is a similarity of 0.8; the pair's first common shingle leaves what follows it in both.
                 left_over = 1 + np.minimum(n[i] - pos[i] - 1, n[i + 1 :] - pos[i + 1 :] - 1)
                 fits = 9 * left_over >= 4 * (n[i] + n[i + 1 :])
-                fits &= label[i] != label[i + 1 :]
-                to = node[i + 1 :][fits]
+                at = i + 1 + np.flatnonzero(fits & (label[i] != label[i + 1 :]))
+                lacks, lacked = (np.bitwise_count(x).sum(1, dtype=np.int64) for x in (marks[i] & ~marks[at], marks[at] & ~marks[i]))
+                to = node[at[9 * np.minimum(n[i] - lacks, n[at] - lacked) >= 4 * (n[i] + n[at])]]
                 left.append(np.full(len(to), node[i]))
                 right.append(to)
                 size += len(to)
@@ -215,8 +229,8 @@ def near_copies(docs: DataFrame) -> DataFrame:
 
     one = marked.groupBy("node").agg(F.min_by(F.struct("n", "head"), "row").alias("x")).select("node", "x.*")
     postings = one.select("node", "n", F.posexplode("head").alias("pos", "key")).select("key", "node", "n", "pos").repartition(tasks, "key").sortWithinPartitions("key")
-    shared = kept(_shared(postings), "shared")
-    marks = kept(marked.groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits")), "bitmaps")
+    marks = kept(marked.groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("mark").alias("mark")), "bitmaps")
+    shared = kept(_shared(postings).join(marks.select("node", "mark"), "node"), "shared")
     # Fingerprints link their least nodes, and each of them the other nodes that have it.
     prints = kept(marked.select("fp", "node").distinct(), "fingerprints")
     least = kept(prints.groupBy("fp").agg(F.min("node").alias("m")), "nodes")
@@ -230,7 +244,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
         if step == "fingerprints":
             pairs = simhash
         else:
-            named = shared.join(roots, "node", "left").select("key", "node", "n", "pos", F.coalesce("root", "node").alias("label"))
+            named = shared.join(roots, "node", "left").select("key", "node", "n", "pos", "mark", F.coalesce("root", "node").alias("label"))
             pairs = _pairs(named, tasks, every=step == "every")
         pairs = kept(_possible(pairs.distinct(), marks), "pairs")
         sets = kept(_named(rows, _ends(pairs), marked.select("row", "node")), "sets")
