@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 
 from orrery.llm._shared import of_worker, partitions, slices, stage, utf8
 
-CAPACITY, SHARD, ISLANDS, EPOCHS = 2048, 4096, 2, 3
-POPULATION, GENERATIONS, PATIENCE = 12, 60, 8
+CAPACITY, SHARD, ISLANDS, EPOCHS = 2048, 4096, 2, 2
+POPULATION, GENERATIONS, PATIENCE = 10, 60, 5
 #: Words whose ids a worker keeps, some 45 MB, and as many that it met before.
 _CACHE = 250_000
 #: Texts are encoded in groups of about this many octets, words new to the cache in lines of so many.
@@ -209,11 +209,11 @@ class Packing:
 
     def __init__(self, capacity: int):
         self.capacity, self.bins, self.left = capacity, [], []
-        self.open: list[list[int]] = [[] for _ in range(capacity + 1)]
+        self.open: dict[int, list[int]] = {}
         self.mask = 0
 
     def add_bin(self, items: list[int], left: int) -> None:
-        self.open[left].append(len(self.bins))
+        self.open.setdefault(left, []).append(len(self.bins))
         self.mask |= 1 << left
         self.bins.append(items)
         self.left.append(left)
@@ -230,7 +230,7 @@ class Packing:
             self.mask ^= 1 << left
         self.bins[b].append(item)
         self.left[b] = left - size
-        self.open[left - size].append(b)
+        self.open.setdefault(left - size, []).append(b)
         self.mask |= 1 << left - size
 
     def fitness(self) -> tuple[int, int]:
@@ -330,7 +330,9 @@ def evolve(sizes: list[int], elites: list[list[int]], capacity: int, seed: int,
     The best seed's fuller bins stay; the items of the others evolve, until a lower bound is met or the best has not improved for `patience` generations.
     """
     rng, n = random.Random(seed), len(sizes)
-    seeds = [best_fit(longest_first(range(n), sizes), sizes, capacity)]
+    seeds, least = [best_fit(longest_first(range(n), sizes), sizes, capacity)], least_bins(sizes, capacity)
+    if len(seeds[0].bins) == least:
+        return seeds[0]
     for bins in elites:
         p, members = Packing(capacity), {}
         for i, b in enumerate(bins):
@@ -338,7 +340,7 @@ def evolve(sizes: list[int], elites: list[list[int]], capacity: int, seed: int,
         for items in members.values():
             p.add_bin(items, capacity - sum(sizes[i] for i in items))
         seeds.append(p)
-    top, least = max(seeds, key=Packing.fitness), least_bins(sizes, capacity)
+    top = max(seeds, key=Packing.fitness)
     if len(top.bins) == least:
         return top
     # The emptiest bins evolve, as many as leave twice what would have to be saved.
