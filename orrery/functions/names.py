@@ -8,6 +8,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Names that don't follow from their ids, and further names.
 SPECIAL_NAMES = {
@@ -39,12 +40,12 @@ def normal(name: str | None, signs_part: bool = False) -> str:
     return " ".join("".join(kept).split())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _normal(names: pd.Series) -> pd.Series:
     return names.map(normal, na_action=None)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _normal_parted(names: pd.Series) -> pd.Series:
     return names.map(lambda x: normal(x, True), na_action=None)
 

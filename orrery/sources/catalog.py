@@ -39,19 +39,25 @@ def read_catalog(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return out
 
 
+#: Fixed value: the columns of a table of moves that can't be had again.
+LEGACY = "species_key string, evolution_species_key string, move_name string, move_type string, note string"
+
+
 def read_legacy_moves(spark: SparkSession, path: str) -> DataFrame:
-    """species_key and move_key slugs of a curated CSV; rows without a move name are skipped."""
+    """A curated CSV of species, evolution_species, move_name, move_type and note: species as slugs or null; rows without a move's name are skipped."""
     rows = spark.read.option("header", True).csv(path)
-    return rows.where(F.trim("move_name") != "").select(slug(F.col("species_name")).alias("species_key"), slug(F.col("move_name")).alias("move_key"), F.trim("move_name").alias("move_name"))
+    key = lambda c: F.when(slug(F.coalesce(F.col(c), F.lit(""))) != "", slug(F.col(c)))
+    text = lambda c: F.trim(F.coalesce(F.col(c), F.lit("")))
+    return rows.where(text("move_name") != "").select(key("species").alias("species_key"), key("evolution_species").alias("evolution_species_key"), text("move_name").alias("move_name"), text("move_type").alias("move_type"), text("note").alias("note"))
 
 
 def templates(spark: SparkSession, path: str) -> DataFrame:
-    """template_id and data (a variant) of a dump: a list, or an object with itemTemplates or templates. Items may nest under data and then inherit the outer id."""
+    """template_id, data (a variant) and at (its place) of a dump: a list, or an object with itemTemplates or templates. Items may nest under data and then inherit the outer id."""
     v = F.col("v")
     is_list = F.schema_of_variant(v).startswith("ARRAY")
     items = F.coalesce(F.when(is_list, F.try_variant_get(v, "$", "array<variant>")), F.try_variant_get(v, "$.itemTemplates", "array<variant>"), F.try_variant_get(v, "$.templates", "array<variant>"))
     document = spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("v"))
-    held = document.select(F.explode(F.coalesce(items, F.raise_error(F.lit("no list of templates")))).alias("e"))
+    held = document.select(F.posexplode(F.coalesce(items, F.raise_error(F.lit("no list of templates")))).alias("at", "e"))
     inner = F.coalesce(F.try_variant_get("e", "$.data", "variant"), F.col("e"))
-    held = held.select("e", inner.alias("data"))
-    return held.select(F.coalesce(F.try_variant_get("data", "$.templateId", "string"), F.try_variant_get("e", "$.templateId", "string")).alias("template_id"), "data")
+    held = held.select("at", "e", inner.alias("data"))
+    return held.select(F.coalesce(F.try_variant_get("data", "$.templateId", "string"), F.try_variant_get("e", "$.templateId", "string")).alias("template_id"), "data", F.col("at").cast("long").alias("at"))
