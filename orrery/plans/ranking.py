@@ -20,11 +20,6 @@ def owned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("species"), F.col("c_mktsegment").alias("form"), *values)
 
 
-def levels(spark: SparkSession) -> DataFrame:
-    """Half levels from 1 to 50 as level2 (twice the level), with a multiplier."""
-    return spark.range(2, 101).select(F.col("id").alias("level2"), (F.lit(0.05) * F.sqrt(F.col("id").cast("double"))).alias("cpm"))
-
-
 def stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "nation")
     return n.select(F.col("n_nationkey").alias("species"), F.col("n_regionkey").alias("family"), (100 + F.col("n_nationkey") * 7).alias("atk"), (90 + F.col("n_nationkey") * 5).alias("def"), (110 + F.col("n_nationkey") * 3).alias("sta"))
@@ -39,27 +34,27 @@ def recommend(keep: list, review: list) -> tuple:
 
 
 @query(f"""WITH {OWNED_SQL}, r AS (SELECT *, 10*ia+idf+ist AS score, row_number() OVER (PARTITION BY species, form ORDER BY 10*ia+idf+ist DESC, ia DESC, idf DESC, ist DESC, id) AS rnk FROM owned)
-SELECT id, species::BIGINT AS species, form, score::BIGINT AS score, rnk::BIGINT AS rnk, CASE WHEN rnk<=3 THEN 'KEEP' WHEN score>=140 THEN 'REVIEW' ELSE 'LET-GO' END AS recommendation,
+SELECT id, species::BIGINT AS species, form, score::BIGINT AS score, CASE WHEN rnk<=3 THEN rnk END::BIGINT AS rnk, CASE WHEN rnk<=3 THEN 'KEEP' WHEN score>=140 THEN 'REVIEW' ELSE 'LET-GO' END AS recommendation,
 CASE WHEN rnk<=3 THEN 'attacker top '||rnk WHEN score>=140 THEN 'strong attacker' ELSE '' END AS reasons FROM r""")
 def q_attacker_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
     score = scoring.attacker_score(F.col("ia"), F.col("idf"), F.col("ist"))
     order = W.partitionBy("species", "form").orderBy(F.desc("score"), F.desc("ia"), F.desc("idf"), F.desc("ist"), "id")
-    ranked = owned(spark, sf_dir).withColumn("score", score).withColumn("rnk", F.row_number().over(order).cast("long"))
+    scored = owned(spark, sf_dir).withColumn("score", score)
+    # Each task keeps three rows of a group before the shuffle, and only those are joined back.
+    top = scored.withColumn("rnk", F.row_number().over(order).cast("long")).where("rnk <= 3").select("id", "rnk")
+    ranked = scored.join(top, "id", "left")
     label, reasons = recommend([F.when(F.col("rnk") <= 3, F.concat(F.lit("attacker top "), F.col("rnk").cast("string")))], [F.when(F.col("score") >= 140, "strong attacker")])
     return ranked.select("id", F.col("species").cast("long").alias("species"), "form", "score", "rnk", label.alias("recommendation"), reasons.alias("reasons"))
 
 
-def best_level(rows: DataFrame, steps: DataFrame, caps: DataFrame, by: list[str]) -> DataFrame:
-    """rows with cap, level2, cpm and cp of the highest level whose points stay under the cap. steps are a hundred levels, caps three leagues."""
+def best_level(rows: DataFrame) -> DataFrame:
+    """rows with league, cap, level2, cpm and cp of the highest half level (twice the level, 2 to 100) whose points stay under the cap. Levels are an array within the row."""
     a, d, s = F.col("atk") + F.col("ia"), F.col("def") + F.col("idf"), F.col("sta") + F.col("ist")
-    every = rows.crossJoin(F.broadcast(steps)).withColumn("cp", scoring.combat_points(a, d, s, F.col("cpm")))
-    fit = every.join(F.broadcast(caps), F.col("cp") <= F.col("cap"))
-    best = fit.groupBy(*by, "league", "cap").agg(F.max(F.struct("level2", "cpm", "cp")).alias("b"))
-    return best.select(*by, "league", "cap", "b.level2", "b.cpm", "b.cp")
-
-
-def leagues(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(scoring.LEAGUES), "league string, cap long")
+    steps = F.transform(F.sequence(F.lit(2), F.lit(100)), lambda n: F.struct(n.cast("long").alias("level2"), (F.lit(0.05) * F.sqrt(n.cast("double"))).alias("cpm")))
+    spread = rows.withColumn("c", F.explode(F.array(*[F.struct(F.lit(n).alias("league"), F.lit(cap).cast("long").alias("cap")) for n, cap in scoring.LEAGUES]))).select(*rows.columns, "c.*")
+    best = F.try_element_at(F.filter(steps, lambda x: scoring.combat_points(a, d, s, x["cpm"]) <= F.col("cap")), F.lit(-1))
+    found = spread.withColumn("b", best).where("b is not null").select(*rows.columns, "league", "cap", "b.*")
+    return found.withColumn("cp", scoring.combat_points(a, d, s, F.col("cpm")))
 
 
 @query(f"""WITH {OWNED_SQL}, caps(league,cap) AS (VALUES ('LL',500),('GL',1500),('UL',2500)),
@@ -70,7 +65,7 @@ w AS (SELECT *, row_number() OVER (PARTITION BY family, league ORDER BY product
 SELECT family::BIGINT AS family, league, id, species::BIGINT AS species, level2::BIGINT AS level2, cp::BIGINT AS cp, floor(product)::BIGINT AS product FROM w WHERE r=1""")
 def q_pvp_best_by_family(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = owned(spark, sf_dir).join(F.broadcast(stats(spark, sf_dir)), "species").drop("form")
-    best = best_level(rows, levels(spark), leagues(spark), ["id", "family", "species", "atk", "def", "sta", "ia", "idf", "ist"])
+    best = best_level(rows)
     product = scoring.stat_product(F.col("atk") + F.col("ia"), F.col("def") + F.col("idf"), F.col("sta") + F.col("ist"), F.col("cpm"))
     ranked = best.withColumn("product", product)
     order = F.struct("product", "level2", (F.col("ia") + F.col("idf") + F.col("ist")).alias("t"), (-F.col("id")).alias("o"))
@@ -78,30 +73,25 @@ def q_pvp_best_by_family(spark: SparkSession, sf_dir: str) -> DataFrame:
     return won.select(F.col("family").cast("long").alias("family"), "league", "w.id", F.col("w.species").cast("long").alias("species"), F.col("w.level2").alias("level2"), "w.cp", F.floor("w.product").cast("long").alias("product"))
 
 
-def iv_ranks(spark: SparkSession, lines: DataFrame) -> DataFrame:
+def iv_ranks(lines: DataFrame) -> DataFrame:
     """The rank of each of the 4096 value triples of every stat line, by league."""
-    sixteen = lambda n: spark.range(16).withColumnRenamed("id", n)
-    grid = lines.crossJoin(sixteen("ia")).crossJoin(sixteen("idf")).crossJoin(sixteen("ist"))
-    best = best_level(grid, levels(spark), leagues(spark), ["species", "atk", "def", "sta", "ia", "idf", "ist"])
+    grid = lines
+    for n in ("ia", "idf", "ist"):
+        grid = grid.withColumn(n, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(15).cast("long"))))
+    best = best_level(grid)
     product = scoring.stat_product(F.col("atk") + F.col("ia"), F.col("def") + F.col("idf"), F.col("sta") + F.col("ist"), F.col("cpm"))
     order = W.partitionBy("species", "league").orderBy(F.desc(product), F.desc("level2"), "ia", "idf", "ist")
     return best.select(F.col("species").cast("long").alias("species"), "league", "ia", "idf", "ist", "level2", F.row_number().over(order).cast("long").alias("rnk"))
 
 
 @query(f"""WITH {OWNED_SQL}, caps(league,cap) AS (VALUES ('LL',500),('GL',1500),('UL',2500)),
-g AS (SELECT species, atk, def, sta, a.n AS ia, d.n AS idf, s.n AS ist FROM stats, range(16) a(n), range(16) d(n), range(16) s(n) WHERE species<2),
+g AS (SELECT species, atk, def, sta, a.n AS ia, d.n AS idf, s.n AS ist FROM stats, range(16) a(n), range(16) d(n), range(16) s(n)),
 e AS (SELECT *, greatest(10, floor((atk+ia)*sqrt((def+idf)::DOUBLE)*sqrt((sta+ist)::DOUBLE)*cpm*cpm/10)) AS cp FROM g CROSS JOIN cpm),
-b AS (SELECT *, row_number() OVER (PARTITION BY species, ia, idf, ist, league ORDER BY level2 DESC) AS rn FROM e JOIN caps ON cp<=cap),
-p AS (SELECT *, ((atk+ia)*cpm)*((def+idf)*cpm)*floor((sta+ist)*cpm) AS product FROM b WHERE rn=1)
+b AS (SELECT species, atk, def, sta, ia, idf, ist, league, max(level2) AS level2, max(cpm) AS cpm FROM e JOIN caps ON cp<=cap GROUP BY ALL),
+p AS (SELECT *, ((atk+ia)*cpm)*((def+idf)*cpm)*floor((sta+ist)*cpm) AS product FROM b)
 SELECT species::BIGINT AS species, league, ia, idf, ist, level2, row_number() OVER (PARTITION BY species, league ORDER BY product DESC, level2 DESC, ia, idf, ist)::BIGINT AS rnk FROM p""")
 def q_iv_rank_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # Two stat lines, as its SQL has it; q_iv_rank_grid_full ranks all.
-    return iv_ranks(spark, stats(spark, sf_dir).where("species < 2"))
-
-
-@query()
-def q_iv_rank_grid_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return iv_ranks(spark, stats(spark, sf_dir))
+    return iv_ranks(stats(spark, sf_dir))
 
 
 @query("""WITH c AS (SELECT n AS level, 0.1*sqrt(n::DOUBLE) AS cpm FROM range(1,51) t(n)), h AS (SELECT level+0.5 AS level, sqrt((cpm*cpm+nxt*nxt)/2) AS cpm FROM (SELECT level, cpm, lead(cpm) OVER (ORDER BY level) AS nxt FROM c) WHERE nxt IS NOT NULL)

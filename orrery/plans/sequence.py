@@ -64,8 +64,8 @@ def q_last_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.last_of_run(sessions(spark, sf_dir), ["source"], "i", "run", F.col("k") % 2 == 0).select("event_id", F.coalesce("kept", F.lit(False)).alias("kept"))
 
 
-@query(f"""WITH {FRAMES_SQL}, z AS (SELECT *, max(i) OVER (PARTITION BY source) AS l FROM frames), p AS (SELECT * FROM z WHERE i<6 OR i>l-6 OR i IN (SELECT round(s*l/5.0)::BIGINT FROM range(6) r(s)))
-SELECT event_id, row_number() OVER (PARTITION BY source ORDER BY i DESC)::BIGINT AS pick FROM p""".replace("i IN (SELECT round(s*l/5.0)::BIGINT FROM range(6) r(s))", "i IN (0, round(l/5.0)::BIGINT, round(2*l/5.0)::BIGINT, round(3*l/5.0)::BIGINT, round(4*l/5.0)::BIGINT, l)"))
+@query(f"""WITH {FRAMES_SQL}, z AS (SELECT *, max(i) OVER (PARTITION BY source) AS l FROM frames), p AS (SELECT * FROM z WHERE i<6 OR i>l-6 OR i IN (0, round(l/5.0)::BIGINT, round(2*l/5.0)::BIGINT, round(3*l/5.0)::BIGINT, round(4*l/5.0)::BIGINT, l))
+SELECT event_id, row_number() OVER (PARTITION BY source ORDER BY i DESC)::BIGINT AS pick FROM p""")
 def q_repair_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.repair_sample(frames(spark, sf_dir), ["source"], "i").select("event_id", "pick")
 
@@ -101,7 +101,7 @@ def q_rule_class(spark: SparkSession, sf_dir: str) -> DataFrame:
 GENERIC_SQL = "CASE WHEN count(*)=1 OR (max(n)>=3 AND max(n)>=2*coalesce((list_sort(list(n),'DESC'))[2],0)) THEN arg_max(v,n) END"
 
 
-@query(f"WITH t AS (SELECT l_partkey, l_quantity AS v, count(*) AS n FROM lineitem GROUP BY 1,2) SELECT l_partkey, {GENERIC_SQL} AS selected, count(*)::BIGINT AS n_distinct FROM t GROUP BY 1".replace("l_quantity AS v", "(l_quantity::BIGINT//20) AS v"))
+@query(f"WITH t AS (SELECT l_partkey, (l_quantity::BIGINT//20) AS v, count(*) AS n FROM lineitem GROUP BY 1,2) SELECT l_partkey, {GENERIC_SQL} AS selected, count(*)::BIGINT AS n_distinct FROM t GROUP BY 1")
 def q_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return votes.vote(table(spark, sf_dir, "lineitem").withColumn("v", F.expr("cast(l_quantity as bigint) div 20")), ["l_partkey"], "v")
 
@@ -178,10 +178,10 @@ def q_row_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assembly.contained(s.where("st <> 'F'"), s.where("st = 'F'"), "src", "f", "l")
 
 
-@query("""WITH x AS (SELECT vec_id, label, embedding AS e, lag(embedding) OVER w AS p, lead(embedding,3) OVER w AS n FROM embeddings WINDOW w AS (PARTITION BY label ORDER BY vec_id))
+@query("""WITH x AS (SELECT vec_id, label, embedding AS e, lag(embedding) OVER w AS p, lead(embedding,3) OVER w AS n FROM embeddings WINDOW w AS (PARTITION BY vec_id//50 ORDER BY vec_id))
 SELECT vec_id, floor(1000000*coalesce(list_sum(list_transform(range(1,len(e)+1), lambda j: abs(e[j]::DOUBLE-p[j]::DOUBLE))),0))::BIGINT//10 AS prev, (n IS NOT NULL) AS has_next FROM x""")
 def q_motion_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = W.partitionBy("label").orderBy("vec_id")
+    w = W.partitionBy(F.expr("vec_id div 50")).orderBy("vec_id")  # a source has fifty frames
     x = table(spark, sf_dir, "embeddings").withColumn("p", F.lag("embedding").over(w)).withColumn("n", F.lead("embedding", 3).over(w))
     delta = F.aggregate(F.zip_with("embedding", "p", lambda a, b: F.abs(a.cast("double") - b.cast("double"))), F.lit(0.0), lambda s, d: s + d)
     return x.select("vec_id", F.floor(F.floor(1000000 * F.coalesce(delta, F.lit(0.0))) / 10).cast("long").alias("prev"), F.col("n").isNotNull().alias("has_next"))

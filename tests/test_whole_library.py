@@ -6,7 +6,7 @@ from orrery.plans import REGISTRY
 
 
 def test_full_grid_ranks_every_stat_line(spark, small_dir):
-    found = REGISTRY["q_iv_rank_grid_full"][0](spark, small_dir).toPandas()
+    found = REGISTRY["q_iv_rank_grid"][0](spark, small_dir).toPandas()
     n = spark.read.parquet(f"{small_dir}/nation.parquet").count()
     ia, idf, ist = (x.ravel() for x in np.meshgrid(*[np.arange(16)] * 3, indexing="ij"))
     level2 = np.arange(2, 101)
