@@ -1,7 +1,5 @@
 """Row assembly: the rules of each column, identities, merges, recovery, partial rows, diagnostics."""
 
-import pytest
-
 from orrery.operators import inventory_rows as R
 
 CORE = {"hp_current": "50", "hp_max": "60", "weight_kg": "1.25"}
@@ -93,13 +91,19 @@ def test_support_alone_may_make_a_partial_row(spark):
     assert rows == [] and {v["outcome"] for v in notes.values()} == {"rejected"}
 
 
-@pytest.mark.parametrize(("details", "appraisals", "pairs"), [([{}], [{}], 1), ([{"species_key": "raichu"}], [{}], 0), ([{}, {"weight_kg": "3"}], [{}], 0), ([{"species_key": "pidgey"}, {"weight_kg": "3"}], [{}], 1), ([{"species_key": "pidgey"}, {"species_key": "pidgey", "weight_kg": "3"}], [{}], 0)])
-def test_recovery_of_pairs_whose_weights_disagree(spark, details, appraisals, pairs):
-    frames = [(i, "detail", DETAIL | {"weight_kg": "2"} | x) for i, x in enumerate(details)] + [(10 + i, "appraisal", APPRAISAL | x) for i, x in enumerate(appraisals)]
-    rows, _ = assembled(spark, *frames)
-    joined = [r for r in rows if r["anchor_kind"] == "detail+appraisal"]
-    assert len(joined) == pairs and all(r["group_key"].startswith("recovered|") and r["weight_kg"] == 1.25 and r["fast_move_key"] == "tackle" for r in joined)
-    assert len(rows) == len(details) + len(appraisals) - pairs
+RECOVERIES = [([{}], [{}], 1), ([{"species_key": "raichu"}], [{}], 0), ([{}, {"weight_kg": "3"}], [{}], 0), ([{"species_key": "pidgey"}, {"weight_kg": "3"}], [{}], 1), ([{"species_key": "pidgey"}, {"species_key": "pidgey", "weight_kg": "3"}], [{}], 0)]
+
+
+def test_recovery_of_pairs_whose_weights_disagree(spark):
+    frames = []
+    for k, (details, appraisals, _) in enumerate(RECOVERIES):  # a source for each case
+        frames += [(100 * k + i, "detail", DETAIL | {"weight_kg": "2"} | x, f"{k}.mp4") for i, x in enumerate(details)] + [(100 * k + 10 + i, "appraisal", APPRAISAL | x, f"{k}.mp4") for i, x in enumerate(appraisals)]
+    every, _ = assembled(spark, *frames)
+    for k, (details, appraisals, pairs) in enumerate(RECOVERIES):
+        rows = [r for r in every if r["source_file"] == f"{k}.mp4"]
+        joined = [r for r in rows if r["anchor_kind"] == "detail+appraisal"]
+        assert len(joined) == pairs and all(r["group_key"].startswith("recovered|") and r["weight_kg"] == 1.25 and r["fast_move_key"] == "tackle" for r in joined)
+        assert len(rows) == len(details) + len(appraisals) - pairs
 
 
 def test_spans_inside_a_row_are_merged_support(spark):
