@@ -30,13 +30,15 @@ def tricky(spark, tmp_path_factory):
     vectors[3:6] = [vectors[0]] * 3
     vectors += [None, [0.0] * 8, [None] + [1.0] * 7, [float("nan")] * 8, [float("inf")] + [0.0] * 7, [1.0, 2.0]]
     spark.createDataFrame([(i, v, 1, "clash") for i, v in enumerate(vectors)] + [(None, vectors[1], 1, "x"), (20, vectors[20], 1, "x")], "vec_id long, embedding array<float>, label int, place string").write.parquet(f"{at}/embeddings.parquet")
+    items = [None, "", " ", "one", "ONE one two", "mail token alpha", "über niño12 42", "the of und que alpha3 beta7 zzz", "one"]
+    spark.createDataFrame([(i % 7, t, 1, "clash") for i, t in enumerate(items)] + [(None, "alpha beta gamma", 1, "x")], "item_id long, text string, item int, term string").write.parquet(f"{at}/benchmark.parquet")
     return at
 
 
 @pytest.fixture(scope="session")
 def empty(spark, small_dir, tmp_path_factory):
     at = str(tmp_path_factory.mktemp("empty"))
-    for t in ("documents", "pages", "embeddings"):
+    for t in ("documents", "pages", "embeddings", "benchmark"):
         spark.read.parquet(f"{small_dir}/{t}.parquet").limit(0).write.parquet(f"{at}/{t}.parquet")
     return at
 
