@@ -11,7 +11,7 @@ on at least `pages` distinct pages and a `share` of the host's are covered, whic
 covered as a whole is furniture; one with a token of its own stays whole. Repetition alone can't tell: menus, adverts and footers
 differ from page to page, while articles quote each other, so text that markup declares is not judged by it.
 
-Hosts are dealt into shards of about `SHARD` octets by the digest of a page's stream, so that equal pages, which count once, meet. Counts of
+Hosts are dealt into shards of up to `SHARD` octets by the digest of a page's stream, so that equal pages, which count once, meet. Counts of
 equal runs (by a hash of 128 bits) add up over shards. Runs that pass are at most the tokens of an average page over `share` for a host, so they go to the shards.
 
 Null and empty html has an empty text. Pages without a host (null url, no `://`) are not compared with others. Repeated rows and ids have a
@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from orrery.llm._shared import Staged, groups, partitions, slices, stage
 from orrery.llm.urls import host_of
 
-#: Octets of stream text in a shard of a host, about.
-SHARD = 8 << 20
+#: Octets of stream text in a shard of a host, about; hosts of more than SMALL octets have up to SPREAD shards before theirs are that large.
+SHARD, SMALL, SPREAD = 8 << 20, 32 << 10, 64
 
 ARTICLE, OPEN, OTHER = 2, 1, 0
 
@@ -282,7 +282,7 @@ def extract(pages: DataFrame, least: int = 6, distinct_pages: int = 3, share: fl
     octets = F.coalesce(F.aggregate("blocks", F.lit(0).cast("long"), lambda n, b: n + F.length(b) + 2), F.lit(0))
     streams = parsed.select("row", "page_id", "url", "host", "text", "blocks", "marks", F.xxhash64("blocks").alias("digest"), octets.alias("octets"))
     sizes = streams.where("host <> ''").groupBy("host", "digest").agg(F.sum("octets").alias("octets"))
-    hosts = stage(sizes.groupBy("host").agg(F.ceil(F.sum("octets") / F.lit(SHARD)).cast("int").alias("shards"), F.count("*").alias("distinct")), "hosts")
+    hosts = stage(sizes.groupBy("host").agg(F.greatest(F.ceil(F.sum("octets") / F.lit(SHARD)), F.least(F.lit(SPREAD), F.ceil(F.sum("octets") / F.lit(SMALL)))).cast("int").alias("shards"), F.count("*").alias("distinct")), "hosts")
     several = hosts.where("shards > 1").select("host", "shards")
     placed = streams.where("host <> '' AND size(blocks) > 0").join(several, "host", "left").withColumn("place", F.concat_ws("#", "host", F.pmod("digest", F.coalesce("shards", F.lit(1)))))
     tasks = partitions(spark, held.octets())
