@@ -28,14 +28,19 @@ def is_candidate() -> Column:
     return F.col("raw_classification").isin("detail", "appraisal") & F.coalesce(F.col("stable_detail_signal"), F.lit(False))
 
 
-def with_transitions(frames: DataFrame, delta_before: str = "previous_frame_delta", delta_after: str = "future_frame_delta_3") -> DataFrame:
-    """Adds in_transition: a frame in motion, or one that goes on after such a frame. Motion is the mean change of a sample to the frame before and to the third after."""
+def transition_rules(delta_before: str = "previous_frame_delta", delta_after: str = "future_frame_delta_3") -> tuple[Column, Column]:
+    """When a frame is in motion, and when it goes on after such a frame. Motion is the mean change of a sample to the frame before and to the third after."""
     p, f, raw = F.col(delta_before), F.col(delta_after), F.col("raw_classification")
     swipe = F.coalesce(F.col("horizontal_swipe_signal"), F.lit(False))
     goes_on = (p <= 0.005) & (f >= 0.04)
     sets = is_candidate() & (F.coalesce(F.col("hp_area_card_split_signal"), F.lit(False)) | ((raw == "appraisal") & (p >= 0.04) & (f >= 0.04)) | ((raw == "detail") & swipe & (p >= 0.06) & (f >= 0.04)))
     holds = is_candidate() & (((raw == "appraisal") & (goes_on | ((p >= 0.032) & (f >= 0.035)))) | ((raw == "detail") & (goes_on | ((p >= 0.03) & (f >= 0.035)) | ((p >= 0.06) & (f >= 0.03)))))
-    return sequences.latch(frames, SOURCE, ["frame_index"], sets, holds, "in_transition")
+    return sets, holds
+
+
+def with_transitions(frames: DataFrame, delta_before: str = "previous_frame_delta", delta_after: str = "future_frame_delta_3") -> DataFrame:
+    """Adds in_transition: a frame in motion, or one that goes on after such a frame."""
+    return sequences.latch(frames, SOURCE, ["frame_index"], *transition_rules(delta_before, delta_after), "in_transition")
 
 
 def with_sequences(frames: DataFrame) -> DataFrame:
