@@ -97,12 +97,26 @@ def move_index(moves: DataFrame) -> DataFrame:
     return lookups.unique_index(names, normal_move(F.col("name")), "move_key")
 
 
+def near_names(held: DataFrame, known: DataFrame) -> DataFrame:
+    """row, is_max, at, tokens and key of grams (row, at, tokens, gram) that lie within the allowed edits of one name (norm, key, is_max, tokens) alone.
+
+    A name in one part more than it may have edits leaves one part whole in any text within them: parts, with their number and the name's length, are the keys of an equi-join.
+    """
+    names = known.where(F.length("norm") >= 5).withColumn("edits", F.when(F.col("norm").contains(" ") & (F.length("norm") >= 9), 2).otherwise(1))
+    index = names.select("norm", "key", "is_max", "tokens", "edits", F.explode(lookups.name_keys(F.col("norm"), F.col("edits"))).alias("k"))
+    asked = held.select("gram", "tokens").distinct().where(F.length("gram") >= 3)
+    tried = asked.withColumn("k", F.explode(lookups.text_keys(F.col("gram"), F.when(F.col("tokens") > 1, 2).otherwise(1))))
+    met = tried.join(index, ["tokens", "k"]).where(F.levenshtein("gram", "norm", 2) >= 0).where(F.levenshtein("gram", "norm") <= F.col("edits"))
+    alone = met.groupBy("gram", "tokens", "is_max").agg(F.count_distinct("key").alias("n"), F.min("key").alias("key")).where("n = 1").drop("n")
+    return held.join(alone, ["gram", "tokens"]).select("row", "is_max", "at", "tokens", "key")
+
+
 def mentions(texts: DataFrame, row: str, text: Column, moves: DataFrame) -> DataFrame:
     """row, is_max and keys: the moves that a text names, each once, in their order; ordinary moves and max moves apart.
 
     A name counts where it stands as whole words, or where as many words lie within its allowed edits of it and of no other (two for longer names of several words, else one; names
-    of five letters at least). Words that name something else exactly don't, nor a word and `bonus` after it. Of overlapping ones the leftmost, then the longest counts. Names are met by equal
-    numbers of words and near lengths, which are keys of the join.
+    of five letters at least). Words that name something else exactly don't, nor a word and `bonus` after it. Of overlapping ones the leftmost, then the longest counts. Words meet
+    names by equal segments (near_names).
     """
     index = move_index(moves)
     own = moves.select(normal_move(F.col("move_name")).alias("norm"), F.col("move_key").alias("key")).join(index.withColumnRenamed("key", "k"), "norm").where("key = k").select("norm", "key").distinct()
@@ -111,13 +125,10 @@ def mentions(texts: DataFrame, row: str, text: Column, moves: DataFrame) -> Data
     level = F.regexp_replace(normal_move(text), r"\b[a-z0-9]+\s+bonus\b", " ")
     words = texts.select(F.col(row).alias("row"), F.filter(F.split(level, " "), lambda w: w != "").alias("w")).where(F.size("w") > 0)
     grams = F.flatten(F.transform(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.transform(F.filter(wide, lambda n: i + n <= F.size("w")), lambda n: F.struct(i.alias("at"), n.alias("tokens"), F.array_join(F.slice("w", i + 1, n), " ").alias("gram")))))
-    held = words.select("row", F.explode(grams).alias("g")).select("row", "g.*").withColumn("length", F.length("gram"))
+    held = words.select("row", F.explode(grams).alias("g")).select("row", "g.*")
     exact = held.join(known.withColumnRenamed("norm", "gram").drop("tokens"), "gram").select("row", "is_max", "at", "tokens", "key")
-    near_names = known.where(F.length("norm") >= 5).withColumn("length", F.explode(F.sequence(F.length("norm") - 2, F.length("norm") + 2)))
-    edits = F.when(F.col("norm").contains(" ") & (F.length("norm") >= 9), 2).otherwise(1)
-    tried = held.where(~F.col("gram").endswith(" bonus")).join(index.select(F.col("norm").alias("gram")), "gram", "left_anti")
-    near = tried.join(near_names, ["tokens", "length"]).where((F.levenshtein("gram", "norm") <= edits)).groupBy("row", "is_max", "at", "tokens").agg(F.count_distinct("key").alias("n"), F.min("key").alias("key")).where("n = 1").drop("n")
-    spans = exact.unionByName(near.select(*exact.columns)).groupBy("row", "is_max").agg(F.array_sort(F.collect_list(F.struct("at", (-F.col("tokens")).alias("m"), "key"))).alias("s"))
+    near = near_names(held.where(~F.col("gram").endswith(" bonus")).join(index.select(F.col("norm").alias("gram")), "gram", "left_anti"), known)
+    spans = exact.unionByName(near).groupBy("row", "is_max").agg(F.array_sort(F.collect_list(F.struct("at", (-F.col("tokens")).alias("m"), "key"))).alias("s"))
     start = F.struct(F.lit(0).alias("end"), F.array().cast("array<string>").alias("keys"))
     chosen = F.aggregate("s", start, lambda acc, x: F.when(x["at"] >= acc["end"], F.struct((x["at"] - x["m"]).alias("end"), F.concat(acc["keys"], F.array(x["key"])).alias("keys"))).otherwise(acc), lambda acc: acc["keys"])
     return spans.select("row", "is_max", F.array_distinct(chosen).alias("keys"))

@@ -52,3 +52,45 @@ def mentions(texts: DataFrame, row: str, words: Column, names: DataFrame) -> Dat
     empty = F.expr("cast(array() as array<struct<at: int, m: int, key: bigint>>)")
     keep = F.aggregate("s", F.struct(F.lit(0).alias("end"), empty.alias("out")), lambda acc, x: F.when(x["at"] >= acc["end"], F.struct((x["at"] - x["m"]).alias("end"), F.concat(acc["out"], F.array(F.struct(x["at"].alias("at"), x["m"].alias("m"), x["key"].cast("long").alias("key")))).alias("out"))).otherwise(acc), lambda acc: acc["out"])
     return spans.select("row", F.explode(keep).alias("x")).select("row", F.col("x.at").cast("long").alias("at"), (-F.col("x.m")).cast("long").alias("n"), F.col("x.key").alias("key"))
+
+
+def _places(tau: int) -> list[tuple[int, int, int]]:
+    """(difference of lengths, segment, shift) under which a string within tau edits may hold a segment of a name that tau + 1 segments make up: one of them is untouched, with so few edits before it and so few behind it."""
+    return [(d, i, s) for d in range(-tau, tau + 1) for i in range(tau + 1) for s in range(max(-i, d - (tau - i)), min(i, d + (tau - i)) + 1)]
+
+
+def _segment(length: Column, i: int, tau: int) -> tuple[Column, Column]:
+    """Start (from 0) and length of segment i of a name of that length; the last ones are longer by one where it doesn't divide."""
+    base, rest = F.floor(length / (tau + 1)).cast("int"), (length % (tau + 1)).cast("int")
+    return i * base + F.greatest(F.lit(0), F.lit(i) - (tau + 1 - rest)), base + F.when(F.lit(i) >= tau + 1 - rest, 1).otherwise(0)
+
+
+def _keyed(tau: int, length: Column, i: int, text: Column) -> Column:
+    return F.struct(F.lit(tau).alias("tau"), length.cast("int").alias("length"), F.lit(i).alias("i"), text.alias("segment"))
+
+
+def name_keys(norm: Column, edits: Column) -> Column:
+    """Keys of a name that may be met within `edits` (1 or 2) edits: each of its segments."""
+    size = F.length(norm)
+
+    def of(tau: int) -> Column:
+        parts = [(i, *_segment(size, i, tau)) for i in range(tau + 1)]
+        return F.array(*[_keyed(tau, size, i, F.substring(norm, start + 1, n)) for i, start, n in parts])
+
+    return F.when(edits == 2, of(2)).otherwise(of(1))
+
+
+def text_keys(text: Column, most: Column) -> Column:
+    """Keys of a text: at most 6 that meet names within one edit, and 19 more within two where `most` is 2. Any name within so many edits of it shares one."""
+    size = F.length(text)
+
+    def of(tau: int) -> list[Column]:
+        out = []
+        for d, i, shift in _places(tau):
+            start, n = _segment(size - d, i, tau)
+            whole = (size - d > tau) & (start + shift >= 0) & (start + shift + n <= size)
+            out.append(F.when(whole, _keyed(tau, size - d, i, F.substring(text, start + shift + 1, n))))
+        return out
+
+    one, both = F.array(*of(1)), F.array(*of(1), *of(2))
+    return F.array_distinct(F.array_compact(F.when(most == 2, both).otherwise(one)))

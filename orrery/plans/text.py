@@ -172,3 +172,17 @@ def q_legacy_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     legacy = p.where("p_size <= 5").select(F.explode(F.array("p_partkey", F.col("p_partkey") * 2)).alias("k"), label.alias("label"), F.col("p_brand").alias("b"))
     hits = p.join(legacy, F.col("p_partkey") == F.col("k"))
     return hits.groupBy("p_partkey").agg(F.array_join(F.array_sort(F.collect_set("label")), ", ").alias("labels"), F.bool_or(F.col("p_brand") == F.col("b")).alias("detected"))
+
+
+# Names of parts, damaged in one to four places, against the names that stand alone.
+@query("""WITH n AS (SELECT DISTINCT lower(p_name) AS norm FROM part), t AS (SELECT p_partkey AS k, CASE p_partkey%5 WHEN 0 THEN replace(lower(p_name), 'a', 'e') WHEN 1 THEN substr(lower(p_name), 2) || 'x' WHEN 2 THEN lower(p_name) WHEN 3 THEN substr(lower(p_name), 1, 3) || substr(lower(p_name), 5) ELSE lower(p_name) || 'yz' END AS gram FROM part),
+d AS (SELECT DISTINCT gram, len(string_split(gram, ' ')) AS tokens FROM t), m AS (SELECT gram, norm FROM d JOIN n ON len(string_split(norm, ' ')) = tokens AND length(norm) >= 5 AND length(gram) >= 3 AND levenshtein(gram, norm) <= CASE WHEN contains(norm, ' ') AND length(norm) >= 9 THEN 2 ELSE 1 END),
+o AS (SELECT gram, min(norm) AS name FROM m GROUP BY gram HAVING count(DISTINCT norm) = 1) SELECT k AS p_partkey, name FROM t JOIN o USING (gram)""")
+def q_near_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orrery.operators import fragments
+
+    parts = table(spark, sf_dir, "part").select("p_partkey", F.lower("p_name").alias("norm"))
+    known = parts.select("norm").distinct().select("norm", F.col("norm").alias("key"), F.lit(False).alias("is_max"), F.size(F.split("norm", " ")).alias("tokens"))
+    damaged = F.expr("CASE p_partkey % 5 WHEN 0 THEN replace(norm, 'a', 'e') WHEN 1 THEN substr(norm, 2) || 'x' WHEN 2 THEN norm WHEN 3 THEN substr(norm, 1, 3) || substr(norm, 5) ELSE norm || 'yz' END")
+    held = parts.select(F.col("p_partkey").alias("row"), F.lit(0).alias("at"), damaged.alias("gram")).withColumn("tokens", F.size(F.split("gram", " ")))
+    return fragments.near_names(held, known).select(F.col("row").alias("p_partkey"), F.col("key").alias("name"))

@@ -81,3 +81,49 @@ def test_parsers_take_the_first_plausible_value(spark, parser, cases):
 def test_stories_in_either_case(spark):
     got = one(spark, parsers.parse_story, ["this Abc was caught on 1/2/2024 around Rome, Italy.", "This a. This Bc was caught on 1/2/2024 around X , !"])
     assert tuple(got[0]) == ("Abc", "1/2/2024", "Rome, Italy", "Italy") and got[1]["name"] == "Bc" and got[1]["country"] == "X"
+
+
+def test_near_names_equal_brute_force_and_no_key_is_hot(spark):
+    import random
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    from orrery.operators import fragments, lookups
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, old = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (x != y)))
+        return row[-1]
+
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abc") for _ in range(rng.randrange(2, 8)))
+    names = sorted({" ".join(word() for _ in range(rng.randrange(1, 4))) for _ in range(300)})
+    grams = []
+    for _ in range(500):
+        g = list(rng.choice(names))
+        for _ in range(rng.randrange(0, 4)):
+            at = rng.randrange(len(g) + 1)
+            kind = rng.random()
+            if kind < 0.4:
+                g.insert(at, rng.choice("abc"))
+            elif g and at < len(g) and g[at] != " ":
+                g[at : at + 1] = [] if kind < 0.7 else [rng.choice("abc")]
+        grams.append("".join(g))
+    tokens = lambda t: len(t.split(" "))
+    want = set()
+    for i, g in enumerate(grams):
+        for big in (False, True):
+            hits = {n for k, n in enumerate(names) if (k % 2 == 0) == big and len(n) >= 5 and tokens(n) == tokens(g) and len(g) >= 3 and edits(g, n) <= (2 if " " in n and len(n) >= 9 else 1)}
+            if len(hits) == 1:
+                want.add((i, big, i % 7, tokens(g), hits.pop()))
+    known = spark.createDataFrame([(n, n, k % 2 == 0, tokens(n)) for k, n in enumerate(names)], "norm string, key string, is_max boolean, tokens int")
+    held = spark.createDataFrame([(i, i % 7, tokens(g), g) for i, g in enumerate(grams)], "row long, at int, tokens int, gram string")
+    assert {tuple(r) for r in fragments.near_names(held, known).collect()} == want and len(want) > 100
+    keys = held.select("gram").distinct().select("gram", F.explode(lookups.text_keys(F.col("gram"), F.lit(2))).alias("k")).groupBy("gram").count().agg(F.max("count")).first()[0]
+    assert keys <= 25
+    sizes = Counter(r[0] for r in known.select(F.explode(lookups.name_keys(F.col("norm"), F.lit(1))).alias("k")).collect())
+    assert max(sizes.values()) < 0.1 * sum(sizes.values())
