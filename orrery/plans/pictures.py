@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.operators import pictures
+from orrery.operators import pictures, scan
 from orrery.plans.registry import query, table
 
 WIDTH, HEIGHT = 180, 320
@@ -84,9 +84,9 @@ def _bar(value: str, row: int) -> list[str]:
     return out
 
 
-def _appraisal_shapes() -> str:
-    stars = [f"array({left}, {top}, if(x % 5 >= {i + 1}, {right}, {left}), {bottom}, if(x % 5 = 4, {RED}, {AMBER}))" for i, (left, top, right, bottom) in enumerate(((9, 214, 19, 230), (23, 208, 30, 223), (34, 203, 46, 218)))]
-    return f"array({', '.join([f'array(50, 171, 75, 199, {AMBER})', *stars, *_bar('x % 16', 242), *_bar('(x div 16) % 16', 255), *_bar('(x div 256) % 16', 268)])})"
+def _appraisal_shapes(values: tuple[str, str, str] = ("x % 16", "(x div 16) % 16", "(x div 256) % 16"), count: str = "x % 5") -> str:
+    stars = [f"array({left}, {top}, if({count} >= {i + 1}, {right}, {left}), {bottom}, if({count} = 4, {RED}, {AMBER}))" for i, (left, top, right, bottom) in enumerate(((9, 214, 19, 230), (23, 208, 30, 223), (34, 203, 46, 218)))]
+    return f"array({', '.join([f'array(50, 171, 75, 199, {AMBER})', *stars, *_bar(values[0], 242), *_bar(values[1], 255), *_bar(values[2], 268)])})"
 
 
 # Bars, stars and a seal of an appraisal; every thirteenth picture has no seal.
@@ -132,3 +132,43 @@ SELECT source_file, k AS frame_index, CASE WHEN kind IN (1,2) THEN sum(starts::I
 def q_picture_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     paper, shapes = _screen("(x div 100) % 4")
     return pictures.scanned_sequences(drawn(_rows(spark, sf_dir, "customer", "c_custkey", "c_nationkey", shapes, paper))).select("source_file", "frame_index", "seq")
+
+
+_SUM = "(v % 16 + (v div 16) % 16 + (v * 7) % 16)"
+_COUNT = f"(CASE WHEN {_SUM} = 45 THEN 4 WHEN {_SUM} <= 22 THEN 0 WHEN {_SUM} <= 29 THEN 1 WHEN {_SUM} <= 36 THEN 2 ELSE 3 END)"
+
+
+def _creatures(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """A video for each supplier: four details, a list, three appraisals of one creature, with what was read on them. The third detail misreads the points, a late one the weight."""
+    nation = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.initcap("r_name").alias("name"))
+    rows = table(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).selectExpr("s_suppkey AS v", "name", "explode(sequence(0, 7)) AS x", "cast(s_suppkey AS string) AS source_file")
+    appraisal = _appraisal_shapes(("v % 16", "(v div 16) % 16", "(v * 7) % 16"), _COUNT)
+    shapes = f"CASE WHEN x < 4 THEN array({_NAME}, {_MOVES}) WHEN x = 4 THEN array({_NAME}) ELSE concat(array({_NAME}, {_STORY}), {appraisal}) END"
+    images = drawn(rows.selectExpr("source_file", "x AS frame_index", "16448250 AS paper", f"{shapes} AS shapes"))
+    points = "CASE WHEN x = 2 THEN 1234 ELSE v % 800 + 100 END"
+    texts = rows.selectExpr(
+        "source_file", "x AS frame_index", "'video' AS source_type", "x / 3.0D AS timestamp_s", f"concat('CP ', {points}) AS ocr_cp", "name AS ocr_display_name", "concat(v % 50 + 10, ' / ', v % 50 + 60, ' HP') AS ocr_hp",
+        "concat(if(x = 1, 99, v % 90 + 1), '.25 kg') AS ocr_weight", "if(x < 4, concat(v % 3 + 1, '.5 m'), '') AS ocr_height", "if(x > 4, concat('This ', name, ' was caught on ', v % 28 + 1, '/2/2024 around Rome, Italy.'), '') AS ocr_story",
+    )
+    species = nation.select(F.lower("name").alias("species_key"), F.col("name").alias("species_name"), F.length("name").alias("pokedex_id"), F.array().cast("array<string>").alias("aliases"), F.array().cast("array<string>").alias("forms"), F.array().cast("array<string>").alias("upstream_ids")).distinct()
+    moves = spark.createDataFrame([], "move_key string, move_name string, move_type string, category string, upstream_ids array<string>")
+    return images, texts, species, moves
+
+
+# From pixels and texts to the inventory: a row for each creature.
+@query("""WITH s AS (SELECT s_suppkey AS v, upper(r_name[1])||lower(substr(r_name,2)) AS nm, s_suppkey%16 AS a, s_suppkey//16%16 AS d, s_suppkey*7%16 AS t FROM supplier JOIN nation ON s_nationkey=n_nationkey JOIN region ON n_regionkey=r_regionkey)
+SELECT v::VARCHAR AS source_file, lower(nm) AS species_key, (v%800+100)::BIGINT AS cp, (v%50+10)::INT AS hp_current, (v%50+60)::INT AS hp_max, (v%90+1)+0.25::DOUBLE AS weight_kg, a::INT AS iv_attack, d::INT AS iv_defense, t::INT AS iv_stamina, true AS iv_complete,
+ (v%28+1)::VARCHAR||'/2/2024' AS catch_date, 0::BIGINT AS first_frame_index, 7::BIGINT AS last_frame_index FROM (SELECT v, CASE WHEN nm='Middle east' THEN 'Middle East' ELSE nm END AS nm, a, d, t FROM s)""")
+def q_inventory_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _, _ = scan.export(*_creatures(spark, sf_dir))
+    return rows.select("source_file", "species_key", "cp", "hp_current", "hp_max", "weight_kg", "iv_attack", "iv_defense", "iv_stamina", "iv_complete", "catch_date", "first_frame_index", "last_frame_index")
+
+
+# Judged frames of the same videos: points and weights corrected by their runs.
+@query("""WITH s AS (SELECT s_suppkey AS v, unnest(range(8)) AS x FROM supplier) SELECT v::VARCHAR AS source_file, x AS frame_index, CASE WHEN x=4 THEN 'list' WHEN x<4 THEN 'detail' ELSE 'appraisal' END AS classification, CASE WHEN x<4 THEN 0 WHEN x>4 THEN 1 END::BIGINT AS seq,
+ CASE WHEN x=2 THEN v%800+100 ELSE v%800+100 END::BIGINT AS cp, CASE WHEN x=2 AND v%800+100<>1234 THEN 1234 END::BIGINT AS cp_original, x>4 AS has_iv, x=7 AS has_iv_complete, x>4 AS has_story, x<4 AS has_height FROM s WHERE x<>4
+ UNION ALL SELECT v::VARCHAR, x, 'list', NULL, v%800+100, NULL, false, false, false, false FROM s WHERE x=4""")
+def q_frame_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    images, texts, _, _ = _creatures(spark, sf_dir)
+    found = scan.frames(images, texts)
+    return found.select("source_file", "frame_index", "classification", "seq", F.col("cp").cast("long").alias("cp"), F.col("cp_original").cast("long").alias("cp_original"), "has_iv", "has_iv_complete", "has_story", "has_height")
