@@ -4,9 +4,10 @@ SimHash fingerprints of the sets are searched by BK-trees (simhash.links), and w
 different, which no radius of use reaches, a second search completes the first: under one order of all shingles, common ones last, two sets of n and m
 shingles at that similarity share one of the first n - ceil(0.8 n) + 1 of the one and of the first m - ceil(0.8 m) + 1 of the other, so pairs are
 formed only within groups of sets that share such a shingle, where sizes and places leave 0.8 possible, and each is confirmed too. The order takes its counts from a
-hash-chosen sixteenth of the rows; any order is right, this one keeps groups small. Equal sets are one node. Fingerprints come first, then the pairs with the hundred least
-nodes of each group (nodes are hashes, so near copies meet in the same few wherever they meet), then all others; no pass forms a pair that the ones before it have connected. A bit for each shingle, in a bitmap of some times as many bits, bounds what two sets can have in
-common from above; only pairs that it leaves possible are compared, on the whole sets of their nodes.
+hash-chosen sixteenth of the rows; any order is right, this one keeps groups small. Equal sets are one node. Fingerprints come first, then the pairs with the two least
+nodes of each group (nodes are hashes, so near copies meet in the same few wherever they meet), with the eight least, and so on by `LEADERS`, then all others; no pass forms a pair that the ones before it have
+connected, so a group of n copies costs some n pairs, not their square. A bit for each shingle, in a bitmap of some times as many bits, bounds what two sets can have in
+common from above; only pairs that it leaves possible are compared, on the whole sets of their nodes. A node's set is made once, from its text, when it first stands in such a pair.
 
 Shingles are of lower-cased words (ASCII) between white space; a text of fewer than 5 words is one shingle. Null and empty texts have equal, empty
 sets. Shingles are compared by their 64-bit hashes.
@@ -24,8 +25,10 @@ from orrery.llm._shared import Staged, bitmap, groups, marked_in, partitions, sl
 from orrery.llm.simhash import components, fingerprint_of, links
 
 WIDTH = 5
-#: Least nodes of a group with which its others are compared before all are.
-LEADERS = 100
+#: Least nodes of a group with which its others are compared, pass after pass, before all are.
+LEADERS = (2, 8, 32, 128)
+#: Bits of the bitmap by which pairs are ruled out where they would be formed.
+MARK = 512
 #: Counted common shingles at most; rarer ones come first in the order.
 COMMON = 200_000
 
@@ -79,9 +82,9 @@ def bits_of(found: np.ndarray) -> bytes:
 
 
 def mark_of(found: np.ndarray) -> bytes:
-    """A bitmap of 256 bits, whatever the set."""
-    out = np.zeros(256, np.uint8)
-    out[found.view(np.uint64) & np.uint64(255)] = 1
+    """A bitmap of `MARK` bits, whatever the set."""
+    out = np.zeros(MARK, np.uint8)
+    out[found.view(np.uint64) & np.uint64(MARK - 1)] = 1
     return np.packbits(out, bitorder="little").tobytes()
 
 
@@ -154,8 +157,8 @@ def _shared(postings: DataFrame) -> DataFrame:
     return postings.mapInArrow(of, "key long, node long, n long, pos int")
 
 
-def _pairs(shared: DataFrame, tasks: int, every: bool) -> DataFrame:
-    """Pairs (a, b) of nodes of a group that may be similar and have different labels; with the least nodes only, or all."""
+def _pairs(shared: DataFrame, tasks: int, leaders: int | None) -> DataFrame:
+    """Pairs (a, b) of nodes of a group that may be similar and have different labels; with so many least nodes only, or all."""
 
     def of(batches):
         left, right, size = [], [], 0
@@ -163,8 +166,8 @@ def _pairs(shared: DataFrame, tasks: int, every: bool) -> DataFrame:
             node, n, pos, label = (group.column(c).to_numpy() for c in ("node", "n", "pos", "label"))
             if len(node) < 2 or (label == label[0]).all():
                 continue
-            marks = np.frombuffer(b"".join(group.column("mark").to_pylist()), np.uint64).reshape(-1, 4)
-            for i in range(len(node) - 1 if every else min(LEADERS, len(node) - 1)):
+            marks = np.frombuffer(b"".join(group.column("mark").to_pylist()), np.uint64).reshape(len(node), -1)
+            for i in range(min(leaders or len(node), len(node) - 1)):
                 # 9 * overlap >= 4 * (n + m) is a similarity of 0.8; the pair's first common shingle leaves what follows it in both.
                 left_over = 1 + np.minimum(n[i] - pos[i] - 1, n[i + 1 :] - pos[i + 1 :] - 1)
                 fits = 9 * left_over >= 4 * (n[i] + n[i + 1 :])
@@ -239,16 +242,24 @@ def near_copies(docs: DataFrame) -> DataFrame:
     simhash = near.join(of("a"), "a").join(of("b"), "b").select(F.least("m_a", "m_b").alias("a"), F.greatest("m_a", "m_b").alias("b"))
     simhash = simhash.unionByName(prints.join(least, "fp").where("m < node").select(F.col("m").alias("a"), F.col("node").alias("b")))
 
-    found, roots = None, None
-    for step in ("fingerprints", "least", "every"):
+    found, sets, roots = None, None, spark.createDataFrame([], "node long, root long")
+    for step in ("fingerprints", *LEADERS, None):
         if step == "fingerprints":
             pairs = simhash
         else:
             named = shared.join(roots, "node", "left").select("key", "node", "n", "pos", "mark", F.coalesce("root", "node").alias("label"))
-            pairs = _pairs(named, tasks, every=step == "every")
+            pairs = _pairs(named, tasks, step)
         pairs = kept(_possible(pairs.distinct(), marks), "pairs")
-        sets = kept(_named(rows, _ends(pairs), marked.select("row", "node")), "sets")
+        if pairs.isEmpty():
+            continue
+        new = _ends(pairs) if sets is None else _ends(pairs).join(sets.select("node"), "node", "left_anti")
+        new = kept(new, "ends")
+        if not new.isEmpty():
+            made = kept(_named(rows, new, marked.select("row", "node")), "sets")
+            sets = made if sets is None else sets.unionByName(made)
         confirmed = kept(_confirmed(pairs, sets).distinct(), "links")
+        if confirmed.isEmpty():
+            continue
         found = confirmed if found is None else found.unionByName(confirmed)
         roots = stage(components(found), "roots")
     for table in passing:
