@@ -89,18 +89,25 @@ def families_of(catalog: dict[str, DataFrame]) -> DataFrame:
     s, e = catalog["species"], catalog["evolutions"]
     keys = s.select("species_key").unionByName(catalog["base_stats"].select("species_key")).unionByName(e.select("species_key")).unionByName(e.select(F.col("evolves_to_key").alias("species_key")))
     rooted = evolution.families(keys.distinct().withColumnRenamed("species_key", "node"), e.select(F.col("species_key").alias("src"), F.col("evolves_to_key").alias("dst")))
-    dex = s.select(F.col("species_key").alias("node"), "pokedex_id").dropDuplicates(["node"])
+    dex = _last(s, "species_key", "pokedex_id").select(F.col("__k").alias("node"), F.col("__v").alias("pokedex_id"))
     ranked = rooted.join(dex, "node", "left").withColumn("o", F.struct(F.coalesce("pokedex_id", F.lit(9999)), "node"))
     heads = ranked.groupBy("root").agg(F.min_by("node", "o").alias("family_id"))
     return rooted.join(heads, "root").select(F.col("node").alias("species_key"), "family_id")
 
 
+def _last(entries: DataFrame, key: str, value: str) -> DataFrame:
+    """__k and __v: the value of each key's last entry, by its place in the document (column at), or by the order of rows where that isn't known."""
+    held = entries if "at" in entries.columns else entries.withColumn("at", F.monotonically_increasing_id())
+    return held.groupBy(F.col(key).alias("__k")).agg(F.max_by(value, "at").alias("__v"))
+
+
 def with_stats(found: DataFrame, stats: DataFrame) -> DataFrame:
-    """Adds atk, def, sta and stat_form of (node, form_key): of the form itself, else the normal one, else the only one."""
-    keyed = stats.select("species_key", parsers.form_or_normal(F.col("form")).alias("stat_form"), F.col("base_attack").alias("atk"), F.col("base_defense").alias("def"), F.col("base_stamina").alias("sta")).withColumn("k", normal_name(F.col("stat_form")))
+    """Adds atk, def, sta and stat_form of (node, form_key): of the form itself, else the normal one, else the only one. Of several entries of a form the last one of the document counts."""
+    placed = stats if "at" in stats.columns else stats.withColumn("at", F.monotonically_increasing_id())
+    keyed = placed.select("at", "species_key", parsers.form_or_normal(F.col("form")).alias("stat_form"), F.col("base_attack").alias("atk"), F.col("base_defense").alias("def"), F.col("base_stamina").alias("sta")).withColumn("k", normal_name(F.col("stat_form")))
     one = F.struct("stat_form", "atk", "def", "sta")
-    by_form = keyed.groupBy("species_key", "k").agg(F.last(one).alias("s"))
-    sole = keyed.groupBy("species_key").agg(F.count("*").alias("n"), F.first(one).alias("only")).where("n = 1").select(F.col("species_key").alias("s3"), "only")
+    by_form = keyed.groupBy("species_key", "k").agg(F.max_by(one, "at").alias("s"))
+    sole = keyed.groupBy("species_key").agg(F.count("*").alias("n"), F.max_by(one, "at").alias("only")).where("n = 1").select(F.col("species_key").alias("s3"), "only")
     exact = by_form.select(F.col("species_key").alias("s1"), F.col("k").alias("k1"), F.col("s").alias("exact"))
     normal = by_form.where("k = 'normal'").select(F.col("species_key").alias("s2"), F.col("s").alias("normal"))
     joined = found.join(exact, (F.col("node") == F.col("s1")) & (F.col("form_key") == F.col("k1")), "left").join(normal, F.col("node") == F.col("s2"), "left").join(sole, F.col("node") == F.col("s3"), "left")
@@ -109,13 +116,13 @@ def with_stats(found: DataFrame, stats: DataFrame) -> DataFrame:
 
 def _named(df: DataFrame, key: str, species: DataFrame, out: str) -> DataFrame:
     """Adds the name of the species in a column; a key without an entry is put into words."""
-    names = species.select(F.col("species_key").alias("__k"), F.col("species_name").alias("__n")).dropDuplicates(["__k"])
+    names = _last(species, "species_key", "species_name").withColumnRenamed("__v", "__n")
     return df.join(names, F.col(key) == F.col("__k"), "left").withColumn(out, F.when(F.col(key).isNotNull(), F.coalesce("__n", key_title(F.col(key))))).drop("__k", "__n")
 
 
 def best_final(ends: DataFrame, species: DataFrame) -> DataFrame:
     """start, start_form, final_key and final_form_key: the final of most attack, then most of all, then the later in the index; one without stats comes last."""
-    dex = species.select(F.col("species_key").alias("__k"), "pokedex_id").dropDuplicates(["__k"])
+    dex = _last(species, "species_key", "pokedex_id").withColumnRenamed("__v", "pokedex_id")
     known = F.col("atk").isNotNull()
     joined = ends.join(dex, F.col("node") == F.col("__k"), "left")
     order = [F.desc(F.coalesce("atk", F.lit(0))), F.desc(F.coalesce(F.col("atk") + F.col("def") + F.col("sta"), F.lit(0))), F.desc(F.when(known, F.coalesce("pokedex_id", F.lit(9999))).otherwise(0)), F.desc("node"), "depth", "trail"]
@@ -128,8 +135,19 @@ def best_levels(df: DataFrame, multipliers: list[tuple[float, float]], caps: tup
     a, d, s = F.col("atk") + F.col("iv_attack"), F.col("def") + F.col("iv_defense"), F.col("sta") + F.col("iv_stamina")
     steps = F.array(*[F.struct(F.lit(level).alias("level"), F.lit(cpm).alias("cpm")) for level, cpm in multipliers]) if multipliers else F.expr("cast(array() as array<struct<level: double, cpm: double>>)")
     spread = df.withColumn("__c", F.explode(F.array(*[F.struct(F.lit(n).alias("league"), F.lit(cap).alias("cap")) for n, cap in caps]))).select("*", "__c.*").drop("__c")
-    fits = F.filter(steps, lambda x: scoring.combat_points(a, d, s, x["cpm"]) <= F.col("cap"))
-    leveled = spread.withColumn("__b", F.try_element_at(fits, F.lit(-1))).where("__b is not null").select("*", "__b.level", "__b.cpm").drop("__b")
+    fits = lambda x: scoring.combat_points(a, d, s, x["cpm"]) <= F.col("cap")
+    if all(x[1] <= y[1] for x, y in zip(multipliers, multipliers[1:])):
+        # Points rise with the multiplier: the last step that fits is found by halving.
+        span = F.struct(F.lit(-1).alias("low"), F.lit(len(multipliers) - 1).alias("high"))
+
+        def half(at: Column, _: Column) -> Column:
+            middle = F.floor((at["low"] + at["high"] + 1) / 2).cast("int")
+            return F.when(at["low"] == at["high"], at).when(fits(F.get(steps, middle)), F.struct(middle.alias("low"), at["high"].alias("high"))).otherwise(F.struct(at["low"].alias("low"), (middle - 1).alias("high")))
+
+        best = F.aggregate(F.sequence(F.lit(1), F.lit(max(1, len(multipliers).bit_length()))), span, half, lambda at: F.when(at["low"] >= 0, F.get(steps, at["low"])))
+    else:
+        best = F.try_element_at(F.filter(steps, fits), F.lit(-1))
+    leveled = spread.withColumn("__b", best).where("__b is not null").select("*", "__b.level", "__b.cpm").drop("__b")
     return leveled.withColumn("product", scoring.stat_product(a, d, s, F.col("cpm")))
 
 
@@ -140,6 +158,8 @@ def iv_ranks(winners: DataFrame, multipliers: list[tuple[float, float]]) -> Data
     grid = keys.select("atk", "def", "sta").distinct()
     for c in VALUES:
         grid = grid.withColumn(c, sixteen)
+        if c == VALUES[0]:
+            grid = grid.repartition(int(grid.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # sixteen rows a stat line, before there are 4096
     better = best_levels(grid, multipliers).select("atk", "def", "sta", "league", F.struct((-F.col("product")).alias("p"), (-F.col("level")).alias("l"), *VALUES).alias("other"))
     own = winners.withColumn("__own", F.struct((-F.col("product")).alias("p"), (-F.col("level")).alias("l"), *VALUES))
     met = own.join(better, ["atk", "def", "sta", "league"]).where(F.col("other") <= F.col("__own"))

@@ -108,8 +108,7 @@ def with_iv_evidence(df: DataFrame) -> DataFrame:
 
 def with_classes(df: DataFrame) -> DataFrame:
     """Adds raw_classification: an appraisal counts only if its values are seen, else the rules run without it."""
-    first = with_predicates(df).withColumn("raw_classification", raw_class())
-    return first.withColumn("raw_classification", F.when((F.col("raw_classification") == "appraisal") & ~F.col("iv_seen"), raw_class(False)).otherwise(F.col("raw_classification"))).withColumn("cp_evidence", _holds(CP_EVIDENCE))
+    return with_predicates(df).withColumn("raw_classification", raw_class(F.coalesce("iv_seen", F.lit(False)))).withColumn("cp_evidence", _holds(CP_EVIDENCE))
 
 
 def with_parsed(df: DataFrame, prefix: str = "ocr_") -> DataFrame:
@@ -179,8 +178,8 @@ def desired_fields() -> Column:
 
 def probeable(fields: Column) -> Column:
     """Those of the fields that the frame may tell, by its class and signals."""
-    may = F.create_map(*[x for name, rule in PROBEABLE.items() for x in (F.lit(name), _holds(rule))])
-    return F.filter(fields, lambda f: F.coalesce(may[f], F.lit(True)))
+    barred = F.array(*[F.when(~_holds(rule), name) for name, rule in PROBEABLE.items()])  # each rule once a frame
+    return F.array_except(fields, F.array_compact(barred))
 
 
 def regions_for_fields(fields: Column) -> Column:

@@ -48,9 +48,12 @@ def q_attacker_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def best_level(rows: DataFrame) -> DataFrame:
-    """rows with league, cap, level2, cpm and cp of the highest half level (twice the level, 2 to 100) whose points stay under the cap. Levels are an array within the row."""
+    """rows with league, cap, level2, cpm and cp of the highest half level (twice the level, 2 to 100) whose points stay under the cap. Points grow with twice the level, so it is solved for, and of the steps around the solution the highest that fits is taken."""
     a, d, s = F.col("atk") + F.col("ia"), F.col("def") + F.col("idf"), F.col("sta") + F.col("ist")
-    steps = F.transform(F.sequence(F.lit(2), F.lit(100)), lambda n: F.struct(n.cast("long").alias("level2"), (F.lit(0.05) * F.sqrt(n.cast("double"))).alias("cpm")))
+    near = F.floor((F.col("cap") + 1) * 4000.0 / (a * F.sqrt(d.cast("double")) * F.sqrt(s.cast("double")))).cast("int")
+    lowest, highest = F.lit(2), F.lit(100)
+    around = F.filter(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda o: F.least(highest, near) + o), lambda n: (n >= lowest) & (n <= highest))
+    steps = F.transform(around, lambda n: F.struct(n.cast("long").alias("level2"), (F.lit(0.05) * F.sqrt(n.cast("double"))).alias("cpm")))
     spread = rows.withColumn("c", F.explode(F.array(*[F.struct(F.lit(n).alias("league"), F.lit(cap).cast("long").alias("cap")) for n, cap in scoring.LEAGUES]))).select(*rows.columns, "c.*")
     best = F.try_element_at(F.filter(steps, lambda x: scoring.combat_points(a, d, s, x["cpm"]) <= F.col("cap")), F.lit(-1))
     found = spread.withColumn("b", best).where("b is not null").select(*rows.columns, "league", "cap", "b.*")
@@ -64,7 +67,7 @@ p AS (SELECT *, (a*cpm)*(d*cpm)*floor(s*cpm) AS product FROM b WHERE rn=1),
 w AS (SELECT *, row_number() OVER (PARTITION BY family, league ORDER BY product DESC, level2 DESC, total DESC, id) AS r FROM p)
 SELECT family::BIGINT AS family, league, id, species::BIGINT AS species, level2::BIGINT AS level2, cp::BIGINT AS cp, floor(product)::BIGINT AS product FROM w WHERE r=1""")
 def q_pvp_best_by_family(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = owned(spark, sf_dir).join(F.broadcast(stats(spark, sf_dir)), "species").drop("form")
+    rows = owned(spark, sf_dir).join(stats(spark, sf_dir), "species").drop("form")
     best = best_level(rows)
     product = scoring.stat_product(F.col("atk") + F.col("ia"), F.col("def") + F.col("idf"), F.col("sta") + F.col("ist"), F.col("cpm"))
     ranked = best.withColumn("product", product)
@@ -78,6 +81,8 @@ def iv_ranks(lines: DataFrame) -> DataFrame:
     grid = lines
     for n in ("ia", "idf", "ist"):
         grid = grid.withColumn(n, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(15).cast("long"))))
+        if n == "ia":
+            grid = grid.repartition(lines.sparkSession.sparkContext.defaultParallelism)  # sixteen rows a line, before there are 4096
     best = best_level(grid)
     product = scoring.stat_product(F.col("atk") + F.col("ia"), F.col("def") + F.col("idf"), F.col("sta") + F.col("ist"), F.col("cpm"))
     order = W.partitionBy("species", "league").orderBy(F.desc(product), F.desc("level2"), "ia", "idf", "ist")
@@ -94,13 +99,16 @@ def q_iv_rank_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return iv_ranks(stats(spark, sf_dir))
 
 
-@query("""WITH c AS (SELECT n AS level, 0.1*sqrt(n::DOUBLE) AS cpm FROM range(1,51) t(n)), h AS (SELECT level+0.5 AS level, sqrt((cpm*cpm+nxt*nxt)/2) AS cpm FROM (SELECT level, cpm, lead(cpm) OVER (ORDER BY level) AS nxt FROM c) WHERE nxt IS NOT NULL)
-SELECT (level*2)::BIGINT AS level2, floor(cpm*1000000000)::BIGINT AS cpm9 FROM (SELECT level::DOUBLE AS level, cpm FROM c UNION ALL SELECT level::DOUBLE, cpm FROM h)""")
+# Each nation's suppliers make a template of multipliers; the first one counts.
+@query("""WITH t AS (SELECT s_nationkey AS g, 0.001*sqrt(s_suppkey::DOUBLE) AS cpm, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS n FROM supplier), c AS (SELECT n, cpm FROM t WHERE g=(SELECT min(g) FROM t) AND n<=50),
+x AS (SELECT n, cpm, lead(cpm) OVER (ORDER BY n) AS nxt FROM c) SELECT 2*n AS level2, floor(cpm*1000000000)::BIGINT AS cpm9 FROM x UNION ALL SELECT 2*n+1, floor(sqrt((cpm*cpm+nxt*nxt)/2)*1000000000)::BIGINT FROM x WHERE nxt IS NOT NULL""")
 def q_cpm_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # One array holds all levels, so the neighbour is an array element and no window is needed.
-    whole = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(50)), lambda n: F.lit(0.1) * F.sqrt(n.cast("double"))).alias("c"))
-    steps = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(50)), lambda n: F.array(F.struct((n * 2).alias("level2"), F.element_at("c", n).alias("cpm")), F.struct((n * 2 + 1).alias("level2"), scoring.half_level(F.element_at("c", n), F.try_element_at("c", n + 1)).alias("cpm")))))
-    return whole.select(F.explode(steps).alias("s")).where("s.cpm is not null").select(F.col("s.level2").cast("long").alias("level2"), F.floor(F.col("s.cpm") * 1000000000).cast("long").alias("cpm9"))
+    from orrery.sources import templates
+
+    steps = F.transform(F.array_sort(F.collect_list("s_suppkey")), lambda n: F.lit(0.001) * F.sqrt(n.cast("double")))
+    dump = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").cast("long").alias("at")).agg(F.to_json(F.struct(F.struct(steps.alias("cpMultiplier")).alias("playerLevel"))).alias("j"))
+    found = templates.cp_multipliers(dump.select("at", F.parse_json("j").alias("data")))
+    return found.select((F.col("level") * 2).cast("long").alias("level2"), F.floor(F.col("cpm") * 1000000000).cast("long").alias("cpm9"))
 
 
 EDGES_SQL = "n AS (SELECT p_partkey AS node FROM part), e AS (SELECT a.node AS src, b.node AS dst FROM n a JOIN n b ON b.node=2*a.node AND a.node>0)"

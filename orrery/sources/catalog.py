@@ -26,13 +26,13 @@ def _entries(v: Column, name: str) -> Column:
 
 
 def read_catalog(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """A DataFrame for each array; entries without their key are left out, base stats get the form Normal where they have none."""
+    """A DataFrame for each array, with each entry's place in the document in column at; entries without their key are left out, base stats get the form Normal where they have none."""
     document = spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("v"))
     out = {}
     for name, schema in ARRAYS.items():
         fields = [x.rsplit(" ", 1) for x in schema.split(", ")]
-        held = document.select(F.explode(_entries(F.col("v"), name)).alias("e"))
-        rows = held.select(*[F.try_variant_get("e", f"$.{n}", kind).alias(n) for n, kind in fields])
+        held = document.select(F.posexplode(_entries(F.col("v"), name)).alias("at", "e"))
+        rows = held.select(*[F.try_variant_get("e", f"$.{n}", kind).alias(n) for n, kind in fields], F.col("at").cast("long").alias("at"))
         key = fields[0][0]
         rows = rows.where(F.col(key).isNotNull() & (F.trim(F.col(key).cast("string")) != ""))
         out[name] = rows.withColumn("form", form_or_normal(F.col("form"))) if name == "base_stats" else rows

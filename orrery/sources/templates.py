@@ -112,7 +112,7 @@ def write_catalog(catalog: dict[str, DataFrame], path: str, generated_at: str |
     for name in ARRAYS:
         table = catalog[name]
         key = F.struct(*[F.coalesce(F.col(c), F.lit("")) if dict(table.dtypes)[c] == "string" else F.col(c) for c in _ORDER[name]])
-        entries = table.agg(F.transform(F.array_sort(F.collect_list(F.struct(key.alias("k"), F.struct(*table.columns).alias("e")))), lambda x: x["e"]).alias(name))
+        entries = table.agg(F.transform(F.array_sort(F.collect_list(F.struct(key.alias("k"), F.struct(*[c for c in table.columns if c != "at"]).alias("e")))), lambda x: x["e"]).alias(name))
         whole_ = entries if whole_ is None else whole_.crossJoin(entries)  # one row each
     about = F.struct(*[F.lit(v).alias(k) for k, v in (upstream or {"timestamp": None}).items()])
     whole_.select(F.lit(2).alias("schema_version"), F.lit(generated_at).alias("generated_at"), about.alias("upstream"), *ARRAYS).coalesce(1).write.mode("overwrite").json(path)

@@ -127,3 +127,23 @@ def test_deep_graphs_and_cycles(spark):
     reached = evolution.candidates(spark.createDataFrame([("a", None)], "node string, form string"), ring)
     assert sorted((r["node"], r["depth"]) for r in reached.collect()) == [("a", 0), ("b", 1)]
     assert [r["node"] for r in evolution.finals(reached, ring).collect()] == ["a"]
+
+
+def test_the_last_entry_of_a_form_counts_whatever_the_partitions(spark):
+    entries = [("a", "Normal", 1, 1, 1, 0), ("a", "Normal", 2, 2, 2, 7), ("a", "Normal", 3, 3, 3, 3), ("b", "X", 4, 4, 4, 1)]
+    stats = spark.createDataFrame(entries, "species_key string, form string, base_attack int, base_defense int, base_stamina int, at long").repartition(5)
+    asked = spark.createDataFrame([("a", "normal"), ("a", "other"), ("b", "normal"), ("c", "normal")], "node string, form_key string")
+    assert {(r["node"], r["form_key"]): r["atk"] for r in C.with_stats(asked, stats).collect()} == {("a", "normal"): 2, ("a", "other"): 2, ("b", "normal"): 4, ("c", "normal"): None}
+
+
+@pytest.mark.parametrize("levels", [LEVELS, LEVELS[:1], LEVELS[:2], [], [(1.0, 0.5), (2.0, 0.3), (3.0, 0.7)]])
+def test_levels_found_by_halving_are_those_of_a_scan(spark, levels):
+    rows = [(10 + 13 * i, 20 + 7 * i, 30 + 11 * i, i % 16, i * 3 % 16, i * 5 % 16) for i in range(60)]
+    df = spark.createDataFrame(rows, "atk int, def int, sta int, iv_attack int, iv_defense int, iv_stamina int")
+    want = set()
+    for a, d, s, x, y, z in rows:
+        for name, cap in (("GL", 1500), ("UL", 2500), ("LL", 500)):
+            fits = [lv for lv, c in levels if max(10, math.floor((a + x) * math.sqrt(d + y) * math.sqrt(s + z) * c * c / 10)) <= cap]
+            if fits:
+                want.add((a, name, fits[-1]))
+    assert {(r["atk"], r["league"], r["level"]) for r in C.best_levels(df, levels).collect()} == want
