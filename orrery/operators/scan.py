@@ -25,7 +25,7 @@ def frames(images: DataFrame, texts: DataFrame) -> DataFrame:
     moving = F.coalesce(F.col("in_transition"), F.lit(False))
     out = screens.demoted(gated, moving).withColumn("classification", F.when(F.col("error").isNotNull(), "non_extractable").otherwise(F.col("classification")))
     out = production.postprocess(out)
-    notes = [(moving, "Source-local transition evidence marked this frame as a transition."), (F.col("has_iv") & ~F.col("has_iv_complete"), "IV evidence was present but not complete."), (F.col("error").isNotNull(), "Frame analysis failed.")]
+    notes = [(F.col("has_display_name") & F.col("error").isNull(), "Display-name evidence is weak identity evidence."), (moving, "Source-local transition evidence marked this frame as a transition."), (F.col("has_iv") & ~F.col("has_iv_complete"), "IV evidence was present but not complete."), (F.col("error").isNotNull(), "Frame analysis failed.")]
     return out.withColumns({"seq_id": F.when(F.col("seq").isNotNull(), F.xxhash64("source_file", "seq")), "notes": F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), t) for c, t in notes]))})
 
 
