@@ -1,4 +1,4 @@
-"""Command line: doctor, validate, classify, sync-metadata, list and run. 0 is success, 1 an input with errors, 2 a failure."""
+"""Command line: doctor, validate, classify, export, sync-metadata, list and run. 0 is success, 1 an input with errors, 2 a failure."""
 
 from __future__ import annotations
 
@@ -27,6 +27,12 @@ def _parser() -> argparse.ArgumentParser:
     classify.add_argument("--catalog", required=True)
     classify.add_argument("--legacy")
     classify.add_argument("--output", required=True)
+    export = commands.add_parser("export", help="an inventory from pictures and the texts read on them; writes a run's artefacts")
+    export.add_argument("--pictures", required=True, help="a folder of image files, each a source of one frame, or Parquet of pictures")
+    export.add_argument("--texts", required=True, help="JSON lines of source_file, frame_index, source_type, timestamp_s and ocr_<region>")
+    export.add_argument("--catalog", required=True)
+    export.add_argument("--output", required=True)
+    export.add_argument("--run", default="export")
     sync = commands.add_parser("sync-metadata", help="make a catalogue of a dump of templates")
     sync.add_argument("--dump", required=True)
     sync.add_argument("--output", required=True)
@@ -53,6 +59,28 @@ def _classify(spark: SparkSession, found: argparse.Namespace) -> int:
     return 0
 
 
+def _export(spark: SparkSession, found: argparse.Namespace) -> int:
+    import time
+
+    from pyspark.sql import functions as F
+
+    from orrery.operators import scan
+    from orrery.sinks import runs
+    from orrery.sources import catalog, images
+
+    began = time.perf_counter()
+    pictures = spark.read.parquet(found.pictures) if found.pictures.rstrip("/").endswith(".parquet") else images.read(spark, found.pictures)
+    schema = "source_file string, frame_index long, source_type string, timestamp_s double, " + ", ".join(f"ocr_{r} string" for r in scan.REGIONS)
+    tables = catalog.read_catalog(spark, found.catalog)
+    rows, diagnostics, frames = scan.export(pictures, spark.read.schema(schema).json(found.texts), tables["species"], tables["moves"])
+    classes = {r[0]: r[1] for r in frames.groupBy("classification").count().collect()}  # four classes
+    spent = time.perf_counter() - began
+    processed = frames.select(F.lit("processed").alias("action"), F.lit("visual_analysis").alias("reason"), "source_file", "frame_index", F.lit("visual").alias("phase"))
+    done = runs.write_export(runs.Run(spark, found.output, found.run), rows, scan.warnings(frames), processed, diagnostics, {"scan": spent}, spent, {"frames": sum(classes.values())})
+    print(f"{scan.summary_line(classes)}; {done['documents']['counts']['rows']} rows, {done['documents']['warning_count']} warnings")
+    return 0
+
+
 def main(arguments: list[str] | None = None) -> int:
     found = _parser().parse_args(arguments)
     if found.command == "list":
@@ -74,6 +102,8 @@ def main(arguments: list[str] | None = None) -> int:
             return 1 if errors else 0
         if found.command == "classify":
             return _classify(spark, found)
+        if found.command == "export":
+            return _export(spark, found)
         if found.command == "sync-metadata":
             from orrery.sources import templates
 

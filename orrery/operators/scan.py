@@ -36,7 +36,7 @@ def told(judged: DataFrame, species: DataFrame, moves: DataFrame) -> DataFrame:
 
 def export(images: DataFrame, texts: DataFrame, species: DataFrame, moves: DataFrame, keep: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The inventory's rows, the diagnostics of all candidates, and the judged frames, which are held by keep (checkpoint by default)."""
-    judged = (keep or DataFrame.checkpoint)(frames(images, texts))
+    judged = (keep or (lambda df: df.checkpoint()))(frames(images, texts))
     rows, diagnostics = inventory_rows.assemble(told(judged, species, moves), keep)
     return rows, diagnostics, judged
 

@@ -185,7 +185,8 @@ def write_scan(run: Run, frames: DataFrame, fragments: DataFrame, warnings: Data
 
 def write_export(run: Run, rows: DataFrame, warnings: DataFrame, events: DataFrame, diagnostics: DataFrame, phases: dict[str, float], run_total_s: float, counts: dict[str, int] | None = None) -> dict:
     """Artefacts of an export: the inventory as CSV, warnings, lifecycle events, row diagnostics, a performance summary and the manifest. counts: figures of the run to keep."""
-    run.table("inventory", rows, "csv")
+    flat = [F.to_json(c).alias(c) if k.startswith(("array", "map", "struct")) else F.col(c) for c, k in rows.dtypes]
+    run.table("inventory", rows, "csv", flat)
     run.table("warnings", warnings, "json")
     run.table("frame_lifecycle", events, "json")
     run.table("row_diagnostics", diagnostics, "json")

@@ -209,3 +209,28 @@ def test_motion_from_pixels(spark):
             assert found[s, i][at] == want
     whole = pictures.scanned_sequences(df.union(df)).select("source_file", "frame_index", "previous_frame_delta", "future_frame_delta_3").collect()
     assert {(r[0], r[1]): (r[2], r[3]) for r in whole} == found and len(whole) == len(rows)
+
+
+def png(image):
+    """An uncompressed-filter PNG of grey, colour or colour with transparency."""
+    height, width, n = image.shape
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    rows = b"".join(b"\0" + image[y].tobytes() for y in range(height))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, {1: 0, 3: 2, 4: 6}[n], 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
+
+
+def test_image_files_are_pictures(spark, tmp_path):
+    from orrery.sources import images
+
+    colour = noise(1, 12, 9)[0]
+    grey = colour[..., :1]
+    clear = np.concatenate([colour, np.full((12, 9, 1), 255, np.uint8)], 2)
+    (tmp_path / "sub").mkdir()
+    for name, image in (("c.png", colour), ("sub/g.png", grey), ("a.png", clear)):
+        (tmp_path / name).write_bytes(png(image))
+    (tmp_path / "bad.png").write_bytes(b"no picture")
+    found = {r["source_file"]: r for r in images.read(spark, str(tmp_path)).collect()}
+    assert {k: (r["width"], r["height"]) for k, r in found.items()} == {"c.png": (9, 12), "g.png": (9, 12), "a.png": (9, 12), "bad.png": (None, None)}
+    assert found["c.png"]["pixels"] == found["a.png"]["pixels"] == colour.tobytes() and found["g.png"]["pixels"] == np.repeat(grey, 3, 2).tobytes()
+    signals = {r["source_file"]: r for r in pictures.signals(images.read(spark, str(tmp_path))).collect()}
+    assert signals["bad.png"]["error"] == "no pixels" and signals["c.png"]["story_brightness"] == pixels.signals(colour[None])["story_brightness"][0]

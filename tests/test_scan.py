@@ -41,3 +41,18 @@ def test_nothing_in_nothing_out(spark):
 
 def test_summary_line():
     assert scan.summary_line({"list": 2, "detail": 5, "appraisal": 2}) == "9 frames: 5 detail, 2 appraisal, 2 list" and scan.summary_line({}) == "0 frames"
+
+
+def test_export_command(spark, tmp_path, capsys):
+    import json
+
+    from orrery.__main__ import main
+    from orrery.sinks import runs
+
+    spark.createDataFrame([("a", i, 180, 320, detail()) for i in range(3)], PICTURES).write.parquet(str(tmp_path / "pictures.parquet"))
+    (tmp_path / "texts.jsonl").write_text("".join(json.dumps({"source_file": "a", "frame_index": i, "source_type": "video", "timestamp_s": i / 3, "ocr_cp": "CP 150", "ocr_hp": "5 / 60 HP", "ocr_weight": "1.5 kg"}) + "\n" for i in range(3)))
+    (tmp_path / "catalog.json").write_text(json.dumps({"species": [{"species_key": "a", "species_name": "A", "pokedex_id": 1}], "moves": [], "evolutions": [], "base_stats": [], "cp_multipliers": []}))
+    root = str(tmp_path / "out")
+    assert main(["export", "--pictures", str(tmp_path / "pictures.parquet"), "--texts", str(tmp_path / "texts.jsonl"), "--catalog", str(tmp_path / "catalog.json"), "--output", root, "--run", "one"]) == 0
+    assert "3 frames: 3 detail; 0 rows, 0 warnings" in capsys.readouterr().out
+    assert runs.runs(spark, root) == ["one"] and runs.read(spark, root, "one", "row_diagnostics").count() == 1 and runs.damaged(spark, root, "one") == []
