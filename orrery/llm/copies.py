@@ -4,9 +4,9 @@ SimHash fingerprints of the sets are searched by BK-trees (simhash.links), and w
 different, which no radius of use reaches, a second search completes the first: under one order of all shingles, common ones last, two sets of n and m
 shingles at that similarity share one of the first n - ceil(0.8 n) + 1 of the one and of the first m - ceil(0.8 m) + 1 of the other, so pairs are
 formed only within groups of sets that share such a shingle, where sizes and places leave 0.8 possible, and each is confirmed too. The order takes its counts from a
-hash-chosen sixteenth of the rows; any order is right, this one keeps groups small. Equal sets are one node. Fingerprints come first, then the pairs with the two least
-nodes of each group (nodes are hashes, so near copies meet in the same few wherever they meet), with the eight least, and so on by `LEADERS`, then all others; no pass forms a pair that the ones before it have
-connected, so a group of n copies costs some n pairs, not their square. A bit for each shingle, in a bitmap of some times as many bits, bounds what two sets can have in
+hash-chosen sixteenth of the rows; any order is right, this one keeps groups small. Equal sets are one node. Fingerprints come first, then the pairs with the four least
+nodes of each group (nodes are hashes, so near copies meet in the same few wherever they meet), then those with the next ones up to 32 and 128 (`LEADERS`), then all others; each pass takes only groups that have more, and forms no pair that the
+ones before it have compared or connected, so a group of n copies costs some n pairs, not their square. A bit for each shingle, in a bitmap of some times as many bits, bounds what two sets can have in
 common from above; only pairs that it leaves possible are compared, on the whole sets of their nodes. A node's set is made once, from its text, when it first stands in such a pair.
 
 Shingles are of lower-cased words (ASCII) between white space; a text of fewer than 5 words is one shingle. Null and empty texts have equal, empty
@@ -21,12 +21,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm._shared import Staged, bitmap, groups, marked_in, partitions, slices, stage, utf8
+from orrery.llm._shared import Staged, bitmap, marked_in, partitions, slices, stage, utf8
 from orrery.llm.simhash import components, fingerprint_of, links
 
 WIDTH = 5
 #: Least nodes of a group with which its others are compared, pass after pass, before all are.
-LEADERS = (2, 8, 32, 128)
+LEADERS = (4, 32, 128)
 #: Bits of the bitmap by which pairs are ruled out where they would be formed.
 MARK = 512
 #: Counted common shingles at most; rarer ones come first in the order.
@@ -134,7 +134,7 @@ def _node(found: np.ndarray) -> int:
 
 
 def _shared(postings: DataFrame) -> DataFrame:
-    """The postings (key, node, n, pos) whose key is not alone."""
+    """The postings (key, node, n, pos) whose key is not alone, with the number of those of the key."""
 
     def of(batches):
         held = None
@@ -151,36 +151,62 @@ def _shared(postings: DataFrame) -> DataFrame:
             yield from _repeated(held, held.column("key").to_numpy())
 
     def _repeated(part, key):
-        same = key[1:] == key[:-1]
-        yield from part.filter(pa.array(np.append(same, False)[: len(key)] | np.append(False, same)[: len(key)])).combine_chunks().to_batches()
-
-    return postings.mapInArrow(of, "key long, node long, n long, pos int")
-
-
-def _pairs(shared: DataFrame, tasks: int, leaders: int | None) -> DataFrame:
-    """Pairs (a, b) of nodes of a group that may be similar and have different labels; with so many least nodes only, or all."""
+        starts = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+        size = np.repeat(np.diff(np.append(starts, len(key))), np.diff(np.append(starts, len(key))))
+        yield from part.append_column("size", pa.array(size)).filter(pa.array(size > 1)).combine_chunks().to_batches()
+
+    return postings.mapInArrow(of, "key long, node long, n long, pos int, size long")
+
+
+def _met(part: dict[str, np.ndarray], old: int, first: int, last: int | None):
+    """Pairs of node numbers that may be similar and have different labels, of the members first to last (exclusive) of each run of keys with those after them. The first `old` rows have met each other."""
+    key = part["key"]
+    starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    ends = np.append(starts[1:], len(key))
+    longest = int((ends - starts).max(initial=0))
+    n, pos, label, mark, node = (part[c] for c in ("n", "pos", "label", "mark", "node"))
+    for i in range(first, min(last, longest) if last else longest):
+        runs = np.flatnonzero(ends - starts > i + 1)
+        if not len(runs):
+            return
+        left = starts[runs] + i
+        after = np.maximum(left + 1, old)  # rows at hand before have met
+        count = np.maximum(0, ends[runs] - after)
+        a = np.repeat(left, count)
+        b = np.repeat(after - np.append(0, np.cumsum(count)[:-1]), count) + np.arange(count.sum())
+        # 9 * overlap >= 4 * (n + m) is a similarity of 0.8; the pair's first common shingle leaves what follows it in both.
+        keep = (label[a] != label[b]) & (9 * (1 + np.minimum(n[a] - pos[a] - 1, n[b] - pos[b] - 1)) >= 4 * (n[a] + n[b]))
+        a, b = a[keep], b[keep]
+        for at in range(0, len(a), 20_000):
+            x, y = a[at : at + 20_000], b[at : at + 20_000]
+            lacks, lacked = np.bitwise_count(mark[x] & ~mark[y]).sum(1, dtype=np.int64), np.bitwise_count(mark[y] & ~mark[x]).sum(1, dtype=np.int64)
+            may = 9 * np.minimum(n[x] - lacks, n[y] - lacked) >= 4 * (n[x] + n[y])
+            if may.any():
+                yield node[x[may]], node[y[may]]
+
+
+def _pairs(shared: DataFrame, tasks: int, first: int, last: int | None) -> DataFrame:
+    """Pairs (a, b) of nodes of a group that may be similar and have different labels: the members first to last of each with those after them.
+
+    Groups come sorted, and of one that goes on in the next batch only the members that still meet others are kept.
+    """
+    columns = ("key", "node", "n", "pos", "label")
 
     def of(batches):
-        left, right, size = [], [], 0
-        for group in groups(batches, "key"):
-            node, n, pos, label = (group.column(c).to_numpy() for c in ("node", "n", "pos", "label"))
-            if len(node) < 2 or (label == label[0]).all():
+        held: dict[str, np.ndarray] | None = None
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            marks = np.frombuffer(b"".join(group.column("mark").to_pylist()), np.uint64).reshape(len(node), -1)
-            for i in range(min(leaders or len(node), len(node) - 1)):
-                # 9 * overlap >= 4 * (n + m) is a similarity of 0.8; the pair's first common shingle leaves what follows it in both.
-                left_over = 1 + np.minimum(n[i] - pos[i] - 1, n[i + 1 :] - pos[i + 1 :] - 1)
-                fits = 9 * left_over >= 4 * (n[i] + n[i + 1 :])
-                at = i + 1 + np.flatnonzero(fits & (label[i] != label[i + 1 :]))
-                lacks, lacked = (np.bitwise_count(x).sum(1, dtype=np.int64) for x in (marks[i] & ~marks[at], marks[at] & ~marks[i]))
-                to = node[at[9 * np.minimum(n[i] - lacks, n[at] - lacked) >= 4 * (n[i] + n[at])]]
-                left.append(np.full(len(to), node[i]))
-                right.append(to)
-                size += len(to)
-                if size >= 50_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (left, right)], ["a", "b"])
-                    left, right, size = [], [], 0
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.int64), *x])) for x in (left, right)], ["a", "b"])
+            new = {c: batch.column(batch.schema.get_field_index(c)).to_numpy() for c in columns}
+            new["mark"] = np.frombuffer(b"".join(batch.column(batch.schema.get_field_index("mark")).to_pylist()), np.uint64).reshape(batch.num_rows, -1)
+            old = 0 if held is None else len(held["key"])
+            if held is not None and held["key"][0] != new["key"][0]:
+                held, old = None, 0
+            part = new if held is None else {c: np.concatenate([held[c], new[c]]) for c in new}
+            for a, b in _met(part, old, first, last):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            begins = int(np.searchsorted(part["key"], part["key"][-1]))
+            held = {c: v[begins : begins + last if last else None].copy() for c, v in part.items()}
 
     dealt = shared.repartition(tasks, "key").sortWithinPartitions("key", "node")
     return dealt.mapInArrow(of, "a long, b long")
@@ -243,12 +269,12 @@ def near_copies(docs: DataFrame) -> DataFrame:
     simhash = simhash.unionByName(prints.join(least, "fp").where("m < node").select(F.col("m").alias("a"), F.col("node").alias("b")))
 
     found, sets, roots = None, None, spark.createDataFrame([], "node long, root long")
-    for step in ("fingerprints", *LEADERS, None):
-        if step == "fingerprints":
+    for first, last in ((None, None), *zip((0, *LEADERS), (*LEADERS, None))):
+        if first is None:
             pairs = simhash
         else:
-            named = shared.join(roots, "node", "left").select("key", "node", "n", "pos", "mark", F.coalesce("root", "node").alias("label"))
-            pairs = _pairs(named, tasks, step)
+            named = shared.where(F.col("size") > first + 1).join(roots, "node", "left").select("key", "node", "n", "pos", "mark", F.coalesce("root", "node").alias("label"))
+            pairs = _pairs(named, tasks, first, last)
         pairs = kept(_possible(pairs.distinct(), marks), "pairs")
         if pairs.isEmpty():
             continue

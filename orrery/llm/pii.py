@@ -14,6 +14,8 @@ rows and rows with null doc_id keep a row each. Empty tables give empty results.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,12 +31,17 @@ LEAST_DIGITS = 5
 KINDS = ("email", "ip", "card", "phone", "context")
 
 
+#: Matches that are gathered together.
+_STRETCH = 100
 _ENTRY = "struct<start: int, end: int, kind: int, found: string, cue: string>"
 
 
+_WORD_OR_NUMBERS = r"\S++(?:(?<=[0-9().+-])\s++(?=[0-9().+-])\S++)*+"
+
+
 def _last_words(piece: Column) -> Column:
-    """The last six words of a text at most, of any length."""
-    return F.reverse(F.regexp_extract(F.reverse(piece), r"^\s*+\S*+(?:\s++\S++){0,5}", 0))
+    """The last six words of a text at most, of any length, with the white space around them; the numbers of a row are one word, as they are one sign once levelled. A pattern never looks further back."""
+    return F.reverse(F.regexp_extract(F.reverse(piece), rf"^\s*+(?:{_WORD_OR_NUMBERS})?+(?:\s++{_WORD_OR_NUMBERS}){{0,5}}+\s*+", 0))
 
 
 def _levelled(piece: Column) -> Column:
@@ -52,10 +59,16 @@ def _cue(before: Column) -> Column:
     return F.when(F.length(cue) > 64, F.md5(cue)).otherwise(cue)
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use of a value that is computed once, however often it stands in there."""
+    return F.transform(F.array(value), use)[0]
+
+
 def occurrences(text: Column, pattern: str, kind: str) -> Column:
     """Array of (start, end, kind, found, cue) of the pattern's leftmost matches; cue: the pattern of words that introduces it."""
     pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pairs = F.filter(F.arrays_zip(pieces.alias("p"), found.alias("m")), lambda x: x["m"].isNotNull())
+    empty = F.expr(f"cast(array() as array<{_ENTRY}>)")
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["p"])
@@ -64,8 +77,18 @@ def occurrences(text: Column, pattern: str, kind: str) -> Column:
         one = F.struct(start.alias("start"), end.alias("end"), F.lit(KINDS.index(kind)).alias("kind"), x["m"].alias("found"), _cue(before).alias("cue"))
         return F.struct(end.alias("at"), F.concat(before, _levelled(x["m"])).alias("tail"), F.concat(acc["out"], F.array(one)).alias("out"))
 
-    empty = F.expr(f"cast(array() as array<{_ENTRY}>)")
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), empty.alias("out")), step, lambda acc: acc["out"])
+    def gathered(pairs: Column) -> Column:
+        """A hundred matches at a time: what they give is set beside what was there, not copied one by one, so that the cost is linear in the matches."""
+
+        def stretch(acc: Column, at: Column) -> Column:
+            inner = F.aggregate(F.slice(pairs, at, _STRETCH), F.struct(acc["at"].alias("at"), acc["tail"].alias("tail"), empty.alias("out")), step)
+            return _bound(inner, lambda x: F.struct(x["at"].alias("at"), x["tail"].alias("tail"), F.concat(acc["out"], F.array(x["out"])).alias("out")))
+
+        starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(pairs), F.lit(1)), F.lit(_STRETCH)), lambda at: at <= F.size(pairs))
+        begun = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), F.expr(f"cast(array() as array<array<{_ENTRY}>>)").alias("out"))
+        return F.aggregate(starts, begun, stretch, lambda acc: F.flatten(acc["out"]))
+
+    return _bound(pairs, gathered)
 
 
 def _digits(found: Column) -> Column:

@@ -322,3 +322,42 @@ def test_bitmaps_never_rule_out_a_similar_pair():
         assert may or 9 * same < 4 * (len(a) + len(b))
         ruled_out += not may
     assert ruled_out > 100
+
+
+def test_cues_between_close_identifiers_keep_their_words_apart(spark):
+    from orrery.llm import pii
+
+    def cues(text, pattern=pii.IDENTIFIER):
+        return [(x["found"], x["cue"]) for x in spark.createDataFrame([(text,)], "t string").select(pii.occurrences(F.col("t"), pattern, "context")).first()[0]]
+
+    assert cues("serial 99887766 then w1 say alpha 1") == [("99887766", "serial "), ("w1", "# then "), ("1", "say alpha ")]
+    assert cues("member 12345, ref 23456 and ref 34567") == [("12345", "member "), ("23456", "#, ref "), ("34567", "and ref ")]
+    assert cues("a b " + "1 2 (3) " * 20 + "x@y.zz", pii.EMAIL)[0][1].startswith("b #")
+    assert cues("ID:12345 (67890", pii.IDENTIFIER)[0] == ("12345", "id:")
+
+
+def test_a_planted_label_is_found_beside_other_identifiers(spark):
+    from orrery.llm import pii
+
+    rows = [f"order {10000 + 7 * i} from account 4{i}0-55{i} phone +49 30 12345{i:04d} end" for i in range(12)]
+    rows += ["order 77777 from account 999-111 phone 99-888777 end"]
+    found = pii.spans(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"))
+    spans = {r["doc_id"]: [(rows[r["doc_id"]][s["start"] : s["end"]], s["kind"]) for s in r["spans"]] for r in found.collect()}
+    assert ("99-888777", 4) in spans[12] and ("77777", 4) not in spans[12]
+
+
+def test_many_identifiers_in_one_text_cost_in_proportion(spark):
+    import time
+
+    from orrery.llm import pii
+
+    def seconds(n):
+        text = " ".join(str(10_000 + i) for i in range(n))
+        df = spark.createDataFrame([(text,)], "t string").select(F.size(pii.occurrences(F.col("t"), pii.IDENTIFIER, "context")).alias("n"))
+        began = time.perf_counter()
+        assert df.first()[0] == n
+        return time.perf_counter() - began
+
+    seconds(500)
+    small = seconds(8_000)
+    assert seconds(32_000) < 8 * small + 2
