@@ -16,14 +16,17 @@ def sessions(stream: DataFrame, source: str, time: str, gap: str = "30 minutes",
     return by.agg(F.count("*").alias("frames")).select(source, F.col("s.start").alias("start"), F.col("s.end").alias("end"), "frames")
 
 
-def latch(stream: DataFrame, source: str, order: str, sets: Column, holds: Column) -> DataFrame:
+def latch(stream: DataFrame, source: str, order: str, sets: Column, holds: Column, idle_ms: int | None = None) -> DataFrame:
     """source, order and flag, where flag is sets, or holds and the flag of the source's row before. Rows of a source must arrive in order from batch to batch.
 
-    A source's state is one boolean. Its rows of a batch come as bounded Arrow batches and are put in order together.
+    A source's state is one boolean; with idle_ms, that of a source without rows for so long goes, and it begins anew. Its rows of a batch come as bounded Arrow batches and are put in order together.
     """
     marked = stream.select(F.col(source).cast("string").alias("source"), F.col(order).cast("long").alias("at"), F.coalesce(sets, F.lit(False)).alias("a"), F.coalesce(holds, F.lit(False)).alias("b"))
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         on = bool(state.get[0]) if state.exists else False
         rows = pd.concat(list(frames)).sort_values("at", kind="stable")
         flags = []
@@ -31,6 +34,8 @@ def latch(stream: DataFrame, source: str, order: str, sets: Column, holds: Colum
             on = bool(a) or (bool(b) and on)
             flags.append(on)
         state.update((on,))
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame({"source": rows["source"].to_numpy(), "at": rows["at"].to_numpy(), "flag": flags})
 
-    return marked.groupBy("source").applyInPandasWithState(step, "source string, at long, flag boolean", "flag boolean", "append", GroupStateTimeout.NoTimeout)
+    return marked.groupBy("source").applyInPandasWithState(step, "source string, at long, flag boolean", "flag boolean", "append", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
