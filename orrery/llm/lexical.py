@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from orrery.llm._shared import Staged, groups, partitions, slices, stage
 
 #: Octets of text in a shard, about.
-SHARD = 32 << 20
+SHARD = 16 << 20
 #: Queries that a shard answers in one task, about.
 BLOCK = 100
 #: Query terms up to so many rows are broadcast, with some 100 octets each.
