@@ -16,7 +16,7 @@ from orrery.operators import fragments, inventory_rows, pictures, production, sc
 REGIONS = ("cp", "display_name", "hp", "weight", "height", "moves", "special_sections", "story")
 
 
-def frames(images: DataFrame, texts: DataFrame) -> DataFrame:
+def frames(images: DataFrame | pictures.Encoded, texts: DataFrame) -> DataFrame:
     """Judged frames: signals, classes, sequences, parsed values and gates, transitions taken out, runs corrected; seq_id of those in a sequence, notes and error."""
     shown = pictures.scanned_sequences(images)
     known = {f"ocr_{r}": F.col(f"ocr_{r}") if f"ocr_{r}" in texts.columns else F.lit(None).cast("string") for r in REGIONS}
@@ -34,7 +34,7 @@ def told(judged: DataFrame, species: DataFrame, moves: DataFrame) -> DataFrame:
     return fragments.with_moves(fragments.with_species(fragments.extract(judged.where("seq_id IS NOT NULL")), species), moves)
 
 
-def export(images: DataFrame, texts: DataFrame, species: DataFrame, moves: DataFrame, keep: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def export(images: DataFrame | pictures.Encoded, texts: DataFrame, species: DataFrame, moves: DataFrame, keep: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The inventory's rows, the diagnostics of all candidates, and the judged frames, which are held by keep (checkpoint by default)."""
     judged = (keep or (lambda df: df.checkpoint()))(frames(images, texts))
     rows, diagnostics = inventory_rows.assemble(told(judged, species, moves), keep)

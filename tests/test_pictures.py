@@ -234,3 +234,45 @@ def test_image_files_are_pictures(spark, tmp_path):
     assert found["c.png"]["pixels"] == found["a.png"]["pixels"] == colour.tobytes() and found["g.png"]["pixels"] == np.repeat(grey, 3, 2).tobytes()
     signals = {r["source_file"]: r for r in pictures.signals(images.read(spark, str(tmp_path))).collect()}
     assert signals["bad.png"]["error"] == "no pixels" and signals["c.png"]["story_brightness"] == pixels.signals(colour[None])["story_brightness"][0]
+
+
+def _bars(n):
+    frames = np.full((n, 320, 180, 3), 250, np.uint8)
+    for i in range(n):
+        frames[i, 36 + i % 180 : 36 + i % 180 + i % 19, 40 : 40 + i % 83] = (232, 210, 196)
+    return frames
+
+
+def test_only_what_is_wanted_is_worked_out(monkeypatch):
+    frames = np.concatenate([noise(3, 320, 180, 4), _bars(9)])
+    whole = pixels.signals(frames)
+    for some in (["hp_bar_anchor_y", "hp_bar_anchor_candidate_count"], ["moves_fast_row_dark_ratio"], ["iv_attack", "iv_star_count"], ["hp_area_card_split_signal"], ["tag_edge_ratio", "story_brightness"]):
+        found = pixels.signals(frames, some)
+        assert list(found) == some and all(np.array_equal(found[k], whole[k]) for k in some)
+    for unused in ("resized", "tab_anchors", "stars", "value_bars", "card_split", "edges"):
+        monkeypatch.setattr(pixels, unused, None)
+    assert pixels.signals(frames, ["hp_bar_anchor_y"])["hp_bar_anchor_y"].tolist() == whole["hp_bar_anchor_y"].tolist()
+    with pytest.raises(ValueError):
+        pixels.signals(frames, ["no_such_signal"])
+
+
+def test_a_colour_is_judged_once(monkeypatch):
+    seen, judged = [], pixels._judged
+    monkeypatch.setattr(pixels, "_table", lambda held=np.zeros(1 << 24, np.uint32): held)
+    monkeypatch.setattr(pixels, "_judged", lambda colours: seen.extend(colours.tolist()) or judged(colours))
+    frames = noise(4, 40, 30, 6)
+    first = pixels.signals(frames)
+    assert len(seen) == len(set(seen)) and {int(r) << 16 | int(g) << 8 | int(b) for r, g, b in frames.reshape(-1, 3)} <= set(seen)
+    before = len(seen)
+    again = pixels.signals(frames)
+    assert len(seen) == before and all(np.array_equal(first[k], again[k], equal_nan=True) for k in first)
+
+
+def test_tasks_grow_with_the_pictures_and_pixels_stay_in_them(spark, monkeypatch):
+    from orrery.plans import pictures as plans
+
+    monkeypatch.setattr(plans, "A_TASK", 5)
+    made = plans.drawn(spark.range(100).selectExpr("'a' AS source_file", "id AS frame_index", "0 AS paper", "array(array(0, 0, 1, 1, 0)) AS shapes"))
+    assert made.rows.rdd.getNumPartitions() == 20 and "pixels" not in made.rows.columns
+    found = pictures.signals(made, only=["detail_card_brightness"])
+    assert found.columns == ["source_file", "frame_index", "detail_card_brightness", "error"] and found.where("detail_card_brightness = 0 AND error IS NULL").count() == 100
