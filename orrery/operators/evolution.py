@@ -1,7 +1,7 @@
 """Recursion over a graph of edges: paths, finals, families. Rounds are checkpointed (set spark.checkpoint.dir) and go on until nothing is added; cycles end by what was reached before.
 
 Edges have columns src and dst, and may have form (null: for every form), to_form and at (their order). A node is a key with a form, `Normal` where there is none;
-forms are compared by their normal names.
+forms are compared by their normal names. Joins of a round are by shuffle and sort: a broadcast a round would pass through the driver as often as there are rounds.
 """
 
 from __future__ import annotations
@@ -40,10 +40,10 @@ def candidates(starts: DataFrame, edges: DataFrame) -> DataFrame:
     e = typed.select("src", "dst", F.col("form").alias("e_form"), "to_form", "at", "edge_form")
     while True:
         depth += 1
-        step = front.join(e, (F.col("node") == F.col("src")) & _applies(F.col("edge_form"), F.col("form_key")))
+        step = front.join(e.hint("merge"), (F.col("node") == F.col("src")) & _applies(F.col("edge_form"), F.col("form_key")))
         step = step.select("start", "start_form", F.col("dst").alias("node"), form_or_normal(F.coalesce("to_form", "e_form", "form")).alias("form"), F.concat("trail", F.array("at")).alias("trail"))
         step = step.withColumn("form_key", normal_name(F.col("form"))).groupBy(*key).agg(F.min_by("form", "trail").alias("form"), F.min("trail").alias("trail"))
-        new = step.join(reached.select(*key), key, "left_anti")
+        new = step.join(reached.select(*key).hint("merge"), key, "left_anti")
         front = new.select("start", "start_form", "node", "form", "form_key", F.lit(depth).cast("long").alias("depth"), "trail").checkpoint()
         if front.isEmpty():
             return reached
@@ -65,11 +65,11 @@ def finals(reached: DataFrame, edges: DataFrame) -> DataFrame:
 def paths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """start, node, depth of all nodes reachable from each, the start included; each once, at its least depth. Forms play no part."""
     front = nodes.select(F.col("node").alias("start"), "node").distinct().withColumn("depth", F.lit(0).cast("long")).checkpoint()
-    reached, k = front, 0
+    reached, k, edges = front, 0, edges.select("src", "dst").checkpoint()
     while True:
         k += 1
-        step = front.join(edges, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node")).distinct()
-        front = step.join(reached, ["start", "node"], "left_anti").withColumn("depth", F.lit(k).cast("long")).checkpoint()
+        step = front.join(edges.hint("merge"), F.col("node") == F.col("src")).select("start", F.col("dst").alias("node")).distinct()
+        front = step.join(reached.hint("merge"), ["start", "node"], "left_anti").withColumn("depth", F.lit(k).cast("long")).checkpoint()
         if front.isEmpty():
             return reached
         reached = reached.unionByName(front)
@@ -84,9 +84,9 @@ def families(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.join(least.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        small = large.join(least.hint("merge"), "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         now = small.select("e.u", "e.v").where("u <> v").distinct().checkpoint()
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:

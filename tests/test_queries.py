@@ -92,3 +92,24 @@ def test_contained_spans(spark):
     c = spark.createDataFrame([(1, "s", 2, 3), (2, "s", 2, 9), (3, "t", 2, 3)], "id long, s string, f long, l long")
     a = spark.createDataFrame([("s", 1, 5), ("s", 3, 20)], "s string, f long, l long")
     assert [r["id"] for r in assembly.contained(c, a, "s", "f", "l").collect()] == [1]
+
+
+def test_rounds_over_a_graph_broadcast_nothing(spark, monkeypatch):
+    """A broadcast a round would send the edges through the driver as often as there are rounds."""
+    from orrery.operators import evolution
+
+    nodes = spark.range(1, 41).withColumnRenamed("id", "node")
+    edges = nodes.selectExpr("node AS src", "node * 2 AS dst").where("dst <= 40")
+    plans, kind = [], type(nodes)
+    held = kind.checkpoint
+
+    def checkpoint(df, *args, **named):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return held(df, *args, **named)
+
+    monkeypatch.setattr(kind, "checkpoint", checkpoint)
+    assert evolution.paths(nodes, edges).count() == sum(n.bit_length() for n in (40 // k for k in range(1, 41)))
+    assert evolution.families(nodes, edges).select("root").distinct().count() == 20
+    evolution.candidates(nodes.selectExpr("node", "cast(null as string) AS form"), edges)
+    joins = [p for p in plans if "Join" in p]
+    assert len(joins) > 10 and not [p for p in joins if "Broadcast" in p]
