@@ -32,7 +32,14 @@ def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(f"SELECT {rest}, {doubles} FROM ({_signals_sql()} FROM orrery_lineitem)")
 
 
+def split_methods(spark: SparkSession) -> None:
+    """Rules make long methods, and HotSpot compiles none over 8000 octets: those are left out of whole-stage code, so that Spark splits them. A limit that the session was given stays."""
+    if spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "65535":
+        spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+
+
 def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    split_methods(spark)
     return screens.with_classes(screens.with_iv_evidence(signals(spark, sf_dir)))
 
 

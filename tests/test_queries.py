@@ -113,3 +113,22 @@ def test_rounds_over_a_graph_broadcast_nothing(spark, monkeypatch):
     evolution.candidates(nodes.selectExpr("node", "cast(null as string) AS form"), edges)
     joins = [p for p in plans if "Join" in p]
     assert len(joins) > 10 and not [p for p in joins if "Broadcast" in p]
+
+
+def test_gates_level_a_text_once_and_in_compiled_methods(spark, small_dir):
+    from orrery.functions import parsers
+    from orrery.plans import screens
+
+    texts = spark.createDataFrame([("a", "Max  MOVE"), ("b", "maxmove"), ("c", None), ("d", "G-Max."), ("e", "")], "k string, t string")
+    found = texts.select("k", parsers.contains_word(F.col("t"), ("max move", "g max")).alias("has"), parsers.contains_word(F.col("t"), ()).alias("none"))
+    assert {r["k"]: r["has"] for r in found.collect()} == {"a": True, "b": False, "c": False, "d": True, "e": False} and not any(r["none"] for r in found.collect())
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 1
+    told = texts.select(parsers.story_complete(F.lit("x. This Abc was caught on 1/2/2024 around X, Y.")).alias("yes"), parsers.story_complete(F.col("t")).alias("no"))
+    assert {(r["yes"], r["no"]) for r in told.collect()} == {(True, False)}
+    held = spark.conf.get("spark.sql.codegen.hugeMethodLimit")
+    try:
+        spark.conf.set("spark.sql.codegen.hugeMethodLimit", "65535")
+        screens.classified(spark, small_dir)
+        assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
+    finally:
+        spark.conf.set("spark.sql.codegen.hugeMethodLimit", held)
