@@ -7,6 +7,7 @@ sequence's frames are folded in their order, by Arrow batches of one sequence ea
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -53,12 +54,22 @@ def _settled() -> Column:
     return F.col("classification").isin(*kinds) & F.col("raw_classification").isin(*kinds) & ~F.col("has_transition") & parsers.present(F.col("hp"))
 
 
+def _with_choice(held: DataFrame, value: Column, rule: Callable[[Column], Column], out: str) -> DataFrame:
+    """Adds what the rule chooses of the values (with their counts) of a row's run, __run; null outside of runs. It is worked out on one row of each run. All of it stays in a source's task, by one sort: nothing is shuffled or joined."""
+    known = F.col("source_file").isNotNull() & F.col("__run").isNotNull()
+    run, own = W.partitionBy("source_file", "__run"), W.partitionBy("source_file", "__run", "__v")
+    held = held.withColumn("__v", value)
+    held = held.withColumns({"__i": F.row_number().over(own.orderBy("frame_index")), "__n": F.count("*").over(own), "__k": F.row_number().over(run.orderBy("__v", "frame_index"))})
+    vote = F.when(known & F.col("__v").isNotNull() & (F.col("__i") == 1), F.struct(F.col("__v").alias("v"), F.col("__n").alias("n")))
+    held = held.withColumn("__votes", F.collect_list(vote).over(run))
+    held = held.withColumn("__one", F.when(known & (F.col("__k") == 1), rule(F.col("__votes"))))
+    return held.withColumn(out, F.max("__one").over(run)).drop("__v", "__i", "__n", "__k", "__votes", "__one")
+
+
 def with_cp_consensus(frames: DataFrame) -> DataFrame:
     """cp corrected to the choice of its run of frames with the same hit points; a frame without them breaks a run. Missing points stay missing; cp_original holds what was replaced."""
     held = sequences.with_runs(frames, SOURCE, ["frame_index"], _settled(), F.col("hp"), "__run")
-    counts = held.where("__run is not null and cp is not null").groupBy("source_file", "__run", "cp").agg(F.count("*").alias("n"))
-    chosen = counts.groupBy("source_file", "__run").agg(votes.cp_choice(F.collect_list(F.struct(F.col("cp").cast("long").alias("v"), "n"))).alias("__cp"))
-    joined = held.join(chosen, ["source_file", "__run"], "left")
+    joined = _with_choice(held, F.col("cp").cast("long"), votes.cp_choice, "__cp")
     wrong = F.col("cp").isNotNull() & F.col("__cp").isNotNull() & (F.col("cp") != F.col("__cp"))
     return joined.withColumns({"cp_original": F.when(wrong, F.col("cp")), "cp": F.when(wrong, F.col("__cp").cast(frames.schema["cp"].dataType)).otherwise(F.col("cp"))}).select(*frames.columns, "cp_original")
 
@@ -68,9 +79,7 @@ def with_weights(frames: DataFrame) -> DataFrame:
     lists = (F.col("classification") == "list") | (F.col("raw_classification") == "list")
     key = F.when(lists, "#list").when(parsers.present(F.col("hp")), F.col("hp"))
     held = sequences.with_skipping_runs(frames, SOURCE, ["frame_index"], key, "__run").withColumn("__in", _settled() & ~lists)
-    counts = held.where(F.col("__in") & parsers.present(F.col("weight_kg"))).groupBy("source_file", "__run", "weight_kg").agg(F.count("*").alias("n"))
-    chosen = counts.groupBy("source_file", "__run").agg(votes.choice(F.collect_list(F.struct(F.col("weight_kg").alias("v"), "n")), least=3, ratio=3.0, share=0.75).alias("__w"))
-    joined = held.join(chosen, ["source_file", "__run"], "left")
+    joined = _with_choice(held, F.when(F.col("__in") & parsers.present(F.col("weight_kg")), F.col("weight_kg")), lambda found: votes.choice(found, least=3, ratio=3.0, share=0.75), "__w")
     other = F.col("__in") & F.col("__w").isNotNull() & ~F.col("weight_kg").eqNullSafe(F.col("__w"))
     return joined.withColumns({"weight_original": F.when(other, F.col("weight_kg")), "weight_filled": other & F.col("weight_kg").isNull(), "weight_kg": F.when(other, F.col("__w")).otherwise(F.col("weight_kg")), "has_weight": F.col("has_weight") | other}).select(*[c for c in frames.columns], "weight_original", "weight_filled")
 

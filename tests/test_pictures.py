@@ -7,6 +7,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -276,3 +277,40 @@ def test_tasks_grow_with_the_pictures_and_pixels_stay_in_them(spark, monkeypatch
     assert made.rows.rdd.getNumPartitions() == 20 and "pixels" not in made.rows.columns
     found = pictures.signals(made, only=["detail_card_brightness"])
     assert found.columns == ["source_file", "frame_index", "detail_card_brightness", "error"] and found.where("detail_card_brightness = 0 AND error IS NULL").count() == 100
+
+
+def test_equal_pictures_are_judged_once_a_stack():
+    images, stack = noise(2, 20, 30), pictures._Stack()
+    for i in range(9):
+        stack.add(("a", i), 30, 20, images[int(i % 3 == 0)].tobytes())
+    stack.add(("b", 0), 20, 30, images[0].tobytes())  # the same octets, another size
+    groups = [(keys[1].to_pylist(), frames, at.to_pylist()) for keys, frames, at in stack.groups()]
+    assert [(rows, frames.shape[0], at) for rows, frames, at in groups] == [([*range(9)], 2, [0, 1, 1, 0, 1, 1, 0, 1, 1]), ([0], 1, [0])]
+    assert (groups[0][1] == images[[1, 0]]).all()
+
+
+def test_lines_that_repeat_are_weighted_as_others(monkeypatch):
+    image = np.repeat(noise(1, 6, 162), 40, 1)[0].reshape(240, -1)
+    whole, lone = pixels._filtered(image, pixels._wide_taps(162, 160, 3), 1), [pixels._filtered(line[None], pixels._wide_taps(162, 160, 3), 1)[0] for line in image]
+    assert (whole == np.array(lone)).all()
+    seen = []
+    monkeypatch.setattr(pixels.np, "cumsum", lambda x, f=np.cumsum: seen.append(np.count_nonzero(x)) or f(x))
+    pixels._filtered(image, pixels._wide_taps(162, 160, 3), 1)
+    assert seen == [6]
+
+
+@pytest.mark.parametrize("cut", [1, 2, 3, 7, 50])
+def test_motion_over_batches_of_any_size(cut):
+    rng = random.Random(cut)
+    rows = [(s, i, None if rng.random() < 0.1 else bytes(rng.choices((0, 9, 200), k=pictures.SAMPLE))) for s, n in (("a", 1), ("b", 2), ("c", 9), ("d", 3), ("e", 4), ("f", 21)) for i in range(n)]
+    twice = [r for r in rows for _ in range(rng.choice((1, 1, 1, 3)))]
+    batches = [pa.record_batch([pa.array(c, t) for c, t in zip(zip(*twice[at : at + cut]), (pa.string(), pa.int64(), pa.binary()))], [*pictures.KEYS, "sample"]) for at in range(0, len(twice), cut)]
+    found = [r for b in pictures._moving(iter(batches)) for r in b.to_pylist()]
+
+    def delta(k, other):
+        if not 0 <= other < len(rows) or rows[k][0] != rows[other][0] or rows[k][2] is None or rows[other][2] is None:
+            return 0.0
+        return round(sum(abs(x - y) for x, y in zip(rows[k][2], rows[other][2])) / pictures.SAMPLE / 255, 4)
+
+    assert [(r["source_file"], r["frame_index"], r["previous_frame_delta"], r["future_frame_delta_3"]) for r in found] == [(*rows[k][:2], delta(k, k - 1), delta(k, k + 3)) for k in range(len(rows))]
+    assert list(pictures._moving(iter([]))) == []

@@ -137,3 +137,34 @@ def test_best_reading(spark):
     assert [r["text"] for r in production.best_reading(df, ["g"], "cp").collect()] == ["CP 555"]
     w = spark.createDataFrame([("a", "5 kg", 0.9, None, 0, False), ("a", "6 kg", 0.2, "b", 1, True)], df.schema)
     assert production.best_reading(w, ["g"], "weight").first()["text"] == "5 kg" and production.best_reading(w.withColumn("prefer_fallback", F.lit(True)), ["g"], "weight").first()["text"] == "6 kg"
+
+
+def test_runs_correct_each_other_without_a_join(spark):
+    plan = production.postprocess(frames(spark, {"a": [detail(hp="9/9", cp=150)]}))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("LocalRelation") + plan.count("LogicalRDD") == 1
+
+
+def test_votes_of_runs_equal_a_loop(spark):
+    rng = random.Random(5)
+    sources = {s: [detail(hp=rng.choice(("9/9", "9/9", "9/9", "8/8", None)), cp=rng.choice((150, 150, 150, 1501, 1502, 99, None)), weight_kg=rng.choice(("2", "2", "2", "2", "7", None))) for _ in range(60)] for s in "abc"}
+    points = collected(production.with_cp_consensus(frames(spark, sources)), "cp")
+    weights = collected(production.with_weights(frames(spark, sources)), "weight_kg")
+    for s, own in sources.items():
+        runs, skipping, last = [], [], None
+        for i, r in enumerate(own):
+            if r["hp"] is not None:
+                (runs[-1].append(i) if i and own[i - 1]["hp"] == r["hp"] else runs.append([i]))
+                (skipping[-1].append(i) if last == r["hp"] else skipping.append([i]))
+                last = r["hp"]
+        cp, weight = [r["cp"] for r in own], [r["weight_kg"] for r in own]
+        for run in runs:
+            chosen = production.choose_points([own[i]["cp"] for i in run if own[i]["cp"] is not None])
+            for i in run:
+                cp[i] = chosen if chosen is not None and cp[i] is not None else cp[i]
+        for run in skipping:
+            n = {v: sum(own[i]["weight_kg"] == v for i in run) for v in ("2", "7")}
+            top = max(n, key=n.get)
+            wins = min(n.values()) == 0 < n[top] or (n[top] >= 3 and n[top] >= 3 * min(n.values()) and n[top] >= 0.75 * sum(n.values()))
+            for i in run:
+                weight[i] = top if wins else weight[i]
+        assert points[s] == cp and weights[s] == weight
