@@ -37,14 +37,12 @@ MOVES = ("fast_move_key", "fast_move_name", "charged_move_key", "charged_move_na
 
 
 def _there(column: str) -> Column:
-    return present(F.col(column).cast("string"))
+    return _all(column)
 
 
 def _all(*columns: str) -> Column:
-    found = F.lit(True)
-    for c in columns:
-        found = found & F.coalesce(_there(c), F.lit(False))
-    return found
+    """Whether all columns are present; never null."""
+    return F.expr(" AND ".join(f"coalesce(trim(cast({c} AS string)) <> '', false)" for c in columns))
 
 
 def has_moves() -> Column:
@@ -104,10 +102,9 @@ def _picked(long: DataFrame, group: str, merging: bool) -> DataFrame:
     by_column = by_column.select(group, "column", _side("accepted").alias("acc"), _side("support").alias("sup"), _side("both").alias("both"))
     column = F.col("column")
     first = F.when(column.isin("cp", "height_m"), F.col("both")).when(F.size("acc") > 0, F.col("acc")).otherwise(F.col("sup"))
-    judged = by_column.withColumn("first", first).withColumn("seen", _of(F.col("both"), "na"))
-    details = _of(F.col("first"), "nd")
-    generic = votes.choice(F.col("first"))
-    high = F.when(F.size(details) > 0, votes.choice(details)).otherwise(generic)
+    judged = by_column.withColumn("first", first).withColumns({"seen": _of(F.col("both"), "na"), "details": _of(F.col("first"), "nd"), "generic": votes.choice(F.col("first"))})
+    generic = F.col("generic")
+    high = F.when(F.size("details") > 0, votes.choice(F.col("details"))).otherwise(generic)
     place = F.coalesce(votes.choice(_of(F.col("first"), "na"), least=2, strictly=True), generic)
     mine, other = votes.cp_choice(_longs(F.col("acc"))), votes.cp_choice(_longs(F.col("sup")))
     points = F.when((mine < 100) & (other >= 100), other).otherwise(votes.cp_choice(_longs(F.col("first")))).cast("string")

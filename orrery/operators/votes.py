@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -66,27 +66,41 @@ def _order(votes: Column) -> Column:
     return F.array_sort(F.transform(votes, lambda x: F.struct((-x["n"]).alias("m"), x["v"].alias("v"))))
 
 
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body over a value that is worked out, and written into the plan, once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def choice(votes: Column, least: int = 3, ratio: float = 2.0, share: float = 0.0, strictly: bool = False) -> Column:
     """The only value, or one with `least` votes, `ratio` times the runner-up's (more than its, if strictly), and that share of all; null otherwise."""
-    s = _order(votes)
-    top, runner = -F.get(s, F.lit(0))["m"], F.coalesce(-F.get(s, F.lit(1))["m"], F.lit(0))
-    total = F.aggregate(votes, F.lit(0).cast("long"), lambda a, x: a + x["n"])
-    wins = (top >= least) & ((top > runner) if strictly else (top >= ratio * runner)) & (top >= share * total)
-    return F.when((F.size(votes) == 1) | ((F.size(votes) > 1) & wins), F.get(s, F.lit(0))["v"])
+
+    def of(s: Column) -> Column:
+        top, runner = -F.get(s, F.lit(0))["m"], F.coalesce(-F.get(s, F.lit(1))["m"], F.lit(0))
+        wins = (top >= least) & ((top > runner) if strictly else (top >= ratio * runner))
+        if share:
+            wins = wins & (top >= share * F.aggregate(s, F.lit(0).cast("long"), lambda a, x: a - x["m"]))
+        return F.when((F.size(s) == 1) | ((F.size(s) > 1) & wins), F.get(s, F.lit(0))["v"])
+
+    return _bound(_order(votes), of)
 
 
 def cp_choice(votes: Column, low: int = 10, high: int = 9366) -> Column:
     """The choice over combat points (v a long). Among values of 100 and more, one that longer readings extend by a digit wins first, then a stem that four of them share."""
-    sound = F.filter(votes, lambda x: x["v"].between(low, high))
-    tall = F.filter(sound, lambda x: x["v"] >= 100)
-    longer = lambda stem: F.filter(tall, lambda y: (y["v"] >= 1000) & (F.floor(y["v"] / 10) == stem))
-    extended = F.filter(tall, lambda x: ((F.size(longer(x["v"])) > 0) & (x["n"] >= 3)) | ((F.size(longer(x["v"])) == 1) & (F.get(longer(x["v"]), F.lit(0))["n"] >= 2)))
-    first = F.get(_order(extended), F.lit(0))["v"]
-    stems = F.array_distinct(F.transform(F.filter(tall, lambda x: x["v"] >= 1000), lambda x: F.floor(x["v"] / 10)))
-    weighed = F.transform(stems, lambda p: F.struct(F.aggregate(longer(p), F.lit(0).cast("long"), lambda a, y: a + y["n"]).alias("n"), p.cast("long").alias("v"), F.size(longer(p)).alias("k")))
-    shared = F.get(_order(F.filter(weighed, lambda x: (x["k"] >= 4) & (x["n"] >= 3) & x["v"].between(low, high))), F.lit(0))["v"]
-    only = F.when(F.size(sound) == 1, F.get(sound, F.lit(0))["v"])
-    return F.coalesce(only, F.when(F.size(tall) > 0, F.coalesce(first, shared, choice(tall))).otherwise(choice(sound)))
+
+    def clear(tall: Column, long: Column) -> Column:
+        own = lambda stem: F.filter(long, lambda y: y["p"] == stem)
+        extended = F.filter(tall, lambda x: _bound(own(x["v"]), lambda o: ((F.size(o) > 0) & (x["n"] >= 3)) | ((F.size(o) == 1) & (F.get(o, F.lit(0))["n"] >= 2))))
+        stems = F.array_distinct(F.transform(long, lambda x: x["p"]))
+        weighed = F.transform(stems, lambda p: _bound(own(p), lambda o: F.struct(F.aggregate(o, F.lit(0).cast("long"), lambda a, y: a + y["n"]).alias("n"), p.cast("long").alias("v"), F.size(o).alias("k"))))
+        shared = F.filter(weighed, lambda x: (x["k"] >= 4) & (x["n"] >= 3) & x["v"].between(low, high))
+        return F.coalesce(F.get(_order(extended), F.lit(0))["v"], F.get(_order(shared), F.lit(0))["v"], choice(tall))
+
+    def of(sound: Column) -> Column:
+        stemmed = lambda tall: F.transform(F.filter(tall, lambda x: x["v"] >= 1000), lambda x: F.struct(F.floor(x["v"] / 10).alias("p"), x["n"].alias("n")))
+        upper = _bound(F.filter(sound, lambda x: x["v"] >= 100), lambda tall: F.when(F.size(tall) > 0, _bound(stemmed(tall), lambda long: clear(tall, long))).otherwise(choice(sound)))
+        return F.when(F.size(sound) == 1, F.get(sound, F.lit(0))["v"]).otherwise(upper)
+
+    return _bound(F.filter(votes, lambda x: x["v"].between(low, high)), of)
 
 
 def star_choice(votes: Column, sums: Column) -> Column:

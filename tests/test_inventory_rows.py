@@ -1,5 +1,7 @@
 """Row assembly: the rules of each column, identities, merges, recovery, partial rows, diagnostics."""
 
+from pyspark.sql import functions as F
+
 from orrery.operators import inventory_rows as R
 
 CORE = {"hp_current": "50", "hp_max": "60", "weight_kg": "1.25"}
@@ -115,3 +117,13 @@ def test_spans_inside_a_row_are_merged_support(spark):
 def test_empty_fragments(spark):
     rows, notes = R.assemble(fragments(spark, (1, "detail", DETAIL)).limit(0))
     assert rows.count() == 0 and notes.count() == 0
+
+
+def test_rules_over_votes_read_them_once(spark):
+    from orrery.operators import votes
+
+    held = spark.createDataFrame([([(150, 3), (1501, 2), (99, 9)],), ([(1501, 1), (1502, 1), (1503, 1), (1504, 1)],), ([(120, 1)],), ([(50, 3), (60, 1)],), ([],), (None,)], "held array<struct<v: bigint, n: bigint>>")
+    for rule in (votes.choice, votes.cp_choice):
+        plan = held.select(rule(F.col("held")).alias("x"))._jdf.queryExecution().analyzed().toString()
+        assert plan.splitlines()[0].count("held#") == 1
+    assert [tuple(r) for r in held.select(votes.cp_choice(F.col("held")), votes.choice(F.col("held"), strictly=True, share=0.6)).collect()] == [(150, 99), (150, None), (120, 120), (50, 50), (None, None), (None, None)]

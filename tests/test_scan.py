@@ -56,3 +56,10 @@ def test_export_command(spark, tmp_path, capsys):
     assert main(["export", "--pictures", str(tmp_path / "pictures.parquet"), "--texts", str(tmp_path / "texts.jsonl"), "--catalog", str(tmp_path / "catalog.json"), "--output", root, "--run", "one"]) == 0
     assert "3 frames: 3 detail; 0 rows, 0 warnings" in capsys.readouterr().out
     assert runs.runs(spark, root) == ["one"] and runs.read(spark, root, "one", "row_diagnostics").count() == 1 and runs.damaged(spark, root, "one") == []
+
+
+def test_shapes_are_told_where_they_are_drawn(spark, small_dir):
+    from orrery.plans import pictures
+
+    plan = pictures._creatures(spark, small_dir)[0].rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("AS shapes") < plan.index("RepartitionByExpression")
