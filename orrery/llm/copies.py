@@ -268,10 +268,12 @@ def near_copies(docs: DataFrame) -> DataFrame:
     simhash = near.join(of("a"), "a").join(of("b"), "b").select(F.least("m_a", "m_b").alias("a"), F.greatest("m_a", "m_b").alias("b"))
     simhash = simhash.unionByName(prints.join(least, "fp").where("m < node").select(F.col("m").alias("a"), F.col("node").alias("b")))
 
-    found, sets, roots = None, None, spark.createDataFrame([], "node long, root long")
+    sets, roots, largest = None, spark.createDataFrame([], "node long, root long"), shared.agg(F.max("size")).first()[0] or 0
     for first, last in ((None, None), *zip((0, *LEADERS), (*LEADERS, None))):
         if first is None:
             pairs = simhash
+        elif first + 1 >= largest:  # no group has more
+            break
         else:
             named = shared.where(F.col("size") > first + 1).join(roots, "node", "left").select("key", "node", "n", "pos", "mark", F.coalesce("root", "node").alias("label"))
             pairs = _pairs(named, tasks, first, last)
@@ -286,8 +288,8 @@ def near_copies(docs: DataFrame) -> DataFrame:
         confirmed = kept(_confirmed(pairs, sets).distinct(), "links")
         if confirmed.isEmpty():
             continue
-        found = confirmed if found is None else found.unionByName(confirmed)
-        roots = stage(components(found), "roots")
+        # A node's root stands for the links that led to it.
+        roots = stage(components(confirmed.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))), "roots")
     for table in passing:
         table.drop()
     return marked.select("row", "node").join(roots, "node", "left").select("row", F.coalesce("root", "node").alias("root"))

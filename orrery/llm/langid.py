@@ -17,7 +17,9 @@ from __future__ import annotations
 import math
 import re
 import uuid
+from array import array
 from collections import Counter
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -78,27 +80,33 @@ def train(docs: DataFrame, sample: int = SAMPLE, words: int = WORDS, grams: int
     distinct = chosen.select("text", "lang").mapInArrow(words_counted, "lang string, word string, c long").groupBy("lang", "word").agg(F.sum("c").alias("c"))
     counted = distinct.mapInArrow(grams_counted, "lang string, n int, gram string, c long").groupBy("lang", "n", "gram").agg(F.sum("c").alias("c"))
     top = counted.withColumn("at", F.row_number().over(W.partitionBy("lang", "n").orderBy(F.desc("c"), "gram"))).where(F.col("at") <= F.when(F.col("n") == 0, words).otherwise(grams))
-    return fit(top.select("lang", "n", "gram", "c").toPandas().itertuples(index=False))
+    found = top.select("lang", "n", "gram", "c").toArrow()
+    return fit(row for batch in found.to_batches(max_chunksize=10_000) for row in zip(*(column.to_pylist() for column in batch.columns), strict=True))
 
 
-def fit(counts) -> dict:
-    """The model from (lang, n, gram, count)."""
-    tables: dict[int, dict[str, dict[str, int]]] = {}
-    totals: Counter = Counter()
+def fit(counts: Iterable[tuple[str, int, str, int]]) -> dict:
+    """The model from (lang, n, gram, count). What is held of a count are three numbers."""
+    logs: dict[int, dict[str, int]] = {n: {} for n in (0, *GRAMS)}
+    codes: dict[str, int] = {}
+    places, of, held = array("q"), array("q"), array("q")
+    begun = array("q", [-1])  # the n of each place; place 0 is of what no table knows
     for lang, n, gram, c in counts:
-        tables.setdefault(int(n), {}).setdefault(gram, {})[lang] = int(c)
-        totals[lang, int(n)] += int(c)
-    langs = sorted({lang for lang, _ in totals})
-    logs, rows = {}, [np.zeros((1, max(1, len(langs))))]  # place 0 is of what no table knows
-    for n in (0, *GRAMS):
-        table = tables.get(n, {})
-        begin = sum(map(len, rows))
-        logs[n] = {g: begin + i for i, g in enumerate(table)}
-        if table:
-            held = np.array([[c.get(lang, 0) for lang in langs] for c in table.values()], np.float64)
-            whole = np.array([totals[lang, n] + 0.5 * len(table) + 1 for lang in langs])
-            rows.append(np.log(held + 0.5) - np.log(whole))
-    return {"langs": langs, "logs": logs, "rows": np.concatenate(rows)}
+        place = logs[n].setdefault(gram, len(begun))
+        if place == len(begun):
+            begun.append(n)
+        places.append(place)
+        of.append(codes.setdefault(lang, len(codes)))
+        held.append(c)
+    langs = sorted(codes)
+    column = np.array([langs.index(lang) for lang in codes], np.int64)[np.array(of, np.int64)] if codes else np.empty(0, np.int64)
+    rows, order = np.zeros((len(begun), max(1, len(langs)))), np.array(begun)
+    rows[np.array(places, np.int64), column] = held
+    for n in logs:
+        of_n = order == n
+        if of_n.any():
+            whole = rows[of_n].sum(0) + 0.5 * of_n.sum() + 1
+            rows[of_n] = np.log(rows[of_n] + 0.5) - np.log(whole)
+    return {"langs": langs, "logs": logs, "rows": rows}
 
 
 class Scorer:

@@ -6,7 +6,7 @@ pair meets in a shard. A shard holds BK-trees, whose children are keyed by the i
 the parent; a search follows only edges within the radius. A shard with more than `tree_limit` members is split again
 by its unused bits, which loses no pair. Trees reach the fingerprints that query them through the shuffle of the
 shard keys; a Spark broadcast would grow with the corpus. Shards emit links to one member of each local
-component, at most one a fingerprint, and components are joined by the alternating large-star and small-star rounds.
+component, at most one a fingerprint, and components are joined by the tasks that read them, then by the alternating large-star and small-star rounds.
 
 Null texts count as empty and have fingerprint zero. Repeated rows and rows with a null doc_id keep a row each; a
 component's id is the smallest non-null doc_id in it (null if it has none). Empty tables give empty results. Columns other
@@ -15,7 +15,7 @@ than doc_id and text are ignored.
 
 from __future__ import annotations
 
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -176,26 +176,67 @@ def links(distinct: DataFrame, radius: int = RADIUS, tree_limit: int = 2048) ->
     return dealt.mapInArrow(search, "a long, b long").distinct()
 
 
+#: Edges that are joined at once, and the octets of a written table that a task reads for it, about as many edges.
+_EDGES, _EDGE_OCTETS = 1 << 18, 4 << 20
+
+
+def stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every node of the edges but the least of its component, and that least one."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    root = np.arange(len(nodes))
+    while (apart := root[a] != root[b]).any():
+        x, y = root[a[apart]], root[b[apart]]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (up := root[root] != root).any():
+            root[up] = root[root[up]]
+    other = np.flatnonzero(root != np.arange(len(nodes)))
+    return nodes[other], nodes[root[other]]
+
+
+def _joined(edges: Staged) -> DataFrame:
+    """Edges with the same components as those of the table (u, v): each task joins what it reads, a stretch of edges at a time."""
+
+    def of(batches):
+        held, count = [], 0
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                held.append(batch)
+                count += batch.num_rows
+            if count and (batch is None or count >= _EDGES):
+                found = stars(*(np.concatenate([x.column(i).to_numpy() for x in held]) for i in range(2)))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["u", "v"])
+                held, count = [], 0
+
+    return edges.df.coalesce(max(1, -(-edges.octets() // _EDGE_OCTETS))).mapInArrow(of, "u long, v long")
+
+
+def _rooted(edges: DataFrame) -> bool:
+    """Whether every node has one edge to a smaller one, which has none."""
+    ends = edges.select("u", F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("u"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("u").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up = 1 and down = 1").count() == 0
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root for every node of edges (a, b); the root is the smallest node of its component.
 
-    Rounds of large-star and small-star, each a written table, until the edges no longer change.
+    Tasks join the edges that they read; what they leave apart goes through rounds of large-star and small-star, each a written table, until every node has
+    an edge to its root and no other. Rounds join by shuffle and sort, as a broadcast a round would add up at the driver.
     """
-    now, seen = Staged(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"), None
+    now = Staged(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), "edges")
     while True:
-        both = now.df.unionByName(now.df.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        nxt = Staged(small.select("e.u", "e.v").where("u <> v").distinct(), "edges")
+        joined = Staged(_joined(now), "edges")
         now.drop()
-        now = nxt
-        state = now.df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == seen:
+        if _rooted(joined.df):
             break
-        seen = state
-    return now.df.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.df.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+        both = joined.df.unionByName(joined.df.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(least.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least.hint("merge"), "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        now = Staged(small.select("e.u", "e.v").where("u <> v").distinct(), "edges")
+        joined.drop()
+    return joined.df.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(joined.df.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, radius: int = RADIUS) -> DataFrame:

@@ -3,13 +3,14 @@
 import base64
 import json
 import random
+import tracemalloc
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from orrery.llm import media, mixing, neighbours, packing, pii, secrets, simhash, urls
+from orrery.llm import langid, media, mixing, neighbours, packing, pii, secrets, simhash, urls
 
 
 @settings(max_examples=50, deadline=None)
@@ -51,6 +52,36 @@ def test_components_of_a_long_chain(spark):
     assert found == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 104)}
 
 
+@pytest.mark.parametrize("octets", [1, 4 << 20])
+def test_components_join_what_a_task_reads(spark, monkeypatch, octets):
+    """Edges that a task reads together take no rounds, of which each leaves jobs, plans and threads at the driver; others still meet in rounds."""
+    monkeypatch.setattr(simhash, "_EDGE_OCTETS", octets)
+    rng = random.Random(11)
+    pairs = [(rng.randint(-400, 400), rng.randint(-400, 400)) for _ in range(500)] + [(k, k + 1) for k in range(1000, 1200)]
+    parent = {x: x for pair in pairs for x in pair}
+    for a, b in pairs:
+        a, b = simhash._find(parent, a), simhash._find(parent, b)
+        parent[max(a, b)] = min(a, b)
+    edges = spark.createDataFrame(pairs, "a long, b long").repartition(8)
+    jobs = spark.sparkContext._jsc.sc().dagScheduler().nextJobId
+    before = jobs()
+    found = simhash.components(edges)
+    took = jobs() - before
+    rows = sorted((r["node"], r["root"]) for r in found.collect())
+    assert rows == sorted({(x, simhash._find(parent, x)) for a, b in pairs if a != b for x in (a, b)})
+    assert octets == 1 or took <= 8
+
+
+def test_the_language_model_is_fitted_in_little_memory():
+    counts = [(lang, n, f"{lang}{'x' * n}{k}", k + 1) for n in (0, *langid.GRAMS) for lang in ("de", "en", "es", "fr") for k in range(4000)]
+    tracemalloc.start()
+    model = langid.fit(iter(counts))
+    kept, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert {n: len(x) for n, x in model["logs"].items()} == dict.fromkeys((0, *langid.GRAMS), 16_000)
+    assert most < 3 * kept
+
+
 @pytest.mark.parametrize("count", [1_000, 10_000_000, 10**11])
 def test_more_blocks_keep_every_pair(count):
     b = simhash._blocks(count, 3)
